@@ -53,18 +53,27 @@ NEEDS = {
 }
 
 
+@dataclass(frozen=True)
+class DayTable:
+    """Day partials of a whole log, kept for many schemes; columns are told apart by their place."""
+
+    frame: DataFrame
+    columns: tuple[str, ...]
+
+
 @dataclass
 class Plan:
     """What a scheme asks of the log: columns, states per column, window sizes."""
 
     features: list[Feature]
+    known: tuple[str, ...] = ()
     states: dict[str, set[str]] = field(default_factory=dict)
 
     def __post_init__(self):
         for f in self.features:
             self.states.setdefault(f.column, set()).update(NEEDS[f.method])
         self.columns = list(self.states)
-        self.slot = {c: i for i, c in enumerate(self.columns)}
+        self.slot = {c: i for i, c in enumerate(self.known or self.columns)}
         self.ts_parts = sorted({f.parts for f in self.features if f.rule == TS_RULE})
 
     def rules(self) -> set[str]:
@@ -131,6 +140,23 @@ def daily_partials(log: DataFrame, plan: Plan, layout: Layout) -> DataFrame:
     return rows.groupBy(*layout.user, "__day").agg(*map(F.expr, aggs))
 
 
+def prepare_days(log: DataFrame, columns, layout: Layout = Layout()) -> DayTable:
+    """All partials of the given log columns, to be written once and used by many schemes."""
+    states = {}
+    for c in columns:
+        states[c] = {"sum", "m2", "lo", "hi", "pos", "top"}
+        if isinstance(log.schema[c].dataType, T.StringType):
+            states[c].add("tok")
+    plan = Plan([], tuple(columns), states)
+    return DayTable(daily_partials(log, plan, layout), tuple(columns))
+
+
+def pick_days(days: DayTable, plan: Plan, layout: Layout) -> DataFrame:
+    """The partials a scheme needs out of a prepared table."""
+    wanted = [f"__{state}{plan.slot[c]}" for c in plan.columns for state in sorted(plan.states[c])]
+    return days.frame.select(*layout.user, "__day", "__n", *wanted)
+
+
 def day_prefixes(log: DataFrame, plan: Plan, layout: Layout, depth: int) -> DataFrame:
     """Running totals over the latest rows of each user and day, down to ``depth`` rows."""
     wanted: dict[str, set[str]] = {}
@@ -180,6 +206,7 @@ def generate(
     days_per_part: float = DAYS_PER_PART,
     max_parts: int | None = None,
     na: float = 0.0,
+    days: DayTable | None = None,
 ) -> tuple[DataFrame, dict[str, tuple[Feature, int]]]:
     """Compute one row per instance with one column per scheme item.
 
@@ -187,7 +214,8 @@ def generate(
     ``mask="null"`` leaves them out. ``max_parts`` is the row depth of the ts rule's domain,
     by default the largest window of that rule in the scheme. Returns the table and the
     lineage: column name -> (feature, position in the scheme). Instance rows must be unique
-    on the instance key together with the carried columns.
+    on the instance key together with the carried columns. ``days`` spares the first pass over
+    the log when its day partials are at hand.
     """
     if mask not in ("zero", "null"):
         raise ValueError("mask is 'zero' or 'null'")
@@ -204,7 +232,7 @@ def generate(
     if not lineage:
         return instances.select(*key), lineage
 
-    plan = Plan([f for f, _ in lineage.values()])
+    plan = Plan([f for f, _ in lineage.values()], days.columns if days else ())
     if ALL_RULE in plan.rules() and layout.first is None:
         raise ValueError("the 'all' rule needs a first column")
     depth = max_parts or max(plan.ts_parts, default=0)
@@ -213,7 +241,8 @@ def generate(
 
     domains = _domains(layout)
     masks = {f: _mask(f, layout, direction, days_per_part) for f in plan.features}
-    joined, salt = _join_days(instances, log, plan, layout, key, domains)
+    partials = pick_days(days, plan, layout) if days else daily_partials(log, plan, layout)
+    joined, salt = _join_days(instances, partials, plan, layout, key, domains)
     ts = bool(plan.ts_parts)
     group = [*key, *salt]
     inside = domains[TS_RULE]
@@ -287,10 +316,9 @@ def _mask(f: Feature, layout: Layout, direction: str, days_per_part: float) -> t
 
 
 def _join_days(
-    instances: DataFrame, log: DataFrame, plan: Plan, layout: Layout, key: list[str], domains: dict[str, str]
+    instances: DataFrame, days: DataFrame, plan: Plan, layout: Layout, key: list[str], domains: dict[str, str]
 ) -> tuple[DataFrame, list[str]]:
     """Instances left joined to the days any rule of the scheme can see, and the salt column if any."""
-    days = daily_partials(log, plan, layout)
     side = instances.select(
         *key,
         *([as_day(instances, layout.first).alias("__first")] if layout.first else []),
@@ -416,4 +444,4 @@ def lineage_frame(spark: SparkSession, lineage: dict[str, tuple[Feature, int]])
     """Lineage as a table: feature name, source column, rule, method, parts, position in the scheme."""
     schema = "feature string, column string, rule string, method string, parts int, position int"
     rows = [(n, f.column, f.rule, f.method, f.parts, i) for n, (f, i) in lineage.items()]
-    return spark.createDataFrame(rows, T.StructType.fromDDL(schema))
+    return spark.createDataFrame(rows, schema)

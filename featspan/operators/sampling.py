@@ -73,16 +73,25 @@ def lineage_lookup(features: DataFrame, candidates: DataFrame) -> DataFrame:
     return features.join(candidates.select(*FIELDS), "feature", "left")
 
 
-def mix(selectors: list[DataFrame], n: int, rate: float) -> DataFrame:
+def budgets(selectors, n: int) -> list[int]:
+    """How many slots are filled once each selector had its turn: equal shares, rounded down, but
+    at least one slot for the replay of the best trial."""
+    rate, total, out = 1.0 / len(selectors), 0.0, []
+    for name in selectors:
+        total += rate
+        out.append(max(int(n * rate), 1) if name == "best_scheme_sample" else int(n * total))
+    return out
+
+
+def mix(selectors: list[DataFrame], caps: list[int], n: int) -> DataFrame:
     """Fill ``n`` slots selector by selector.
 
     Each selector is a ranked list (feature, position). The j-th one tops the choice up to
-    ``int(n * j * rate)`` features (the first one to at least 1), skipping what is chosen
-    already. At most 2 n rows of each list can matter, so each travels as one small array.
+    ``caps[j]`` features, skipping what is chosen already. At most 2 n rows of each list can
+    matter, so each travels as one small array.
     """
     lists = []
-    for at, df in enumerate(selectors):
-        cap = max(int(n * rate), 1) if at == 0 else int(n * (rate * at + rate))
+    for at, (df, cap) in enumerate(zip(selectors, caps)):
         head = df.select("feature", "position").orderBy("position", "feature").limit(2 * n)
         packed = F.transform(
             F.array_sort(F.collect_list(F.struct("position", "feature"))), lambda r: r["feature"]

@@ -29,45 +29,50 @@ def split_order(nodes: DataFrame) -> DataFrame:
     return first.withColumn("position", F.row_number().over(Window.orderBy("at"))).select("feature", "position")
 
 
-def _parents(nodes: DataFrame) -> DataFrame:
+def _parents(nodes: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """Split nodes whose both children split, with the children's features."""
     splits = nodes.where("feature is not null")
-    kids = splits.select("tree", F.col("id").alias("kid"), F.col("feature").alias("kid_feature"))
-    left = kids.select("tree", F.col("kid").alias("left"), F.col("kid_feature").alias("yes"))
-    right = kids.select("tree", F.col("kid").alias("right"), F.col("kid_feature").alias("no"))
-    return splits.join(left, ["tree", "left"]).join(right, ["tree", "right"])
+    left = splits.select(*by, "tree", F.col("id").alias("left"), F.col("feature").alias("yes"))
+    right = splits.select(*by, "tree", F.col("id").alias("right"), F.col("feature").alias("no"))
+    return splits.join(left, [*by, "tree", "left"]).join(right, [*by, "tree", "right"])
 
 
-def split_pairs(nodes: DataFrame) -> DataFrame:
-    """(parent, child) features with the number of times they meet; both children count."""
+def split_pairs(nodes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(parent, child) features with the number of times they meet; both children count.
+
+    ``by`` names columns that tell forests apart, such as the trial.
+    """
     return (
-        _parents(nodes)
-        .select(F.col("feature").alias("parent"), F.explode(F.array("yes", "no")).alias("child"))
-        .groupBy("parent", "child")
+        _parents(nodes, by)
+        .select(*by, F.col("feature").alias("parent"), F.explode(F.array("yes", "no")).alias("child"))
+        .groupBy(*by, "parent", "child")
         .agg(F.count(F.lit(1)).alias("times"))
     )
 
 
-def negative_pairs(nodes: DataFrame, columns: list[str], neg_num: int = 2, seed: int | str = 0) -> DataFrame:
+def negative_pairs(
+    nodes: DataFrame, columns: list[str] | str, neg_num: int = 2, seed: int | str = 0, by: tuple[str, ...] = ()
+) -> DataFrame:
     """Per parent node of ``split_pairs``, ``neg_num`` features that are neither child, drawn by hash.
 
-    ``columns`` are the features of the scheme; the draw happens within the row.
+    ``columns`` are the features of the scheme, or the name of an array column holding them; the
+    draw happens within the row.
     """
-    listed = F.array(*[F.lit(c) for c in columns])
+    listed = F.col(columns) if isinstance(columns, str) else F.array(*[F.lit(c) for c in columns])
     others = F.array_except(listed, F.array("yes", "no"))
     shuffled = F.array_sort(
         F.transform(
             others,
             lambda c: F.struct(
-                unit_hash(F.col("tree").cast("string"), F.col("id").cast("string"), c, salt=str(seed)).alias("u"),
+                unit_hash(*by, "tree", "id", c, salt=str(seed)).alias("u"),
                 c.alias("child"),
             ),
         )
     )
     return (
-        _parents(nodes)
-        .select(F.col("feature").alias("parent"), F.explode(F.slice(shuffled, 1, neg_num)).alias("drawn"))
-        .groupBy("parent", F.col("drawn.child").alias("child"))
+        _parents(nodes, by)
+        .select(*by, F.col("feature").alias("parent"), F.explode(F.slice(shuffled, 1, neg_num)).alias("drawn"))
+        .groupBy(*by, "parent", F.col("drawn.child").alias("child"))
         .agg(F.count(F.lit(1)).alias("times"))
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from featspan.operators.catalogue import column_name
 
 SCHEMA = (
@@ -12,7 +12,9 @@ SCHEMA = (
     "columns array<string>, splits array<struct<feature:string,splits:bigint>>, "
     "path array<string>, seconds double"
 )
-FIELDS = tuple(T.StructType.fromDDL(SCHEMA).names)
+FIELDS = (
+    "trial", "task", "valid", "test", "valid_scores", "test_scores", "scheme", "columns", "splits", "path", "seconds",
+)
 
 
 class Ledger:

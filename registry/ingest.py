@@ -31,9 +31,10 @@ def _int_day(df, name="timestep"):
 
 _add(
     "ingest_full_outer",
-    lambda s, sf: _int_day(outer_merge(v.usage_side(s, sf), v.pay_side(s, sf))),
+    lambda s, sf: _activity(s, sf),
     f"""WITH a AS ({v.USAGE_SIDE}), b AS ({v.PAY_SIDE})
-    SELECT coalesce(a."ID", b."ID") AS "ID", {DAY.format('coalesce(a.ts, b.ts)')} AS timestep, u1, u2, p1, p2
+    SELECT coalesce(a."ID", b."ID") AS "ID", {DAY.format('coalesce(a.ts, b.ts)')} AS timestep,
+      coalesce(u1, 0) AS u1, coalesce(u2, 0) AS u2, coalesce(p1, 0) AS p1, coalesce(p2, 0) AS p2
     FROM a FULL JOIN b ON a."ID" = b."ID" AND a.ts = b.ts""",
 )
 
