@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from featspan.config import ALL_RULE, METHODS, PART_RULE, RULES, TS_RULE, Feature, Layout
@@ -90,24 +92,29 @@ def candidates_for(spark: SparkSession, log: DataFrame, horizon: int, layout: La
     return candidates_of(columns, parts_grid(horizon))
 
 
-def code_books(spark: SparkSession, columns: list[str], grid: list[int]) -> dict[str, DataFrame]:
-    """Integer codes of columns, types, rules, methods and window sizes in catalogue order; 0 is 'None'."""
+@dataclass(frozen=True)
+class CodeBooks:
+    """Integer codes in catalogue order; 0 stands for 'None'."""
+
+    values: dict[str, tuple[str, ...]]
 
-    def book(values: list) -> DataFrame:
-        rows = [("None", 0)] + [(str(x), i) for i, x in enumerate(values, 1)]
+    def frame(self, spark: SparkSession, name: str) -> DataFrame:
+        rows = [("None", 0)] + [(x, i) for i, x in enumerate(self.values[name], 1)]
         return spark.createDataFrame(rows, "value string, code int")
 
-    methods = list(dict.fromkeys(m for rule in RULES for m in METHODS[rule]))
-    return {
-        "feat": book(list(columns)),
-        "type": book([TYPE]),
-        "rule": book(list(RULES)),
-        "meth": book(methods),
-        "day": book(list(grid)),
-    }
+    def size(self, name: str) -> int:
+        """Largest code."""
+        return len(self.values[name])
+
+
+def code_books(columns: list[str], grid: list[int]) -> CodeBooks:
+    """Codes of columns, types, rules, methods and window sizes."""
+    methods = dict.fromkeys(m for rule in RULES for m in METHODS[rule])
+    listed = {"feat": columns, "type": [TYPE], "rule": RULES, "meth": methods, "day": grid}
+    return CodeBooks({name: tuple(str(x) for x in values) for name, values in listed.items()})
 
 
-def encode(schemes: DataFrame, books: dict[str, DataFrame]) -> DataFrame:
+def encode(schemes: DataFrame, books: CodeBooks) -> DataFrame:
     """Add the six integer codes of each scheme row. Code books are no longer than the catalogue."""
     keys = {
         "feat": F.col("column"),
@@ -119,7 +126,7 @@ def encode(schemes: DataFrame, books: dict[str, DataFrame]) -> DataFrame:
     }
     out = schemes
     for name, key in keys.items():
-        book = books["meth" if name == "friend" else name]
+        book = books.frame(schemes.sparkSession, "meth" if name == "friend" else name)
         codes = book.select(F.col("value").alias("__value"), F.col("code").alias(f"{name}_code"))
         out = out.withColumn("__key", key).join(codes, F.col("__key") == F.col("__value"), "left")
         out = out.drop("__key", "__value")

@@ -6,49 +6,42 @@ Spark ML regressors on the integer codes of schemes, or from mean lifts between
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
-from featspan.operators.catalogue import encode
+from featspan.operators.catalogue import CodeBooks, encode
 from featspan.operators.sampling import FIELDS
 
 CODES = ("feat_code", "rule_code", "meth_code", "day_code")
 TOP = 10  # fixed value: a path step picks among this many
 
 
-def _regress(train: DataFrame, codes: list[str], target: str, sizes: dict[str, int]):
-    """Ridge regression of ``target`` on one-hot codes plus the window size as a number.
+def _sizes(books: CodeBooks, prefix: str = "") -> dict[str, int]:
+    """Largest value of each code column."""
+    return {f"{prefix}{c}": books.size(c.removesuffix("_code")) for c in CODES}
 
-    The encoder learns its widths from one row of the largest codes, so unseen codes fit.
-    """
-    widest = train.limit(1).select(*[F.lit(sizes[c]).alias(c) for c in codes])
-    hot = OneHotEncoder(inputCols=codes, outputCols=[f"{c}_hot" for c in codes], handleInvalid="keep").fit(widest)
-    sized = [c for c in codes if "day" in c]
-    features = VectorAssembler(inputCols=[f"{c}_hot" for c in codes] + sized, outputCol="features")
-    learner = LinearRegression(labelCol=target, featuresCol="features", regParam=0.01)
-    return Pipeline(stages=[features, learner]).fit(hot.transform(train)), hot
 
+def _predict(train: DataFrame, pool: DataFrame, targets: list[str], sizes: dict[str, int]) -> DataFrame:
+    """Pool with ridge predictions of the targets from one-hot codes, window sizes also as a number.
 
-def _predict(train: DataFrame, pool: DataFrame, codes: list[str], targets: list[str], sizes) -> DataFrame:
-    out = pool
+    The encoder learns its widths from one row of the largest codes, so codes the history has not
+    seen are fine.
+    """
+    codes, hot = list(sizes), [f"{c}_hot" for c in sizes]
+    widest = train.sparkSession.createDataFrame([tuple(sizes.values())], ", ".join(f"{c} int" for c in codes))
+    encoder = OneHotEncoder(inputCols=codes, outputCols=hot, handleInvalid="keep").fit(widest)
+    gather = VectorAssembler(inputCols=hot + [c for c in codes if "day" in c], outputCol="features")
+    train = gather.transform(encoder.transform(train)).select("features", *targets).persist()
+    out = gather.transform(encoder.transform(pool)).drop(*hot)
     for target in targets:
-        model, hot = _regress(train, codes, target, sizes)
-        out = model.transform(hot.transform(out)).withColumnRenamed("prediction", f"{target}_hat")
-        out = out.drop("features", *[f"{c}_hot" for c in codes])
-    return out
-
-
-def _sizes(books: dict[str, DataFrame], prefix: str = "") -> dict[str, int]:
-    """Largest code of each book."""
-    out = {}
-    for name in ("feat", "rule", "meth", "day"):
-        out[f"{prefix}{name}_code"] = books[name].agg(F.max("code")).first()[0]
-    return out
+        model = LinearRegression(labelCol=target, predictionCol=f"{target}_hat", regParam=0.01).fit(train)
+        out = model.transform(out)
+    train.unpersist()
+    return out.drop("features")
 
 
-def rank_candidates(history: DataFrame, pool: DataFrame, books: dict[str, DataFrame], by: str = "score") -> DataFrame:
+def rank_candidates(history: DataFrame, pool: DataFrame, books: CodeBooks, by: str = "score") -> DataFrame:
     """Pool with its expected value, best first.
 
     ``history``: scheme fields plus score_max, score_avg, imp_max, imp_avg per feature.
@@ -57,13 +50,13 @@ def rank_candidates(history: DataFrame, pool: DataFrame, books: dict[str, DataFr
     """
     targets = {"score": ["score_max", "score_avg"], "imp": ["imp_max", "imp_avg"], "both": ["score_avg", "imp_avg"]}[by]
     train = encode(history, books)
-    guessed = _predict(train, encode(pool, books), list(CODES), targets, _sizes(books))
+    guessed = _predict(train, encode(pool, books), targets, _sizes(books))
     a, b = (F.col(f"{t}_hat") for t in targets)
     value = a * b + a if by == "both" else a + b
     return guessed.withColumn("expected", value).select(*FIELDS, "expected").orderBy(F.col("expected").desc(), "feature")
 
 
-def _side(df: DataFrame, prefix: str, books) -> DataFrame:
+def _side(df: DataFrame, prefix: str, books: CodeBooks) -> DataFrame:
     coded = encode(df, books)
     return coded.select(
         *[F.col(c).alias(f"{prefix}{c}") for c in CODES], *[c for c in df.columns if c not in ("column", "rule", "method", "parts")]
@@ -71,7 +64,7 @@ def _side(df: DataFrame, prefix: str, books) -> DataFrame:
 
 
 def rank_pairs(
-    pairs: DataFrame, schemes: DataFrame, keys: DataFrame, pool: DataFrame, books: dict[str, DataFrame]
+    pairs: DataFrame, schemes: DataFrame, keys: DataFrame, pool: DataFrame, books: CodeBooks
 ) -> DataFrame:
     """Candidates by the expected score of following a key scheme.
 
@@ -86,9 +79,8 @@ def rank_pairs(
     left = _side(keys.select("draw", "column", "rule", "method", "parts"), "x_", books)
     right = encode(pool.withColumnRenamed("position", "draw"), books)
     right = right.select("draw", *FIELDS, *[F.col(c).alias(f"y_{c}") for c in CODES])
-    codes = [f"{p}{c}" for p in ("x_", "y_") for c in CODES]
     sizes = {**_sizes(books, "x_"), **_sizes(books, "y_")}
-    guessed = _predict(train, left.join(right, "draw"), codes, ["score_max", "score_avg"], sizes)
+    guessed = _predict(train, left.join(right, "draw"), ["score_max", "score_avg"], sizes)
     best = guessed.groupBy(*FIELDS).agg(F.max(F.col("score_max_hat") + F.col("score_avg_hat")).alias("expected"))
     return best.orderBy(F.col("expected").desc(), "feature")
 

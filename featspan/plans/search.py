@@ -109,7 +109,7 @@ def guided_scheme(
     keys = t.key_schemes(flat).withColumnRenamed("column", "feature").join(fields, "feature").persist()
     key_columns = keys.select("column").distinct()
     columns = feature_columns(data.train_log, data.config.layout)
-    books = code_books(spark, columns, parts_grid(data.config.horizon))
+    books = code_books(columns, parts_grid(data.config.horizon))
 
     def pool(tag: str, size: int) -> DataFrame:
         return sampling.sample_biased(candidates, key_columns, size, f"{seed}/{tag}")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from featspan.config import ALL_RULE, METHODS, PART_RULE, RULES, TS_RULE, Feature, SearchConfig, TaskConfig
 from featspan.operators import catalogue, learn, metrics as m, rank, sampling, trees, trials as t
 from featspan.operators.generate import generate
-from featspan.operators.rownum import global_row_number
+from featspan.operators.rownum import global_row_number, holdout
 from featspan.plans.evaluate import evaluate, prepare
 from featspan.plans.search import search_guided, search_random
-from featspan.session import work_dir
+from featspan.session import materialise, work_dir
 from featspan.sources.ledger import Ledger
 from registry import views as v
 from registry.generation import SCHEME
@@ -62,6 +62,11 @@ def _candidates(s, sf):
     return catalogue.candidates_of(_columns(s, sf), catalogue.parts_grid(_horizon(s, sf)))
 
 
+def _sized(df):
+    """Rules without windows show 0 parts in query results."""
+    return df.withColumn("parts", F.coalesce("parts", F.lit(0)))
+
+
 def _rule_rows(rule):
     methods = ", ".join(f"'{x}'" for x in METHODS[rule])
     n = len(METHODS[rule])
@@ -83,8 +88,8 @@ _CANDIDATES = f"""
 
 _add(
     "candidates",
-    lambda s, sf: _candidates(s, sf).withColumn("weight", F.round("weight", 12)).drop("n_columns"),
-    f"""SELECT "column", rule, method, parts, feature, round(weight, 12) AS weight FROM ({_CANDIDATES})""",
+    lambda s, sf: _sized(_candidates(s, sf)).withColumn("weight", F.round("weight", 12)).drop("n_columns"),
+    f"""SELECT "column", rule, method, coalesce(parts, 0) AS parts, feature, round(weight, 12) AS weight FROM ({_CANDIDATES})""",
 )
 _add(
     "rule_catalogue",
@@ -100,7 +105,7 @@ _add(
 
 def _books(s, sf):
     names = [r["column"] for r in _columns(s, sf).collect()]  # one row per log column
-    return catalogue.code_books(s, sorted(names), catalogue.parts_grid(_horizon(s, sf)))
+    return catalogue.code_books(sorted(names), catalogue.parts_grid(_horizon(s, sf)))
 
 
 _METHOD_ORDER = list(dict.fromkeys(x for r in RULES for x in METHODS[r]))
@@ -119,14 +124,15 @@ _add(
 
 def _scheme_by_rule(s, sf):
     return _candidates(s, sf).groupBy("rule").agg(
-        F.count(F.lit(1)).alias("items"), F.countDistinct("column").alias("columns"), F.max("parts").alias("max_parts")
+        F.count(F.lit(1)).alias("items"), F.countDistinct("column").alias("columns"),
+        F.coalesce(F.max("parts"), F.lit(0)).alias("max_parts"),
     )
 
 
 _add(
     "group_by_rule",
     _scheme_by_rule,
-    f"""SELECT rule, count(*) AS items, count(DISTINCT "column") AS columns, max(parts) AS max_parts
+    f"""SELECT rule, count(*) AS items, count(DISTINCT "column") AS columns, coalesce(max(parts), 0) AS max_parts
     FROM ({_CANDIDATES}) GROUP BY rule""",
 )
 
@@ -136,11 +142,12 @@ _add(
 def _draw_sql(source, n, seed, weight="weight"):
     u = HASH.format(f"feature || '{seed}'")
     key = f"-ln(greatest({u}, 1 / pow(2, 53))) / {weight}"
-    return f"""SELECT "column", rule, method, parts, feature, row_number() OVER (ORDER BY d, feature)::int AS position
+    return f"""SELECT "column", rule, method, coalesce(parts, 0) AS parts, feature,
+        row_number() OVER (ORDER BY d, feature)::int AS position
       FROM (SELECT *, {key} AS d FROM ({source}) WHERE {weight} > 0 ORDER BY d, feature LIMIT {n})"""
 
 
-_add("sample_uniform", lambda s, sf: sampling.sample_uniform(_candidates(s, sf), 150, "u1"), _draw_sql(_CANDIDATES, 150, "u1"))
+_add("sample_uniform", lambda s, sf: _sized(sampling.sample_uniform(_candidates(s, sf), 150, "u1")), _draw_sql(_CANDIDATES, 150, "u1"))
 
 _TRIALS = f"SELECT DISTINCT trial, valid, test FROM ({v.LEDGER})"
 _RECORDS = f"""SELECT * FROM (SELECT *, max(valid) OVER (ORDER BY trial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
@@ -159,7 +166,7 @@ def _key5(s, sf):
 
 _add(
     "sample_biased",
-    lambda s, sf: sampling.sample_biased(_candidates(s, sf), _key5(s, sf), 150, "b1"),
+    lambda s, sf: _sized(sampling.sample_biased(_candidates(s, sf), _key5(s, sf), 150, "b1")),
     _draw_sql(_BIASED, 150, "b1", "w"),
 )
 
@@ -183,7 +190,7 @@ _CHOSEN = _draw_sql(_CANDIDATES, 150, "u1")
 
 def _fill(s, sf):
     candidates = _candidates(s, sf)
-    return sampling.random_fill(candidates, sampling.sample_uniform(candidates, 150, "u1"), 50, "f1")
+    return _sized(sampling.random_fill(candidates, sampling.sample_uniform(candidates, 150, "u1"), 50, "f1"))
 
 
 _add(
@@ -193,8 +200,10 @@ _add(
 )
 _add(
     "lineage",
-    lambda s, sf: sampling.lineage_lookup(
-        sampling.sample_uniform(_candidates(s, sf), 150, "u1").select("feature"), _candidates(s, sf)
+    lambda s, sf: _sized(
+        sampling.lineage_lookup(
+            sampling.sample_uniform(_candidates(s, sf), 150, "u1").select("feature"), _candidates(s, sf)
+        )
     ),
     f'SELECT feature, "column", rule, method, parts FROM ({_CHOSEN})',
 )
@@ -256,15 +265,15 @@ _add(
 
 def _rounded(df, *names):
     for n in names:
-        df = df.withColumn(n, F.round(n, 6))
+        df = df.withColumn(n, F.round(n, 12))
     return df
 
 
 _add(
     "feature_history",
     lambda s, sf: _rounded(t.feature_history(v.ledger(s, sf)), "score_max", "score_avg", "imp_max", "imp_avg"),
-    f"""SELECT "column", round(score_max, 6) AS score_max, round(score_avg, 6) AS score_avg,
-      round(imp_max, 6) AS imp_max, round(imp_avg, 6) AS imp_avg, info_num FROM ({_HISTORY})""",
+    f"""SELECT "column", round(score_max, 12) AS score_max, round(score_avg, 12) AS score_avg,
+      round(imp_max, 12) AS imp_max, round(imp_avg, 12) AS imp_avg, info_num FROM ({_HISTORY})""",
 )
 
 # --- trees ------------------------------------------------------------------
@@ -290,8 +299,8 @@ _add(
 _add(
     "split_order",
     lambda s, sf: trees.split_order(v.nodes(s, sf)),
-    f"""SELECT feature, row_number() OVER (ORDER BY at)::int AS position FROM (
-      SELECT feature, min(tree * 1000 + id) AS at FROM ({v.NODES}) WHERE feature IS NOT NULL GROUP BY 1)""",
+    f"""SELECT feature, row_number() OVER (ORDER BY pos)::int AS position FROM (
+      SELECT feature, min(tree * 1000 + id) AS pos FROM ({v.NODES}) WHERE feature IS NOT NULL GROUP BY 1)""",
 )
 _PARENTS = f"""WITH nd AS ({v.NODES}) SELECT p.tree, p.id, p.feature AS parent, y.feature AS yes, n.feature AS no FROM nd p
     JOIN nd y ON y.tree = p.tree AND y.id = p.l JOIN nd n ON n.tree = p.tree AND n.id = p.r
@@ -322,8 +331,8 @@ def _pair_history(s, sf):
 _add(
     "pair_history",
     _pair_history,
-    f"""SELECT parent, child, round(greatest(max(valid), 0), 6) AS score_max,
-      round(sum(valid * times) / sum(times), 6) AS score_avg, sum(times)::bigint AS info_num FROM (
+    f"""SELECT parent, child, round(greatest(max(valid), 0), 12) AS score_max,
+      round(sum(valid * times) / sum(times), 12) AS score_avg, sum(times)::bigint AS info_num FROM (
         SELECT parent, child, times, valid FROM (
           SELECT trial, parent, child, count(*) AS times FROM (
             SELECT tree % 50 AS trial, parent, unnest([yes, no]) AS child FROM ({_PARENTS})) GROUP BY ALL)
@@ -359,10 +368,9 @@ def _fit_score(task):
     def run(s, sf):
         instances, log, config = _task(s, sf, task)
         table, lineage = generate(instances, log, SCHEME, config.layout)
-        matrix = learn.design_matrix(table, list(lineage), keep=("rand_num", "ID"))
-        train = matrix.where("rand_num > 0.2").select("label", "features").persist()
-        model = learn.fit(train, config)
-        train.unpersist()
+        matrix = materialise(learn.design_matrix(table, list(lineage), keep=("rand_num",)), "matrix")
+        train, _ = holdout(matrix)
+        model = learn.fit(train.select("label", "features"), config)
         return learn.score(model, matrix, task)
 
     return run
@@ -377,7 +385,7 @@ def _fitted_nodes(s, sf):
     instances, log, config = _task(s, sf)
     table, lineage = generate(instances, log, SCHEME, config.layout)
     columns = learn.shuffled(list(lineage), 1)
-    model = learn.fit(learn.design_matrix(table, columns), config)
+    model = learn.fit(materialise(learn.design_matrix(table, columns), "matrix"), config)
     return learn.node_table(model, s, columns)
 
 
@@ -425,7 +433,7 @@ def _pool_and_books(s, sf):
     frame = _columns(s, sf)
     grid = catalogue.parts_grid(819)
     candidates = catalogue.candidates_of(frame, grid)
-    return sampling.sample_uniform(candidates, 1000, "pool"), catalogue.code_books(s, columns, grid)
+    return sampling.sample_uniform(candidates, 1000, "pool"), catalogue.code_books(columns, grid)
 
 
 def _rank(by):
