@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from featspan.config import ALL_RULE, PART_RULE, TS_RULE, Feature, Layout
 from featspan.functions.days import DAYS_PER_PART, as_day, part_days
 from featspan.functions.scalars import as_feature, token_count
-from featspan.operators.skew import SALT, spread
+from featspan.operators.skew import SALT, find_hot_users, spread
 
 # Fixed value: shorter strings hold no token list worth counting.
 MIN_TOKEN_TEXT = 10
@@ -59,6 +59,7 @@ class DayTable:
 
     frame: DataFrame
     columns: tuple[str, ...]
+    one_row_per_day: bool = False
 
 
 @dataclass
@@ -207,6 +208,7 @@ def generate(
     max_parts: int | None = None,
     na: float = 0.0,
     days: DayTable | None = None,
+    hot: DataFrame | None | str = "find",
 ) -> tuple[DataFrame, dict[str, tuple[Feature, int]]]:
     """Compute one row per instance with one column per scheme item.
 
@@ -215,7 +217,8 @@ def generate(
     by default the largest window of that rule in the scheme. Returns the table and the
     lineage: column name -> (feature, position in the scheme). Instance rows must be unique
     on the instance key together with the carried columns. ``days`` spares the first pass over
-    the log when its day partials are at hand.
+    the log when its day partials are at hand, and ``hot`` the look for hot users (None: there
+    are none).
     """
     if mask not in ("zero", "null"):
         raise ValueError("mask is 'zero' or 'null'")
@@ -242,7 +245,7 @@ def generate(
     domains = _domains(layout)
     masks = {f: _mask(f, layout, direction, days_per_part) for f in plan.features}
     partials = pick_days(days, plan, layout) if days else daily_partials(log, plan, layout)
-    joined, salt = _join_days(instances, partials, plan, layout, key, domains)
+    joined, salt = _join_days(instances, partials, plan, layout, key, domains, hot)
     ts = bool(plan.ts_parts)
     group = [*key, *salt]
     inside = domains[TS_RULE]
@@ -273,7 +276,7 @@ def generate(
             aggs[f"__mid{i}"] = f"max(__mid{i})"
             aggs[f"__q{i}_{tag}"] = f"sum(if({hit}, __m2{i} + __n * {gap} * {gap}, null))"
     sums = list(aggs)
-    cut = ts and not layout.one_row_per_day
+    cut = ts and not layout.one_row_per_day and not (days and days.one_row_per_day)
     if cut:
         for p in plan.ts_parts:
             through = f"{inside} and __later < {p} and __later + __n > {p}"
@@ -316,7 +319,13 @@ def _mask(f: Feature, layout: Layout, direction: str, days_per_part: float) -> t
 
 
 def _join_days(
-    instances: DataFrame, days: DataFrame, plan: Plan, layout: Layout, key: list[str], domains: dict[str, str]
+    instances: DataFrame,
+    days: DataFrame,
+    plan: Plan,
+    layout: Layout,
+    key: list[str],
+    domains: dict[str, str],
+    hot: DataFrame | None | str,
 ) -> tuple[DataFrame, list[str]]:
     """Instances left joined to the days any rule of the scheme can see, and the salt column if any."""
     side = instances.select(
@@ -325,8 +334,12 @@ def _join_days(
         as_day(instances, layout.last).alias("__last"),
     )
     salt = []
-    if not layout.one_instance_per_user:
-        side, days = spread(side, days, layout.user, tuple(c for c in key if c not in layout.user))
+    if layout.one_instance_per_user:
+        hot = None
+    elif isinstance(hot, str):
+        hot = find_hot_users(instances, layout.user)
+    if hot is not None:
+        side, days = spread(side, days, hot, layout.user, tuple(c for c in key if c not in layout.user))
         salt = [SALT]
     on = [*layout.user, *salt]
 

@@ -8,6 +8,7 @@ from featspan.config import Layout, TaskConfig
 from featspan.functions.days import left_days
 from featspan.functions.scalars import fill_zero
 from featspan.operators.rownum import global_row_number
+from featspan.operators.skew import SALT, find_hot_users, spread
 
 
 def transaction_features(transactions: DataFrame) -> DataFrame:
@@ -50,13 +51,37 @@ def member_features(members: DataFrame) -> DataFrame:
 
 
 def outer_merge(left: DataFrame, right: DataFrame, on: tuple[str, ...] = ("ID", "timestep")) -> DataFrame:
-    """Full outer join on user and day, keys coalesced. Rows of a day that has several stay several."""
-    return left.join(right, list(on), "full_outer")
+    """Full outer join on user and day, keys coalesced. Rows of a day that has several stay several.
 
-
-def attach_static(log: DataFrame, static: DataFrame, user: tuple[str, ...] = ("ID",)) -> DataFrame:
-    """Repeat per-user attributes on every log row. Whether to broadcast is left to Spark's size estimate."""
-    return log.join(static, list(user), "left")
+    Spark cannot split a skewed key of a full outer join, so it is put together from the matches
+    and the unmatched rows of either side; each of these joins can be split. Unmatched rows
+    are told by distinct keys, which combine before the shuffle.
+    """
+    keys = list(on)
+    both = left.join(right, keys)
+    only_left = left.join(right.select(*keys).distinct(), keys, "left_anti")
+    only_right = right.join(left.select(*keys).distinct(), keys, "left_anti")
+    return both.unionByName(only_left, allowMissingColumns=True).unionByName(only_right, allowMissingColumns=True)
+
+
+def attach_static(
+    log: DataFrame,
+    static: DataFrame,
+    user: tuple[str, ...] = ("ID",),
+    by: tuple[str, ...] = ("timestep",),
+    hot: DataFrame | None | str = "find",
+) -> DataFrame:
+    """Repeat per-user attributes on every log row.
+
+    Whether to broadcast is left to Spark's size estimate. Rows of hot users are dealt out by
+    the ``by`` columns, the attributes of those users repeated.
+    """
+    if isinstance(hot, str):
+        hot = find_hot_users(log, user)
+    if hot is None:
+        return log.join(static, list(user), "left")
+    rows, repeated = spread(log, static, hot, user, by)
+    return rows.join(repeated, [*user, SALT], "left").drop(SALT)
 
 
 def build_log(transactions: DataFrame, usage: DataFrame, members: DataFrame) -> DataFrame:
@@ -79,9 +104,9 @@ def build_instances(labels: DataFrame, log: DataFrame, salt: str = "", layout: L
     Users without log rows get 0 as first and last day when days are integers, NULL when they
     are dates.
     """
-    spans = labels.join(first_last(log, layout), list(layout.user), "left")
-    spans = fill_zero(spans)
-    return global_row_number(spans, (*layout.user, "label"), salt=salt)
+    folded = labels.groupBy(*labels.columns).agg(F.count(F.lit(1)).alias("__times"))
+    spans = fill_zero(folded.join(first_last(log, layout), list(layout.user), "left"))
+    return global_row_number(spans, (*layout.user, "label"), salt=salt, times="__times")
 
 
 def labels_of(raw: DataFrame) -> DataFrame:

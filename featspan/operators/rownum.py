@@ -19,18 +19,22 @@ def global_row_number(
     variate: str = "rand_num",
     name: str = "row_num",
     buckets: int = BUCKETS,
+    times: str | None = None,
 ) -> DataFrame:
     """Number all rows 1..n in the order of a hash variate, without sorting them in one place.
 
     The variate hashes the ``by`` columns (default: the whole row). Rows are counted per
     fixed-width slice of the variate, slices get offsets, and rows are numbered within
     their slice. Equal rows are first folded into one with a count, so a row repeated
-    without end is one row of one slice. Only the slice totals (at most ``buckets`` rows) are
+    without end is one row of one slice; ``times`` names that count if the caller folded them. Only the slice totals (at most ``buckets`` rows) are
     ever seen in one place or broadcast.
     """
-    columns = list(df.columns)
+    columns = [c for c in df.columns if c != times]
     by = tuple(by) or tuple(columns)
-    folded = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__times"))
+    if times:
+        folded = df.withColumnRenamed(times, "__times")
+    else:
+        folded = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__times"))
     folded = folded.withColumn(variate, unit_hash(*by, salt=salt)).withColumn(
         "__slice", F.floor(F.col(variate) * buckets).cast("int")
     )

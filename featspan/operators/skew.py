@@ -7,37 +7,43 @@ from pyspark.sql import DataFrame, functions as F
 from featspan.session import shuffle_width
 
 SALT = "__salt"
+MIN_ROWS = 1000
 
 
-def hot_users(instances: DataFrame, user: tuple[str, ...], min_rows: int = 1000) -> DataFrame:
+def find_hot_users(instances: DataFrame, user: tuple[str, ...], min_rows: int = MIN_ROWS) -> DataFrame | None:
     """Users holding more than 1/(4 * shuffle width) of all instances, with a number of copies each.
 
-    The share is what bounds the result: fewer than 4 * width users can each hold more than
-    that, whatever the data, and their copies add up to less than 8 * width.
+    One small job over per-user counts tells whether there are any. If so they are fetched as
+    a local table: fewer than 4 * width users can each hold more than that share, whatever
+    the data, and their copies add up to less than 8 * width.
     """
-    width = 4 * shuffle_width(instances.sparkSession)
-    per_user = instances.groupBy(*user).agg(F.count(F.lit(1)).alias("__n"))
-    total = instances.agg(F.count(F.lit(1)).alias("__total")).scalar()
-    share = F.greatest(total / F.lit(float(width)), F.lit(float(min_rows)))
-    return per_user.where(F.col("__n") > share).select(
-        *user, F.ceil(F.col("__n") / share).cast("int").alias("__copies")
+    spark = instances.sparkSession
+    per_user = instances.groupBy(*user).agg(F.count(F.lit(1)).alias("__rows"))
+    total, most = per_user.agg(F.sum("__rows"), F.max("__rows")).first()
+    share = max((total or 0) / (4 * shuffle_width(spark)), min_rows)
+    if not most or most <= share:
+        return None
+    hot = per_user.where(F.col("__rows") > share).select(
+        *user, F.ceil(F.col("__rows") / F.lit(float(share))).cast("int").alias("__copies")
     )
+    return spark.createDataFrame(hot.collect(), hot.schema)
 
 
 def spread(
-    instances: DataFrame, history: DataFrame, user: tuple[str, ...], by: tuple[str, ...], min_rows: int = 1000
+    instances: DataFrame, history: DataFrame, hot: DataFrame, user: tuple[str, ...], by: tuple[str, ...]
 ) -> tuple[DataFrame, DataFrame]:
     """Add a salt to both sides so that ``user + salt`` joins like ``user`` but without hot keys.
 
     Instances of a hot user are dealt out over its copies by a hash of ``by``; the history of
-    that user (pre-aggregated by the caller) is repeated once per copy.
+    that user (pre-aggregated by the caller) is repeated once per copy. ``hot`` comes from
+    ``find_hot_users``, which bounds its size.
     """
-    hot = F.broadcast(hot_users(instances, user, min_rows))
     copies = F.coalesce(F.col("__copies"), F.lit(1))
-    dealt = instances.join(hot, list(user), "left").withColumn(
-        SALT, F.pmod(F.xxhash64(*by), copies).cast("int")
-    )
-    repeated = history.join(hot, list(user), "left").withColumn(
-        SALT, F.explode(F.sequence(F.lit(0), copies - 1))
-    )
+    same = [F.col(f"l.{u}").eqNullSafe(F.col(f"h.{u}")) for u in user]
+    marked = [
+        df.alias("l").join(F.broadcast(hot.alias("h")), same, "left").select("l.*", "h.__copies")
+        for df in (instances, history)
+    ]
+    dealt = marked[0].withColumn(SALT, F.pmod(F.xxhash64(*by), copies).cast("int"))
+    repeated = marked[1].withColumn(SALT, F.explode(F.sequence(F.lit(0), copies - 1)))
     return dealt.drop("__copies"), repeated.drop("__copies")

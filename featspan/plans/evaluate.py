@@ -13,6 +13,7 @@ from featspan.operators.ingest import slice_tables
 from featspan.operators.learn import design_matrix, feature_positions, fit, node_table, score, shuffled
 from featspan.operators.metrics import REGRESSION, metrics
 from featspan.operators.rownum import holdout
+from featspan.operators.skew import find_hot_users
 from featspan.session import materialise
 
 
@@ -27,6 +28,8 @@ class TaskData:
     test: DataFrame
     test_log: DataFrame
     test_days: DayTable
+    train_hot: DataFrame | None
+    test_hot: DataFrame | None
 
 
 @dataclass(frozen=True)
@@ -54,7 +57,7 @@ def prepare(instances: DataFrame, log: DataFrame, config: TaskConfig) -> TaskDat
         part_log = materialise(part_log, f"{name}-log")
         table = prepare_days(part_log, feature_columns(part_log, layout), layout)
         frame = materialise(table.frame, f"{name}-days", cluster_by=(*layout.user, "__day"))
-        return part_log, DayTable(frame, table.columns)
+        return part_log, DayTable(frame, table.columns, frame.where("__n > 1").isEmpty())
 
     train, train_log = written(config.train_rows, config.train_days, "train")
     test, test_log = written(config.test_rows, config.test_days, "test")
@@ -63,16 +66,17 @@ def prepare(instances: DataFrame, log: DataFrame, config: TaskConfig) -> TaskDat
         test_log, test_days = train_log, train_days
     else:
         test_log, test_days = reduced(test_log, "test")
-    return TaskData(config, train, train_log, train_days, test, test_log, test_days)
+    hot = [None if layout.one_instance_per_user else find_hot_users(part, layout.user) for part in (train, test)]
+    return TaskData(config, train, train_log, train_days, test, test_log, test_days, *hot)
 
 
 def features_of(data: TaskData, scheme, part: str = "train") -> tuple[DataFrame, dict]:
     config = data.config
-    instances, log, days = {
-        "train": (data.train, data.train_log, data.train_days),
-        "test": (data.test, data.test_log, data.test_days),
+    instances, log, days, hot = {
+        "train": (data.train, data.train_log, data.train_days, data.train_hot),
+        "test": (data.test, data.test_log, data.test_days, data.test_hot),
     }[part]
-    return generate(instances, log, scheme, config.layout, direction=config.direction, days=days)
+    return generate(instances, log, scheme, config.layout, direction=config.direction, days=days, hot=hot)
 
 
 def train_matrix(data: TaskData, scheme, seed: int = 0) -> tuple[DataFrame, list[str], list[int]]:

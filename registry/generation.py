@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from featspan.config import ALL_RULE, METHODS, PART_RULE, TS_RULE, Feature
 from featspan.operators.generate import generate
+from featspan.operators.horizon import profile
 from registry import views as v
 
 DIGITS = 6
@@ -136,3 +137,38 @@ EVENT_SCHEME = [
 _events("scheme_many_windows", EVENT_SCHEME)
 _events("scheme_left_odd_parts", [f for f in EVENT_SCHEME if f.rule == PART_RULE], direction="left")
 _events("scheme_deep_domain", [f for f in EVENT_SCHEME if f.rule == TS_RULE], max_parts=20)
+
+
+def profile_sql(rule, grid, methods, log, inst, key, direction="right") -> str:
+    """Every window size as a scheme of its own."""
+    parts = []
+    for p in grid:
+        scheme = [Feature("f1", rule, m, p) for m in methods]
+        names = ", ".join(f'"{f.name}" AS "f1_{f.method}"' for f in scheme)
+        body = scheme_sql(scheme, log, inst, key, grid[-1], direction)
+        label = '"ID"' if key == ORDER_KEY else '"ID", last_timestep'
+        parts.append(f"SELECT {label}, {p} AS parts, {names} FROM ({body})")
+    return " UNION ALL ".join(parts)
+
+
+def _profile(name, rule, grid, methods, events=False, direction="right"):
+    def run(spark, sf):
+        log, inst = (v.log_events, v.inst_events) if events else (v.log_orders, v.inst_orders)
+        table = profile(
+            inst(spark, sf), log(spark, sf), ["f1"], grid, v.LAYOUT, rule=rule, methods=methods, direction=direction
+        )
+        key = ["ID", "last_timestep", "parts"] if events else ["ID", "parts"]
+        unused = ["first_timestep"] if events else ["first_timestep", "last_timestep"]
+        return rounded(table.drop(*unused), key)
+
+    QUERIES[name] = run
+    log, inst = (v.LOG_EVENTS, v.INST_EVENTS) if events else (v.LOG_ORDERS, v.INST_ORDERS)
+    ORACLES[name] = profile_sql(rule, grid, methods, log, inst, EVENT_KEY if events else ORDER_KEY, direction)
+
+
+_ALL_SIX = ("min", "max", "sum", "avg", "std", "count")
+_profile("scheme_horizons", PART_RULE, list(range(100, 1001, 100)), _ALL_SIX)
+_profile("horizons_left", PART_RULE, [50, 100, 250, 400], _ALL_SIX, direction="left")
+_profile("horizons_odd_sizes", PART_RULE, [1, 2, 3, 5, 8], _ALL_SIX, events=True)
+_profile("horizons_latest_rows", TS_RULE, [2, 4, 6, 8, 10, 12], _ALL_SIX[:-1], events=True)
+_profile("horizons_latest_days", TS_RULE, [1, 2, 4], _ALL_SIX[:-1])
