@@ -60,6 +60,7 @@ class DayTable:
     frame: DataFrame
     columns: tuple[str, ...]
     one_row_per_day: bool = False
+    table: str | None = None
 
 
 @dataclass
@@ -179,11 +180,9 @@ def day_prefixes(log: DataFrame, plan: Plan, layout: Layout, depth: int) -> Data
     in_day = Window.partitionBy(*layout.user, "__day").orderBy(*latest)
     ranked = rows.withColumn("__rank", F.row_number().over(in_day)).where(f"__rank <= {depth}")
 
-    over = (
-        f"over (partition by {', '.join(quoted(layout.user))}, __day order by __rank "
-        "rows between unbounded preceding and current row)"
-    )
-    out = [*quoted(layout.user), "__day", "__rank"]
+    in_order = f"over (partition by {', '.join(quoted(layout.user))}, __day order by __rank"
+    over = f"{in_order} rows between unbounded preceding and current row)"
+    out = [*quoted(layout.user), "__day", "__rank", f"lead(1) {in_order}) is not null as __more"]
     for c, states in wanted.items():
         i = plan.slot[c]
         running = {
@@ -193,7 +192,8 @@ def day_prefixes(log: DataFrame, plan: Plan, layout: Layout, depth: int) -> Data
             "hi": f"max(__v{i}) {over}",
         }
         out += [f"{running[state]} as __p{state}{i}" for state in running if state in states]
-    return ranked.selectExpr(*out)
+    # A cut leaves rows of the day behind, so the last row of a day is never asked for.
+    return ranked.selectExpr(*out).where(f"__more or __rank = {depth}").drop("__more")
 
 
 def generate(

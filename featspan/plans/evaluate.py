@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from featspan.config import Feature, TaskConfig
+from featspan.functions.days import as_day
 from featspan.operators.catalogue import feature_columns
 from featspan.operators.generate import DayTable, generate, prepare_days
 from featspan.operators.ingest import slice_tables
@@ -14,22 +15,33 @@ from featspan.operators.learn import design_matrix, feature_positions, fit, node
 from featspan.operators.metrics import REGRESSION, metrics
 from featspan.operators.rownum import holdout
 from featspan.operators.skew import find_hot_users
-from featspan.session import materialise
+from featspan.session import materialise, materialise_bucketed
+
+
+@dataclass(frozen=True)
+class Part:
+    """Training or test side of a task, as written: instances, day partials, the log rows of days
+    with several rows (the only ones a scheme still needs), and hot users if any."""
+
+    instances: DataFrame
+    log: DataFrame
+    days: DayTable
+    hot: DataFrame | None
 
 
 @dataclass(frozen=True)
 class TaskData:
-    """Tables of a task, written once: instances, log and its day partials, for training and test."""
+    """Tables of a task, written once for all rounds."""
 
     config: TaskConfig
-    train: DataFrame
-    train_log: DataFrame
-    train_days: DayTable
-    test: DataFrame
-    test_log: DataFrame
-    test_days: DayTable
-    train_hot: DataFrame | None
-    test_hot: DataFrame | None
+    train: Part
+    test: Part
+
+    def close(self) -> None:
+        """Forget the tables in the session's catalog; their files stay in the work folder."""
+        spark = self.train.instances.sparkSession
+        for name in {self.train.days.table, self.test.days.table} - {None}:
+            spark.sql(f"drop table if exists {name}")
 
 
 @dataclass(frozen=True)
@@ -46,37 +58,46 @@ class Outcome:
 
 
 def prepare(instances: DataFrame, log: DataFrame, config: TaskConfig) -> TaskData:
-    """Cut out training and test tables and write what every round reads."""
-    layout = config.layout
+    """Cut out training and test tables and write what every round reads.
 
-    def written(rows, days, name):
-        part, part_log = slice_tables(instances, log, rows, days, layout)
-        return materialise(part, f"{name}-instances"), part_log
+    The day partials, by far the largest of them, are bucketed by user, so that a round shuffles
+    instances only. The log itself is not copied.
+    """
+    layout = config.layout
+    train, train_log = slice_tables(instances, log, config.train_rows, config.train_days, layout)
+    test, test_log = slice_tables(instances, log, config.test_rows, config.test_days, layout)
+    train_rows, train_days = _reduce(train_log, config, "train")
+    test_rows, test_days = train_rows, train_days
+    if tuple(config.train_days) != tuple(config.test_days):
+        test_rows, test_days = _reduce(test_log, config, "test")
 
-    def reduced(part_log, name):
-        part_log = materialise(part_log, f"{name}-log")
-        table = prepare_days(part_log, feature_columns(part_log, layout), layout)
-        frame = materialise(table.frame, f"{name}-days", cluster_by=(*layout.user, "__day"))
-        return part_log, DayTable(frame, table.columns, frame.where("__n > 1").isEmpty())
+    def part(frame: DataFrame, name: str, rows: DataFrame, days: DayTable) -> Part:
+        written = materialise(frame, f"{name}-instances")
+        hot = None if layout.one_instance_per_user else find_hot_users(written, layout.user)
+        return Part(written, rows, days, hot)
 
-    train, train_log = written(config.train_rows, config.train_days, "train")
-    test, test_log = written(config.test_rows, config.test_days, "test")
-    train_log, train_days = reduced(train_log, "train")
-    if tuple(config.train_days) == tuple(config.test_days):
-        test_log, test_days = train_log, train_days
-    else:
-        test_log, test_days = reduced(test_log, "test")
-    hot = [None if layout.one_instance_per_user else find_hot_users(part, layout.user) for part in (train, test)]
-    return TaskData(config, train, train_log, train_days, test, test_log, test_days, *hot)
+    return TaskData(config, part(train, "train", train_rows, train_days), part(test, "test", test_rows, test_days))
 
 
-def features_of(data: TaskData, scheme, part: str = "train") -> tuple[DataFrame, dict]:
-    config = data.config
-    instances, log, days, hot = {
-        "train": (data.train, data.train_log, data.train_days, data.train_hot),
-        "test": (data.test, data.test_log, data.test_days, data.test_hot),
-    }[part]
-    return generate(instances, log, scheme, config.layout, direction=config.direction, days=days, hot=hot)
+def _reduce(log: DataFrame, config: TaskConfig, name: str) -> tuple[DataFrame, DayTable]:
+    """Day partials of a log, and its rows on days that have several."""
+    layout = config.layout
+    table = prepare_days(log, feature_columns(log, layout), layout)
+    spark = log.sparkSession
+    stored = materialise_bucketed(table.frame, f"{name}_days", layout.user, ("__day",))
+    frame = spark.table(stored)
+    crowded = frame.where("__n > 1").select(*layout.user, "__day")
+    if crowded.isEmpty():
+        return log, DayTable(frame, table.columns, True, stored)
+    rows = log.withColumn("__day", as_day(log, layout.day)).join(crowded, [*layout.user, "__day"], "left_semi")
+    return materialise(rows.drop("__day"), f"{name}-rows"), DayTable(frame, table.columns, False, stored)
+
+
+def features_of(data: TaskData, scheme, side: str = "train") -> tuple[DataFrame, dict]:
+    config, part = data.config, getattr(data, side)
+    return generate(
+        part.instances, part.log, scheme, config.layout, direction=config.direction, days=part.days, hot=part.hot
+    )
 
 
 def train_matrix(data: TaskData, scheme, seed: int = 0) -> tuple[DataFrame, list[str], list[int]]:

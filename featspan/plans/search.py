@@ -48,8 +48,8 @@ def best_scheme(trials: DataFrame, config: SearchConfig, task: str = "") -> dict
 
 
 def _candidates(data: TaskData) -> DataFrame:
-    spark = data.train.sparkSession
-    return candidates_for(spark, data.train_log, data.config.horizon, data.config.layout)
+    spark = data.train.instances.sparkSession
+    return candidates_for(spark, data.train.log, data.config.horizon, data.config.layout)
 
 
 def _features(drawn: DataFrame) -> list[Feature]:
@@ -70,7 +70,7 @@ def _rounds(data: TaskData, config: SearchConfig, ledger: Ledger, draw, keep_nod
 def _record(
     data: TaskData, ledger: Ledger, i: int, scheme: list[Feature], outcome: Outcome, seconds: float, keep_nodes: bool
 ) -> None:
-    spark = data.train.sparkSession
+    spark = data.train.instances.sparkSession
     splits, path = [], []
     if keep_nodes:
         nodes = outcome_nodes(outcome, spark)
@@ -108,7 +108,7 @@ def guided_scheme(
     flat = facts.select("trial", "valid", "test", F.col("feature").alias("column"), "splits")
     keys = t.key_schemes(flat).withColumnRenamed("column", "feature").join(fields, "feature").persist()
     key_columns = keys.select("column").distinct()
-    columns = feature_columns(data.train_log, data.config.layout)
+    columns = feature_columns(data.train.log, data.config.layout)
     books = code_books(columns, parts_grid(data.config.horizon))
 
     def pool(tag: str, size: int) -> DataFrame:

@@ -31,13 +31,30 @@ def work_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialise(df: DataFrame, name: str, *, cluster_by: tuple[str, ...] = ()) -> DataFrame:
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     Cuts lineage, survives lost executors, and leaves later reads column pruned.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    out = df.sortWithinPartitions(*cluster_by) if cluster_by else df
-    out.write.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialise_bucketed(df: DataFrame, name: str, by: tuple[str, ...], order: tuple[str, ...] = ()) -> str:
+    """Write ``df`` to the shared folder as a table bucketed by ``by``, one sorted file per bucket.
+
+    Joins and windows on ``by`` then read it without a shuffle. There are as many buckets as
+    shuffle partitions, so the other side of a join is shuffled to match. Returns the table's name.
+    """
+    spark = df.sparkSession
+    width, table = shuffle_width(spark), f"featspan_{name}_{uuid.uuid4().hex}".replace("-", "_")
+    (
+        df.repartition(width, *by)
+        .write.bucketBy(width, *by)
+        .sortBy(*by, *order)
+        .option("path", f"{work_dir(spark)}/{table}")
+        .saveAsTable(table)
+    )
+    return table

@@ -403,7 +403,9 @@ _add("design_matrix", _matrix)
 
 def _evaluate(s, sf):
     instances, log, config = _task(s, sf)
-    outcome = evaluate(prepare(instances, log, config), SCHEME, m.METRICS)
+    data = prepare(instances, log, config)
+    outcome = evaluate(data, SCHEME, m.METRICS)
+    data.close()
     rows = [(k, outcome.valid_scores[k], outcome.test_scores[k]) for k in m.METRICS]
     return s.createDataFrame(rows, "metric string, valid double, test double")
 
@@ -491,6 +493,7 @@ def _search(call):
         data = prepare(instances, log, config)
         ledger = Ledger(s, f"{work_dir(s)}/ledger-{uuid.uuid4().hex}")
         found = call(data, SearchConfig(rounds=2, n_features=6, pool=50, path_steps=2, seed=7), ledger)
+        data.close()
         return found.select("trial", "valid", "test", F.size("scheme").alias("n_features"))
 
     return run

@@ -33,7 +33,9 @@ def task(spark):
         layout=LAYOUT, train_rows=(1, 160), test_rows=(161, 240), train_days=(start, date(2024, 12, 31)),
         test_days=(start, date(2024, 12, 31)), horizon=40, boost_rounds=2, depth=2,
     )
-    return prepare(global_row_number(inst, ("ID",)), log_df, config)
+    data = prepare(global_row_number(inst, ("ID",)), log_df, config)
+    yield data
+    data.close()
 
 
 SCHEME = [
@@ -63,6 +65,22 @@ def test_matrix_and_alignment(task):
     assert learn.shuffled(columns, 1) == learn.shuffled(columns, 1)
 
 
+def test_rounds_do_not_shuffle_the_day_partials(task, spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table, _ = features_of(task, [f for f in SCHEME if f.rule != TS_RULE])
+        plan = table._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_crowded_days_only_are_kept(task):
+    rows = task.train.log.groupBy("ID", "timestep").count()
+    assert not task.train.days.one_row_per_day and rows.where("count = 1").isEmpty()
+
+
 def test_other_tasks_fit(task):
     table, lineage = features_of(task, SCHEME)
     names = list(lineage)

@@ -57,20 +57,15 @@ def test_draws_without_repeats(spark, candidates):
     assert s.sample_uniform(candidates, 10_000, 1).count() == candidates.count()
 
 
-def test_rules_are_drawn_evenly(spark, candidates):
-    kept = candidates.persist()
-    seeds = spark.range(600).select(F.col("id").cast("string").alias("seed"))
-    # One draw per seed over all candidates at once: smallest key per seed.
-    u = s.unit_hash("feature", "seed")
-    first = (
-        kept.join(seeds)
-        .withColumn("k", -F.log(F.greatest(u, F.lit(2.0**-53))) / F.col("weight"))
-        .groupBy("seed")
-        .agg(F.min_by("rule", "k").alias("rule"))
-    )
+def test_rules_are_drawn_evenly(candidates):
+    by_rule = {r["rule"]: r["w"] for r in candidates.groupBy("rule").agg(F.sum("weight").alias("w")).collect()}
+    assert all(by_rule[r] == pytest.approx(1 / 3) for r in RULES)
+    # One draw per seed over all candidates at once: the smallest key of each seed.
+    seeded = candidates.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(600))))
+    u = F.greatest(s.unit_hash("feature", "seed"), F.lit(2.0**-53))
+    first = seeded.withColumn("k", -F.log(u) / F.col("weight")).groupBy("seed").agg(F.min_by("rule", "k").alias("rule"))
     rules = Counter(r["rule"] for r in first.collect())
     assert all(150 < rules[r] < 250 for r in RULES)
-    kept.unpersist()
 
 
 def test_biased_weights(spark, candidates):
