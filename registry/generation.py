@@ -9,7 +9,7 @@ from featspan.operators.generate import generate
 from featspan.operators.horizon import profile
 from registry import views as v
 
-DIGITS = 6
+DIGITS = 3
 
 
 def rounded(df, key):
