@@ -108,12 +108,10 @@ def quoted(names) -> list[str]:
     return [f"`{n}`" for n in names]
 
 
-def daily_partials(log: DataFrame, plan: Plan, layout: Layout) -> DataFrame:
-    """One row per user and day: row count and, per column, sum, squared deviations, extremes,
-    positive count, token count and the value of the day's latest row, as far as asked for."""
-    with_top = any("top" in s for s in plan.states.values())
-    ties = quoted(tie_columns(log, layout)) if with_top else []
-    values, aggs = [], ["count(1) as __n"]
+def day_values(log: DataFrame, plan: Plan, layout: Layout, with_tie: bool = False) -> DataFrame:
+    """Log rows as (user, __day, [__tie], one value and/or token count per column)."""
+    ties = quoted(tie_columns(log, layout)) if with_tie else []
+    values = []
     for c, states in plan.states.items():
         i = plan.slot[c]
         if states - {"tok"}:
@@ -122,6 +120,22 @@ def daily_partials(log: DataFrame, plan: Plan, layout: Layout) -> DataFrame:
             text = F.col(f"`{c}`").cast("string")
             count = F.when(F.length(text) >= MIN_TOKEN_TEXT, token_count(text)).otherwise(0)
             values.append(count.cast("double").alias(f"__t{i}"))
+    order = ties[0] if len(ties) == 1 else f"struct({', '.join(ties)})"
+    return log.select(
+        *layout.user,
+        as_day(log, layout.day).alias("__day"),
+        *([F.expr(f"{order} as __tie")] if ties else []),
+        *values,
+    ).where("__day is not null")
+
+
+def daily_partials(log: DataFrame, plan: Plan, layout: Layout) -> DataFrame:
+    """One row per user and day: row count and, per column, sum, squared deviations, extremes,
+    positive count, token count and the value of the day's latest row, as far as asked for."""
+    with_top = any("top" in s for s in plan.states.values())
+    rows, aggs = day_values(log, plan, layout, with_top), ["count(1) as __n"]
+    for c, states in plan.states.items():
+        i = plan.slot[c]
         merge = {
             "sum": f"sum(__v{i})",
             "m2": f"var_pop(__v{i}) * count(1)",
@@ -129,16 +143,9 @@ def daily_partials(log: DataFrame, plan: Plan, layout: Layout) -> DataFrame:
             "hi": f"max(__v{i})",
             "pos": f"count_if(__v{i} > 0)",
             "tok": f"max(__t{i})",
-            "top": f"max_by(__v{i}, __tie)" if ties else f"max(__v{i})",
+            "top": f"max_by(__v{i}, __tie)" if "__tie" in rows.columns else f"max(__v{i})",
         }
         aggs += [f"{merge[state]} as __{state}{i}" for state in merge if state in states]
-    order = ties[0] if len(ties) == 1 else f"struct({', '.join(ties)})"
-    rows = log.select(
-        *layout.user,
-        as_day(log, layout.day).alias("__day"),
-        *([F.expr(f"{order} as __tie")] if ties else []),
-        *values,
-    ).where("__day is not null")
     return rows.groupBy(*layout.user, "__day").agg(*map(F.expr, aggs))
 
 
@@ -153,10 +160,35 @@ def prepare_days(log: DataFrame, columns, layout: Layout = Layout()) -> DayTable
     return DayTable(daily_partials(log, plan, layout), tuple(columns))
 
 
-def pick_days(days: DayTable, plan: Plan, layout: Layout) -> DataFrame:
-    """The partials a scheme needs out of a prepared table."""
+def days_for(log: DataFrame, plan: Plan, layout: Layout, days: DayTable | None) -> tuple[DataFrame, bool]:
+    """The day side of the join, and whether it holds single rows instead of partials.
+
+    Where a day has one row, that row's value is every partial there is: nothing is reduced,
+    and only the value crosses the shuffle of the join.
+    """
+    if days is None:
+        if layout.one_row_per_day:
+            return day_values(log, plan, layout), True
+        return daily_partials(log, plan, layout), False
+    if days.one_row_per_day:
+        values = [f"__sum{plan.slot[c]} as __v{plan.slot[c]}" for c in plan.columns if plan.states[c] - {"tok"}]
+        values += [f"__tok{plan.slot[c]} as __t{plan.slot[c]}" for c in plan.columns if "tok" in plan.states[c]]
+        return days.frame.selectExpr(*quoted(layout.user), "__day", *values), True
     wanted = [f"__{state}{plan.slot[c]}" for c in plan.columns for state in sorted(plan.states[c])]
-    return days.frame.select(*layout.user, "__day", "__n", *wanted)
+    return days.frame.select(*layout.user, "__day", "__n", *wanted), False
+
+
+def _partials_of(plan: Plan, single: bool) -> list[str]:
+    """Partials of the matched day ``d``; of a single row they all follow from its value."""
+    if not single:
+        names = [f"__{state}{plan.slot[c]}" for c in plan.columns for state in sorted(plan.states[c])]
+        return ["d.__day", "d.__n", *[f"d.{n}" for n in names]]
+    out = ["d.__day", "if(d.__day is null, null, 1) as __n"]
+    for c in plan.columns:
+        i = plan.slot[c]
+        value = {"m2": "if(d.__day is null, null, 0d)", "pos": f"if(d.__v{i} > 0, 1, 0)", "tok": f"d.__t{i}"}
+        out += [f"{value.get(state, f'd.__v{i}')} as __{state}{i}" for state in sorted(plan.states[c])]
+    return out
 
 
 def day_prefixes(log: DataFrame, plan: Plan, layout: Layout, depth: int) -> DataFrame:
@@ -244,8 +276,7 @@ def generate(
 
     domains = _domains(layout)
     masks = {f: _mask(f, layout, direction, days_per_part) for f in plan.features}
-    partials = pick_days(days, plan, layout) if days else daily_partials(log, plan, layout)
-    joined, salt = _join_days(instances, partials, plan, layout, key, domains, hot)
+    joined, salt = _join_days(instances, days_for(log, plan, layout, days), plan, layout, key, domains, hot)
     ts = bool(plan.ts_parts)
     group = [*key, *salt]
     inside = domains[TS_RULE]
@@ -320,7 +351,7 @@ def _mask(f: Feature, layout: Layout, direction: str, days_per_part: float) -> t
 
 def _join_days(
     instances: DataFrame,
-    days: DataFrame,
+    days_side: tuple[DataFrame, bool],
     plan: Plan,
     layout: Layout,
     key: list[str],
@@ -328,6 +359,7 @@ def _join_days(
     hot: DataFrame | None | str,
 ) -> tuple[DataFrame, list[str]]:
     """Instances left joined to the days any rule of the scheme can see, and the salt column if any."""
+    days, single = days_side
     side = instances.select(
         *key,
         *([as_day(instances, layout.first).alias("__first")] if layout.first else []),
@@ -346,12 +378,11 @@ def _join_days(
     deviating = [plan.slot[c] for c in plan.columns if "m2" in plan.states[c]]
     if deviating:
         whole = f"over (partition by {', '.join(quoted(on))})"
-        days = days.selectExpr(
-            "*", *[f"sum(__sum{i}) {whole} / sum(__n) {whole} as __mid{i}" for i in deviating]
-        )
+        mean = "avg(__v{0}) {1}" if single else "sum(__sum{0}) {1} / sum(__n) {1}"
+        days = days.selectExpr("*", *[f"{mean.format(i, whole)} as __mid{i}" for i in deviating])
     visible = " or ".join(domains[rule] for rule in sorted(plan.rules()))
     same = " and ".join(f"i.`{c}` = d.`{c}`" for c in on)
-    keep = [f"d.`{c}`" for c in days.columns if c not in on]
+    keep = _partials_of(plan, single) + [f"d.__mid{i}" for i in deviating]
     match = F.expr(f"{same} and ({visible})")
     return side.alias("i").join(days.alias("d"), match, "left").selectExpr("i.*", *keep), salt
 

@@ -18,9 +18,8 @@ from featspan.operators.generate import (
     _domains,
     _join_days,
     _value,
-    daily_partials,
     day_prefixes,
-    pick_days,
+    days_for,
     quoted,
 )
 
@@ -55,9 +54,8 @@ def profile(
     features = [Feature(c, rule, m, grid[0]) for c in columns for m in methods]
     plan = Plan(features, days.columns if days else ())
     key = [*layout.instance, *[c for c in layout.carry if c in instances.columns and c not in layout.instance]]
-    partials = pick_days(days, plan, layout) if days else daily_partials(log, plan, layout)
     domains = _domains(layout)
-    joined, salt = _join_days(instances, partials, plan, layout, key, domains, hot)
+    joined, salt = _join_days(instances, days_for(log, plan, layout, days), plan, layout, key, domains, hot)
     group, beyond = [*key, *salt], len(grid) + 1
     depth = max_parts or grid[-1]
     if rule == TS_RULE:

@@ -110,6 +110,29 @@ def test_prepared_days_give_the_same(spark):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
 
 
+def test_logs_with_one_row_per_day_need_no_reduction(spark):
+    rows, keys, log, inst = tables(spark, seed=11, rows=300, hot=1)
+    kept = {}
+    for r in rows:
+        kept[r[0], r[1]] = r
+    rows = list(kept.values())
+    single = log.join(spark.createDataFrame([(r[2],) for r in rows], "k long"), "k")
+    layout, scheme = LAYOUT.with_(one_row_per_day=True), every_feature(("f1", "f2"))
+    hot = find_hot_users(inst, ("ID",), min_rows=3)
+    for options in ({}, {"hot": hot}, {"mask": "null"}):
+        table, _ = generate(inst, single, scheme, layout, **options)
+        check(table, keys, rows, scheme, 7, mask=options.get("mask", "zero"))
+    days = DayTable(prepare_days(single, ["f1", "f2"], LAYOUT).frame, ("f1", "f2"), one_row_per_day=True)
+    table, _ = generate(inst, single, scheme, LAYOUT, days=days)
+    check(table, keys, rows, scheme, 7)
+    long = profile(inst, single, ["f1"], [1, 3, 7], layout, rule=TS_RULE)
+    wide, _ = generate(inst, single, [Feature("f1", TS_RULE, "std", p) for p in (1, 3, 7)], layout)
+    want = {(r["ID"], r["first_timestep"], r["last_timestep"]): r for r in wide.collect()}
+    for r in long.collect():
+        cell = want[r["ID"], r["first_timestep"], r["last_timestep"]][f"f1_{r['parts']}ts_std"]
+        assert r["f1_std"] == pytest.approx(cell, abs=1e-9)
+
+
 def test_default_tie_break_is_total(spark):
     _, _, log, inst = tables(spark, seed=6, span=5)
     scheme = [Feature("f1", TS_RULE, m, 3) for m in METHODS[TS_RULE]]
