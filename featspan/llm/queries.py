@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featspan.llm.chat import digests, format_chats, gather
+from featspan.llm.decontam import judge
 from featspan.llm.html import extract
 from featspan.llm.packing import Capacity, pack_documents
+from featspan.llm.quality import classify
 from featspan.llm.storage import table
 
 
@@ -24,6 +26,43 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), Capacity(tokens=1024))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest_match")
+
+
+OP5_SQL = r"""
+WITH item AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS id, w FROM (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL)
+  WHERE len(w) > 0
+), win AS (
+  SELECT DISTINCT id, least(len(w), 13) AS n, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS s
+  FROM item, LATERAL (SELECT unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i)
+), doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), spot AS (
+  SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS s
+  FROM doc, (SELECT DISTINCT n FROM win), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i)
+), found AS (
+  SELECT r, id, n, i FROM spot JOIN win USING (n, s)
+), hit AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM found) GROUP BY r
+), own AS (
+  SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, id FROM found) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN hit USING (r) LEFT JOIN own USING (r)
+"""
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"
@@ -59,6 +98,9 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_best_fit_packing, op9_chat_formatting, op10_html_extraction)
+    for f in (op4_best_fit_packing, op5_benchmark_decontamination, op6_quality_classifier, op9_chat_formatting, op10_html_extraction)
+}
+ORACLES: dict[str, str] = {
+    "op5_benchmark_decontamination": OP5_SQL,
+    "op9_chat_formatting": OP9_SQL,
 }
-ORACLES: dict[str, str] = {"op9_chat_formatting": OP9_SQL}
