@@ -13,6 +13,7 @@ from featspan.llm.html import extract
 from featspan.llm.packing import Capacity, pack_documents
 from featspan.llm.quality import classify
 from featspan.llm.storage import table
+from featspan.llm.substring import repeated_passages
 
 
 def vocabulary() -> str:
@@ -63,6 +64,31 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeated_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT r, doc_id, i, array_to_string(w[i : i + 12], ' ') AS s FROM doc, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS i)
+), first AS (
+  SELECT r, i, min(doc_id) OVER (PARTITION BY s) < doc_id AS later FROM win
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM first WHERE later
+), word AS (
+  SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM doc
+), kept AS (
+  SELECT r, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (r)
+"""
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"
@@ -98,9 +124,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_best_fit_packing, op5_benchmark_decontamination, op6_quality_classifier, op9_chat_formatting, op10_html_extraction)
+    for f in (op4_best_fit_packing, op5_benchmark_decontamination, op6_quality_classifier, op8_substring_dedup, op9_chat_formatting, op10_html_extraction)
 }
 ORACLES: dict[str, str] = {
     "op5_benchmark_decontamination": OP5_SQL,
+    "op8_substring_dedup": OP8_SQL,
     "op9_chat_formatting": OP9_SQL,
 }
