@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from featspan.llm.chat import digests, format_chats, gather
 from featspan.llm.decontam import judge
 from featspan.llm.html import extract
+from featspan.llm.minhash import near_duplicates
 from featspan.llm.packing import Capacity, pack_documents
 from featspan.llm.quality import classify
 from featspan.llm.storage import table
@@ -64,6 +65,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_passages(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -124,7 +129,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_best_fit_packing, op5_benchmark_decontamination, op6_quality_classifier, op8_substring_dedup, op9_chat_formatting, op10_html_extraction)
+    for f in (op4_best_fit_packing, op5_benchmark_decontamination, op6_quality_classifier, op7_minhash_near_dedup, op8_substring_dedup, op9_chat_formatting, op10_html_extraction)
 }
 ORACLES: dict[str, str] = {
     "op5_benchmark_decontamination": OP5_SQL,
