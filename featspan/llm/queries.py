@@ -15,6 +15,7 @@ from featspan.llm.packing import Capacity, pack_documents
 from featspan.llm.quality import classify
 from featspan.llm.storage import table
 from featspan.llm.substring import repeated_passages
+from featspan.llm.warc import archive_pages
 
 
 def vocabulary() -> str:
@@ -24,6 +25,23 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(spark, table(spark, sf_dir, "pages"))
+
+
+OP3_SQL = """
+WITH page AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages
+), one AS (
+  SELECT d, n, max(page_id) AS first FROM page WHERE n >= 1000 GROUP BY d, n
+)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM page LEFT JOIN one USING (d, n)
+"""
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), Capacity(tokens=1024))
 
@@ -129,9 +147,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_best_fit_packing, op5_benchmark_decontamination, op6_quality_classifier, op7_minhash_near_dedup, op8_substring_dedup, op9_chat_formatting, op10_html_extraction)
+    for f in (op3_warc, op4_best_fit_packing, op5_benchmark_decontamination, op6_quality_classifier, op7_minhash_near_dedup, op8_substring_dedup, op9_chat_formatting, op10_html_extraction)
 }
 ORACLES: dict[str, str] = {
+    "op3_warc": OP3_SQL,
     "op5_benchmark_decontamination": OP5_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op9_chat_formatting": OP9_SQL,
