@@ -13,6 +13,7 @@ from featspan.llm.html import extract
 from featspan.llm.minhash import near_duplicates
 from featspan.llm.packing import Capacity, pack_documents
 from featspan.llm.quality import classify
+from featspan.llm.secret_scan import scan
 from featspan.llm.storage import table
 from featspan.llm.substring import repeated_passages
 from featspan.llm.warc import archive_pages
@@ -25,6 +26,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(spark, table(spark, sf_dir, "pages"))
 
@@ -147,7 +152,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_warc, op4_best_fit_packing, op5_benchmark_decontamination, op6_quality_classifier, op7_minhash_near_dedup, op8_substring_dedup, op9_chat_formatting, op10_html_extraction)
+    for f in (op1_secret_scans, op3_warc, op4_best_fit_packing, op5_benchmark_decontamination, op6_quality_classifier, op7_minhash_near_dedup, op8_substring_dedup, op9_chat_formatting, op10_html_extraction)
 }
 ORACLES: dict[str, str] = {
     "op3_warc": OP3_SQL,
