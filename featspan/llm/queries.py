@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from featspan.llm.chat import digests, format_chats, gather
 from featspan.llm.decontam import judge
+from featspan.llm.embed_dedup import linked_vectors
 from featspan.llm.html import extract
 from featspan.llm.minhash import near_duplicates
 from featspan.llm.packing import Capacity, pack_documents
@@ -30,6 +31,32 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+OP2_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pair AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM usable a JOIN usable b ON a.r <> b.r AND list_cosine_similarity(a.v, b.v) >= 0.95
+), reach AS (
+  SELECT vec_id AS u, vec_id AS v FROM usable
+  UNION
+  SELECT reach.u, pair.v FROM reach JOIN pair ON reach.v = pair.u
+), name AS (
+  SELECT u AS vec_id, min(v) AS component_id FROM reach GROUP BY u
+), links AS (
+  SELECT u AS vec_id, count(*) AS n_links FROM pair GROUP BY u
+)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, e.vec_id) AS component_id,
+  coalesce(component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN name USING (vec_id) LEFT JOIN links USING (vec_id)
+"""
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(spark, table(spark, sf_dir, "pages"))
 
@@ -152,9 +179,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scans, op3_warc, op4_best_fit_packing, op5_benchmark_decontamination, op6_quality_classifier, op7_minhash_near_dedup, op8_substring_dedup, op9_chat_formatting, op10_html_extraction)
+    for f in (op1_secret_scans, op2_embedding_near_dedup, op3_warc, op4_best_fit_packing, op5_benchmark_decontamination, op6_quality_classifier, op7_minhash_near_dedup, op8_substring_dedup, op9_chat_formatting, op10_html_extraction)
 }
 ORACLES: dict[str, str] = {
+    "op2_embedding_near_dedup": OP2_SQL,
     "op3_warc": OP3_SQL,
     "op5_benchmark_decontamination": OP5_SQL,
     "op8_substring_dedup": OP8_SQL,
