@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featspan.llm.storage import materialise
+
 #: ASCII bytes outside words become spaces, A-Z become a-z; all other bytes are parts of words.
 _WORDS = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
@@ -198,9 +200,13 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int =
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
-    """The documents without contaminated ones; a null doc_id is never dropped. Ids are shuffled, texts once."""
-    bad = judge(docs, benchmark, window, share).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """The documents without contaminated ones, all columns; a null doc_id is never dropped.
+
+    The ids that go are a written table, so that Spark knows its size: a small one is sent to the
+    tasks, a large one joined by shuffle.
+    """
+    bad = materialise(judge(docs, benchmark, window, share).where("contaminated").select("doc_id").distinct(), "contaminated")
+    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
 
 
 def digest(items: list[str]) -> str:

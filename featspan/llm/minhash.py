@@ -269,3 +269,13 @@ def near_duplicates(
     out = sketch.select("doc_id", "n_shingles").join(final, "doc_id", "left")
     name = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", name.alias("component_id"), F.coalesce(name == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
+    """The documents that are the smallest of their component, all columns.
+
+    What goes is a written table of ids, so that Spark knows its size: a small one is sent to the
+    tasks, a large one joined by shuffle.
+    """
+    gone = near_duplicates(docs, threshold).where("NOT kept").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
+    return docs.join(materialise(gone, "near-copies"), "doc_id", "left_anti").select(*docs.columns)

@@ -178,3 +178,22 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, shrinka
     stats = materialise(statistics(docs), "statistics")
     out = score(stats, fit(stats, labels, shrinkage, calm), threshold)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, shrinkage: float = 0.05, calm: float = 30.0) -> DataFrame:
+    """The documents with a score of ``threshold`` or more, all columns; learnt from them and their labels.
+
+    Texts stay where they are: the model goes to them, and their statistics are taken a second time.
+    """
+    model = fit(materialise(statistics(docs), "statistics"), labels, shrinkage, calm)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                made = [statistics_of(t) for t in part.column(at).to_pylist()]
+                scores = model.score(np.array([x for _, x in made]), np.array([n for n, _ in made], float))
+                yield part.filter(pa.array(scores >= threshold))
+
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
