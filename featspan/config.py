@@ -96,10 +96,10 @@ class TaskConfig:
     name: str = "public_user"
     task: str = "01-Class"  # 01-Class | Multi-Class | Regression
     layout: Layout = field(default_factory=Layout)
-    train_rows: tuple[int, int] = (1, 500000)
-    test_rows: tuple[int, int] = (500001, 970960)
-    train_days: tuple = (20150101, 20170331)
-    test_days: tuple = (20150101, 20170331)
+    train_rows: tuple[int, int] | None = None  # closed ranges; None is all rows or days
+    test_rows: tuple[int, int] | None = None
+    train_days: tuple | None = None
+    test_days: tuple | None = None
     horizon: int = 819
     direction: str = "right"
     boost_rounds: int = 10
@@ -108,10 +108,20 @@ class TaskConfig:
     depth: int = 6
     step: float = 0.05
     positive_weight: float = 2.0
+    patience: int | None = None  # rounds without gain on the held-out rows before boosting ends; None: all rounds
     holdout: float = 0.2
     seed: int = 2023
 
 
+# Row and day ranges of the shipped task, for TaskConfig(**SHIPPED_RANGES).
+SHIPPED_RANGES = {
+    "train_rows": (1, 500000),
+    "test_rows": (500001, 970960),
+    "train_days": (20150101, 20170331),
+    "test_days": (20150101, 20170331),
+}
+
+
 @dataclass(frozen=True)
 class SearchConfig:
     """Budget and selectors of a search."""

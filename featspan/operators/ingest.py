@@ -114,12 +114,12 @@ def labels_of(raw: DataFrame) -> DataFrame:
 
 
 def slice_tables(
-    instances: DataFrame, log: DataFrame, row_range: tuple, day_range: tuple, layout: Layout = Layout()
+    instances: DataFrame, log: DataFrame, row_range: tuple | None, day_range: tuple | None, layout: Layout = Layout()
 ) -> tuple[DataFrame, DataFrame]:
-    """Closed range of instance row numbers and closed range of log days."""
-    rows = fill_zero(instances.where(F.col("row_num").between(*row_range)))
-    days = fill_zero(log.where(F.col(layout.day).between(*day_range)))
-    return rows, days
+    """Closed range of instance row numbers and closed range of log days; None takes all."""
+    rows = instances if row_range is None else instances.where(F.col("row_num").between(*row_range))
+    days = log if day_range is None else log.where(F.col(layout.day).between(*day_range))
+    return fill_zero(rows), fill_zero(days)
 
 
 def train_tables(instances: DataFrame, log: DataFrame, task: TaskConfig) -> tuple[DataFrame, DataFrame]:

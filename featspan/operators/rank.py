@@ -28,6 +28,8 @@ def _predict(train: DataFrame, pool: DataFrame, targets: list[str], sizes: dict[
     The encoder learns its widths from one row of the largest codes, so codes the history has not
     seen are fine.
     """
+    if train.isEmpty():  # nothing known yet: every candidate is worth the same
+        return pool.withColumns({f"{t}_hat": F.lit(0.0) for t in targets})
     codes, hot = list(sizes), [f"{c}_hot" for c in sizes]
     widest = train.sparkSession.createDataFrame([tuple(sizes.values())], ", ".join(f"{c} int" for c in codes))
     encoder = OneHotEncoder(inputCols=codes, outputCols=hot, handleInvalid="keep").fit(widest)
@@ -42,8 +44,9 @@ def _predict(train: DataFrame, pool: DataFrame, targets: list[str], sizes: dict[
 
 
 def rank_candidates(history: DataFrame, pool: DataFrame, books: CodeBooks, by: str = "score") -> DataFrame:
-    """Pool with its expected value, best first.
+    """Pool with its expected value, best first, of equal ones the one drawn earlier.
 
+    Without a history every expected value is 0.
     ``history``: scheme fields plus score_max, score_avg, imp_max, imp_avg per feature.
     ``by``: "score" (score_max + score_avg), "imp" (imp_max + imp_avg), or "both"
     (score_avg * imp_avg + score_avg).
@@ -53,7 +56,8 @@ def rank_candidates(history: DataFrame, pool: DataFrame, books: CodeBooks, by: s
     guessed = _predict(train, encode(pool, books), targets, _sizes(books))
     a, b = (F.col(f"{t}_hat") for t in targets)
     value = a * b + a if by == "both" else a + b
-    return guessed.withColumn("expected", value).select(*FIELDS, "expected").orderBy(F.col("expected").desc(), "feature")
+    out = guessed.withColumn("expected", value).select(*FIELDS, "position", "expected")
+    return out.orderBy(F.col("expected").desc(), "position")
 
 
 def _side(df: DataFrame, prefix: str, books: CodeBooks) -> DataFrame:
@@ -70,7 +74,8 @@ def rank_pairs(
 
     ``pairs`` (parent, child, score_max, score_avg) trains; ``schemes`` resolves names. ``keys``
     (draw, scheme fields) and ``pool`` (position, scheme fields) are matched draw by draw, and
-    a candidate drawn several times counts by its best pair.
+    a candidate drawn several times counts by its best pair. Equal ones are in draw order, and
+    without pairs or keys every candidate is worth 0.
     """
     named = schemes.select("feature", "column", "rule", "method", "parts").distinct()
     parents = _side(named, "x_", books).withColumnRenamed("feature", "parent")
@@ -80,9 +85,14 @@ def rank_pairs(
     right = encode(pool.withColumnRenamed("position", "draw"), books)
     right = right.select("draw", *FIELDS, *[F.col(c).alias(f"y_{c}") for c in CODES])
     sizes = {**_sizes(books, "x_"), **_sizes(books, "y_")}
-    guessed = _predict(train, left.join(right, "draw"), ["score_max", "score_avg"], sizes)
-    best = guessed.groupBy(*FIELDS).agg(F.max(F.col("score_max_hat") + F.col("score_avg_hat")).alias("expected"))
-    return best.orderBy(F.col("expected").desc(), "feature")
+    value = F.col("score_max_hat") + F.col("score_avg_hat")
+    matched = left.join(right, "draw")
+    if train.isEmpty() or matched.isEmpty():
+        matched, value = right, F.lit(0.0)
+    else:
+        matched = _predict(train, matched, ["score_max", "score_avg"], sizes)
+    best = matched.groupBy(*FIELDS).agg(F.min("draw").alias("position"), F.max(value).alias("expected"))
+    return best.orderBy(F.col("expected").desc(), "position")
 
 
 # Attributes of a step whose transitions are compared.

@@ -68,7 +68,7 @@ def prepare(instances: DataFrame, log: DataFrame, config: TaskConfig) -> TaskDat
     test, test_log = slice_tables(instances, log, config.test_rows, config.test_days, layout)
     train_rows, train_days = _reduce(train_log, config, "train")
     test_rows, test_days = train_rows, train_days
-    if tuple(config.train_days) != tuple(config.test_days):
+    if config.train_days != config.test_days:
         test_rows, test_days = _reduce(test_log, config, "test")
 
     def part(frame: DataFrame, name: str, rows: DataFrame, days: DayTable) -> Part:

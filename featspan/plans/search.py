@@ -118,7 +118,7 @@ def guided_scheme(
         names = [r["feature"] for r in df.orderBy(*order).limit(2 * n).collect()]
         return spark.createDataFrame([(f, i) for i, f in enumerate(names, 1)], "feature string, position int")
 
-    by_value = (F.col("expected").desc(), F.col("feature"))
+    by_value = (F.col("expected").desc(), F.col("position"))
     lists = []
     for name in selectors:
         if name == "best_scheme_sample":
@@ -133,7 +133,7 @@ def guided_scheme(
             ranked = rank.rank_candidates(history, pool(name, config.pool), books, name.split("_")[0])
             lists.append(head(ranked, by_value))
         elif name == "tree_path":
-            names = _grow_paths(ledger, fields, pool, max(2 * int(n * rate), 1), config, seed)
+            names = _grow_paths(ledger, fields, pool, config, seed)
             lists.append(spark.createDataFrame(names, "feature string, position int"))
         elif name == "pair_path":
             known = t.key_pool(flat).withColumnRenamed("column", "feature").join(fields, "feature")
@@ -166,17 +166,21 @@ def _pair_history(ledger: Ledger, config: SearchConfig, seed: str) -> DataFrame:
     return trees.pair_history(positive, negative, trials)
 
 
-def _grow_paths(ledger: Ledger, fields: DataFrame, pool, steps: int, config: SearchConfig, seed: str) -> list[tuple]:
-    """Grow paths step by step; each takes one of the ten best continuations of the step.
+def _grow_paths(ledger: Ledger, fields: DataFrame, pool, config: SearchConfig, seed: str) -> list[tuple]:
+    """Grow paths for ``path_steps`` steps; each takes one of the ten best continuations of the step.
 
-    A path's position at any step follows from its number and that step's ten best rows, which
+    The features are read off path by path and a scheme takes n at most, of which at most n are there
+    already: once the first path holds 2 n different ones, further steps are without effect and are
+    not taken. A path's position at any step follows from its number and that step's ten best rows, which
     are all that reaches the driver.
     """
     trials = ledger.trials()
     paths = trials.select("trial", F.posexplode("path").alias("position", "feature")).join(fields, "feature")
     lifts = rank.step_lifts(t.path_targets(paths, trials)).persist()
     previous, picks = None, []
-    for step in range(min(steps, config.path_steps)):
+    for step in range(config.path_steps):
+        if len({f for path, _, f in picks if path == 1}) >= 2 * config.n_features:
+            break
         ranked = rank.path_step(lifts, pool(f"path{step}", config.pool), previous)
         top = ranked.limit(rank.TOP).collect()
         if not top:

@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from featspan.functions.days import day_to_int, left_days, shift_parts
 from featspan.functions.scalars import diff_or_zero, fill_zero, ratio_or_zero, token_count
-from featspan.operators.ingest import attach_static, build_instances, first_last, outer_merge, slice_tables
+from featspan.operators.ingest import (
+    attach_static,
+    build_instances,
+    build_log,
+    first_last,
+    labels_of,
+    outer_merge,
+    slice_tables,
+)
 from featspan.operators.learn import align_columns
 from featspan.operators.generate import generate
 from featspan.operators.rownum import global_row_number, holdout
 from featspan.config import ALL_RULE, Feature, Layout
-from featspan.sources.readers import union_logs
+from featspan.session import materialise, work_dir
+from featspan.sources import readers
+from featspan.sources.readers import read_table, union_logs
 from registry import views as v
 
 QUERIES, ORACLES = {}, {}
@@ -110,15 +122,23 @@ _add(
 
 
 def _union(s, sf):
-    events = v.log_events(s, sf).withColumn("type", F.col("f2") % 5)
-    parts = [events.where(F.col("type") == i).drop("type") for i in range(5)]
-    return _int_day(union_logs(parts)).select("ID", "timestep", "k", F.col("f1").cast("double").alias("f1"))
+    """Two readings of the event file and its parts written as CSV and Parquet, read back and put together."""
+    events = _int_day(v.log_events(s, sf)).withColumn("part", F.coalesce(F.col("f2") % 3, F.lit(0)))
+    folder = f"{work_dir(s)}/logs-{uuid.uuid4().hex}"
+    schema = "ID bigint, timestep int, f1 double, f2 int, k bigint"
+    names = ["ID", "timestep", "f1", "f2", "k"]
+    split = events.select("part", *[F.col(c).cast(t.split()[1]).alias(c) for c, t in zip(names, schema.split(", "), strict=True)])
+    split.where("part < 2").write.partitionBy("part").option("header", True).csv(f"{folder}/csv")
+    split.where("part = 2").drop("part").write.parquet(f"{folder}/rest.parquet")
+    files = [f"{folder}/csv/part={i}" for i in range(2) if not split.where(F.col("part") == i).isEmpty()]
+    frames = [read_table(s, files, schema, names)] if files else []
+    return union_logs([*frames, read_table(s, f"{folder}/rest.parquet", schema, names)])
 
 
 _add(
     "union_logs",
     _union,
-    f"""SELECT user_id AS "ID", {DAY.format('ts::date')} AS timestep, event_id AS k, value AS f1 FROM events""",
+    f"""SELECT user_id AS "ID", {DAY.format('ts::date')} AS timestep, event_id AS k, value AS f1, length(props)::int AS f2 FROM events""",
 )
 
 _PARTS = (-9, -4, -3, -1, 0, 1, 3, 10, 75)
@@ -243,3 +263,104 @@ _add(
     f"""SELECT c_custkey, CASE WHEN {HASH.format('c_custkey::varchar')} > 0.2 THEN 'train' ELSE 'valid' END AS part
     FROM customer""",
 )
+
+
+# --- raw tables end to end -------------------------------------------------------
+
+
+def _int(c):
+    return F.col(c).cast("int")
+
+
+def _raw(s, sf):
+    """The given tables in the raw schemas, written as files and read back by them."""
+    day = day_to_int(F.col("o_orderdate").cast("date"))
+    ship = v.read(s, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.max(F.col("l_shipdate").cast("date")).alias("until"), F.count(F.lit(1)).cast("int").alias("lines")
+    )
+    orders = v.read(s, sf, "orders").join(ship, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    user = F.col("o_custkey").cast("string").alias("msno")
+    pay = orders.select(
+        user, day.alias("transaction_date"), (F.col("o_orderkey") % 7).cast("int").alias("payment_method_id"),
+        F.col("lines").alias("payment_plan_days"), (F.col("o_totalprice") / 100).cast("int").alias("plan_list_price"),
+        (F.col("o_totalprice") / 200).cast("int").alias("actual_amount_paid"),
+        F.length("o_orderpriority").alias("is_auto_renew"), F.length("o_orderstatus").alias("is_cancel"),
+        day_to_int("until").alias("membership_expire_date"),
+    )
+    kinds = [F.sum((F.col("event_type") == k).cast("int")).cast("int") for k in ("view", "click", "purchase")]
+    events = v.read(s, sf, "events")
+    usage = events.groupBy(F.col("user_id").cast("string").alias("msno"), day_to_int(F.col("ts").cast("date")).alias("date")).agg(
+        *[k.alias(n) for k, n in zip(kinds, ("num_25", "num_50", "num_75"), strict=True)],
+        F.count(F.lit(1)).cast("int").alias("num_985"), F.max(F.length("props")).alias("num_100"),
+        F.countDistinct("event_type").cast("int").alias("num_unq"), F.round(F.sum("value"), 3).alias("total_secs"),
+    )
+    customers = v.read(s, sf, "customer")
+    members = customers.select(
+        F.col("c_custkey").cast("string").alias("msno"), _int("c_nationkey").alias("city"),
+        F.length("c_mktsegment").alias("bd"), _int("c_acctbal").alias("registered_via"),
+    )
+    labels = customers.select(F.col("c_custkey").cast("string").alias("msno"), (F.col("c_acctbal") < 0).cast("int").alias("is_churn"))
+    folder = f"{work_dir(s)}/raw-{uuid.uuid4().hex}"
+    pay.write.option("header", True).csv(f"{folder}/transactions")
+    half = F.col("date") % 2
+    usage.where(half == 0).write.parquet(f"{folder}/even.parquet")
+    usage.where(half == 1).write.parquet(f"{folder}/odd.parquet")
+    members.write.option("header", True).csv(f"{folder}/members")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    return (
+        read_table(s, f"{folder}/transactions", readers.TRANSACTIONS),
+        read_table(s, [f"{folder}/even.parquet", f"{folder}/odd.parquet"], readers.USAGE),
+        read_table(s, f"{folder}/members", readers.MEMBERS),
+        read_table(s, f"{folder}/labels.parquet", readers.LABELS),
+    )
+
+
+_PAY_SQL = f"""SELECT o_custkey::varchar AS "ID", {DAY.format('o_orderdate::date')} AS timestep, (o_orderkey % 7)::int AS f1,
+    coalesce(lines, 0)::int AS f2, trunc(o_totalprice / 100)::int AS f3, trunc(o_totalprice / 200)::int AS f4,
+    length(o_orderpriority)::int AS f5, length(o_orderstatus)::int AS f6, coalesce((until - o_orderdate::date)::int, 0) AS f7
+  FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate::date) AS until, count(*) AS lines FROM lineitem GROUP BY 1)
+    ON o_orderkey = l_orderkey"""
+_USE_SQL = f"""SELECT user_id::varchar AS "ID", {DAY.format('ts::date')} AS timestep, sum((event_type = 'view')::int)::int AS f8,
+    sum((event_type = 'click')::int)::int AS f9, sum((event_type = 'purchase')::int)::int AS f10, count(*)::int AS f11,
+    max(length(props))::int AS f12, count(DISTINCT event_type)::int AS f13, round(sum(value), 3) AS f14
+  FROM events GROUP BY 1, 2"""
+_MEMBER_SQL = """SELECT c_custkey::varchar AS "ID", c_nationkey::int AS f15, length(c_mktsegment)::int AS f16,
+    trunc(c_acctbal)::int AS f17 FROM customer"""
+_RAW_LOG = f"""SELECT "ID", timestep, {', '.join(f'coalesce(f{i}, 0) AS f{i}' for i in range(1, 18))}
+  FROM ({_USE_SQL}) FULL JOIN ({_PAY_SQL}) USING ("ID", timestep) LEFT JOIN ({_MEMBER_SQL}) USING ("ID")"""
+
+_add(
+    "read_raw",
+    lambda s, sf: _raw(s, sf)[0].select(
+        F.col("msno").alias("ID"), F.col("transaction_date").alias("timestep"), F.col("payment_method_id").alias("f1"),
+        F.coalesce("payment_plan_days", F.lit(0)).alias("f2"), F.col("plan_list_price").alias("f3"),
+        F.col("actual_amount_paid").alias("f4"), F.col("is_auto_renew").alias("f5"), F.col("is_cancel").alias("f6"),
+    ),
+    f'SELECT "ID", timestep, f1, f2, f3, f4, f5, f6 FROM ({_PAY_SQL})',
+)
+
+
+def _raw_log(s, sf):
+    pay, usage, members, _ = _raw(s, sf)
+    return build_log(pay, usage, members)
+
+
+_add("build_log", _raw_log, _RAW_LOG)
+
+
+def _raw_instances(s, sf):
+    pay, usage, members, labels = _raw(s, sf)
+    log = materialise(build_log(pay, usage, members), "log")
+    return build_instances(labels_of(labels), log, salt="r1")
+
+
+_add(
+    "build_instances",
+    _raw_instances,
+    f"""WITH spans AS (SELECT "ID", min(timestep) AS f, max(timestep) AS l FROM ({_RAW_LOG}) GROUP BY 1),
+    t AS (SELECT c_custkey::varchar AS "ID", (c_acctbal < 0)::int AS label, coalesce(f, 0) AS first_timestep,
+                 coalesce(l, 0) AS last_timestep,
+                 {HASH.format("c_custkey || '|' || (c_acctbal < 0)::int || 'r1'")} AS rand_num
+          FROM customer LEFT JOIN spans ON c_custkey::varchar = "ID")
+    SELECT *, row_number() OVER (ORDER BY rand_num, "ID", label) AS row_num FROM t""",
+)

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 from featspan.config import ALL_RULE, METHODS, PART_RULE, RULES, TS_RULE, Feature, SearchConfig, TaskConfig
 from featspan.operators import catalogue, learn, metrics as m, rank, sampling, trees, trials as t
-from featspan.operators.generate import generate
+from featspan.operators.generate import generate, group_by_rule
 from featspan.operators.rownum import global_row_number, holdout
 from featspan.plans.evaluate import evaluate, prepare
 from featspan.plans.search import search_guided, search_random
 from featspan.session import materialise, work_dir
 from featspan.sources.ledger import Ledger
 from registry import views as v
-from registry.generation import SCHEME
+from registry.generation import DIGITS, ORDER_KEY, SCHEME, scheme_sql
 from registry.ingest import HASH
 
 QUERIES, ORACLES = {}, {}
@@ -27,6 +27,10 @@ def _add(name, run, sql=None):
         ORACLES[name] = sql
 
 
+def _orders_instances(label):
+    return f"""SELECT c_custkey AS "ID", {label} AS label FROM customer"""
+
+
 # --- candidates -------------------------------------------------------------
 
 _SPAN = """SELECT c_custkey, coalesce(max(o_orderdate::date) - min(o_orderdate::date), 0)::int AS horizon
@@ -123,19 +127,13 @@ _add(
 
 
 def _scheme_by_rule(s, sf):
-    return _candidates(s, sf).groupBy("rule").agg(
-        F.count(F.lit(1)).alias("items"), F.countDistinct("column").alias("columns"),
-        F.coalesce(F.max("parts"), F.lit(0)).alias("max_parts"),
-    )
+    """The drawn scheme of 150 features grouped by the operator that the generator uses."""
+    drawn = sampling.sample_uniform(_candidates(s, sf), 150, "u1").orderBy("position").collect()
+    grouped = group_by_rule([Feature.of(r) for r in drawn])
+    rows = [(rule, f.name, position + 1) for rule, items in grouped.items() for f, position in items]
+    return s.createDataFrame(rows, "rule string, feature string, position int")
 
 
-_add(
-    "group_by_rule",
-    _scheme_by_rule,
-    f"""SELECT rule, count(*) AS items, count(DISTINCT "column") AS columns, coalesce(max(parts), 0) AS max_parts
-    FROM ({_CANDIDATES}) GROUP BY rule""",
-)
-
 # --- draws ------------------------------------------------------------------
 
 
@@ -188,6 +186,13 @@ _add("key_schemes", lambda s, sf: t.key_schemes(v.ledger(s, sf)), _KEYS)
 _CHOSEN = _draw_sql(_CANDIDATES, 150, "u1")
 
 
+_add(
+    "group_by_rule",
+    _scheme_by_rule,
+    f"SELECT rule, feature, position FROM ({_CHOSEN})",
+)
+
+
 def _fill(s, sf):
     candidates = _candidates(s, sf)
     return _sized(sampling.random_fill(candidates, sampling.sample_uniform(candidates, 150, "u1"), 50, "f1"))
@@ -340,7 +345,11 @@ _add(
         UNION ALL SELECT parent, child, times, 0 FROM ({_NEG})) GROUP BY 1, 2""",
 )
 
-# --- models and search (rows only) --------------------------------------------
+# --- models and search -------------------------------------------------------
+#
+# A fitted model has no SQL. Its queries return what must hold whatever the model says: which rows
+# there are, that values lie where they must, that trees hang together.
+
 
 
 def _task(s, sf, task=m.BINARY, **changes):
@@ -356,10 +365,10 @@ def _task(s, sf, task=m.BINARY, **changes):
     numbered = global_row_number(instances, ("ID",))
     n = instances.count()
     layout = v.LAYOUT.with_(carry=("label", "rand_num", "row_num"))
-    settings = {"boost_rounds": 3, "depth": 3, "horizon": 819, **changes}
+    settings = {"horizon": 819, **changes}
     config = TaskConfig(
         task=task, layout=layout, train_rows=(1, n // 2), test_rows=(n // 2 + 1, n),
-        train_days=("1995-01-01", "2001-12-31"), test_days=("1995-01-01", "2001-12-31"), **settings,
+        **settings,
     )
     return numbered, v.log_orders(s, sf), config
 
@@ -376,9 +385,29 @@ def _fit_score(task):
     return run
 
 
-_add("fit_score_binary", _fit_score(m.BINARY))
-_add("fit_score_multiclass", _fit_score(m.MULTI))
-_add("fit_score_regression", _fit_score(m.REGRESSION))
+def _checked(task):
+    """Per scored row: its label, whether the prediction is possible, and the sum of its probabilities."""
+
+    def run(s, sf):
+        scored = _fit_score(task)(s, sf)
+        if task == m.REGRESSION:
+            sound, total = ~F.isnan("prediction"), F.lit(0.0)
+        else:
+            classes = 2 if task == m.BINARY else 5
+            sound = F.col("prediction").isin(*[float(i) for i in range(classes)]) & (F.size("probability") == classes)
+            total = F.round(F.aggregate("probability", F.lit(0.0), lambda a, x: a + x), 6)
+        return scored.select(F.col("label").cast("int").alias("label"), sound.cast("int").alias("sound"), total.alias("total"))
+
+    return run
+
+
+_SEGMENT = "dense_rank() OVER (ORDER BY c_mktsegment)::int - 1"
+for _name, _kind, _label, _total in (
+    ("binary", m.BINARY, "(c_acctbal < 0)::int", "1.0"),
+    ("multiclass", m.MULTI, _SEGMENT, "1.0"),
+    ("regression", m.REGRESSION, "trunc(c_acctbal)::int", "0.0"),
+):
+    _add(f"fit_score_{_name}", _checked(_kind), f"SELECT label, 1 AS sound, {_total}::double AS total FROM ({_orders_instances(_label)})")
 
 
 def _fitted_nodes(s, sf):
@@ -386,19 +415,43 @@ def _fitted_nodes(s, sf):
     table, lineage = generate(instances, log, SCHEME, config.layout)
     columns = learn.shuffled(list(lineage), 1)
     model = learn.fit(materialise(learn.design_matrix(table, columns), "matrix"), config)
-    return learn.node_table(model, s, columns)
+    nodes = materialise(learn.node_table(model, s, columns), "nodes")
+    child = nodes.select("tree", F.col("id").alias("child")).withColumn("there", F.lit(1))
+    ends = nodes.select("tree", F.explode(F.array("left", "right")).alias("child")).where("child IS NOT NULL")
+    lost = ends.join(child, ["tree", "child"], "left").groupBy("tree").agg(F.sum((F.col("there").isNull()).cast("int")).alias("lost"))
+    shape = nodes.groupBy("tree").agg(
+        F.min("id").alias("root"),
+        (F.countDistinct("id") == F.count(F.lit(1))).cast("int").alias("distinct_ids"),
+        F.min(((F.col("feature").isNull()) == (F.col("left").isNull())).cast("int")).alias("leaves_plain"),
+        F.min(F.coalesce(F.col("feature").isin(*columns), F.lit(True)).cast("int")).alias("known_features"),
+        (F.count("left") * 2 + 1 == F.count(F.lit(1))).cast("int").alias("binary"),
+    )
+    return shape.join(lost, "tree", "left").withColumn("lost", F.coalesce("lost", F.lit(0)))
 
 
-_add("tree_nodes", _fitted_nodes)
+_add(
+    "tree_nodes",
+    _fitted_nodes,
+    """SELECT i AS tree, 0 AS root, 1 AS distinct_ids, 1 AS leaves_plain, 1 AS known_features, 1 AS "binary", 0 AS lost
+    FROM range(10) r(i)""",
+)
 
 
 def _matrix(s, sf):
     instances, log, config = _task(s, sf)
     table, lineage = generate(instances, log, SCHEME, config.layout)
-    return learn.export_matrix(table, list(lineage))
+    names = list(lineage)
+    return learn.export_matrix(table, names).select(
+        "label", *[(F.round(F.col(f"`{c}`").cast("double"), DIGITS) + F.lit(0.0)).alias(c) for c in names]
+    )
 
 
-_add("design_matrix", _matrix)
+_add(
+    "design_matrix",
+    _matrix,
+    f"""SELECT label, {', '.join(f'"{f.name}"::double AS "{f.name}"' for f in SCHEME)}
+    FROM ({scheme_sql(SCHEME, v.LOG_ORDERS, v.INST_ORDERS, ORDER_KEY)}) JOIN ({v.INST_ORDERS}) USING ("ID")""",
+)
 
 
 def _evaluate(s, sf):
@@ -406,20 +459,30 @@ def _evaluate(s, sf):
     data = prepare(instances, log, config)
     outcome = evaluate(data, SCHEME, m.METRICS)
     data.close()
-    rows = [(k, outcome.valid_scores[k], outcome.test_scores[k]) for k in m.METRICS]
-    return s.createDataFrame(rows, "metric string, valid double, test double")
+    rows = [(k, int(0 <= outcome.valid_scores[k] <= 1), int(0 <= outcome.test_scores[k] <= 1)) for k in m.METRICS]
+    whole = int(abs(outcome.valid - sum(outcome.valid_scores.values())) < 1e-9)
+    rows.append(("sum", whole, int(abs(outcome.test - sum(outcome.test_scores.values())) < 1e-9)))
+    return s.createDataFrame(rows, "metric string, valid_in_range int, test_in_range int")
 
 
-_add("evaluate_scheme", _evaluate)
+_add(
+    "evaluate_scheme",
+    _evaluate,
+    "SELECT unnest(['auc', 'F1-score', 'Acc', 'sum']) AS metric, 1 AS valid_in_range, 1 AS test_in_range",
+)
 
 
 def _facts(s, sf):
-    """Ledger with full scheme fields: every line item is a split of some feature in some trial."""
+    """Ledger with full scheme fields: every line item is a split of some feature in some trial.
+
+    Window sizes are the first four of the grid.
+    """
+    unit = catalogue.parts_grid(_horizon(s, sf))[0]
     line = v.read(s, sf, "lineitem")
     spec = F.col("l_suppkey") % 9
     rule = F.when(spec < 3, ALL_RULE).when(spec < 6, PART_RULE).otherwise(TS_RULE)
     method = F.element_at(F.array(*[F.lit(x) for x in ("min", "max", "avg")]), (spec % 3 + 1).cast("int"))
-    parts = F.when(spec >= 3, ((F.col("l_linenumber") % 4 + 1) * 10).cast("int"))
+    parts = F.when(spec >= 3, ((F.col("l_linenumber") % 4 + 1) * unit).cast("int"))
     rows = line.select(
         (F.col("l_orderkey") % 50).cast("int").alias("trial"),
         F.concat(F.lit("f"), (F.col("l_partkey") % 17).cast("string")).alias("column"),
@@ -431,11 +494,20 @@ def _facts(s, sf):
 
 
 def _pool_and_books(s, sf):
-    columns = [f"f{i}" for i in range(17)]
-    frame = _columns(s, sf)
-    grid = catalogue.parts_grid(819)
-    candidates = catalogue.candidates_of(frame, grid)
-    return sampling.sample_uniform(candidates, 1000, "pool"), catalogue.code_books(columns, grid)
+    """All candidates, in draw order."""
+    candidates = materialise(_candidates(s, sf), "candidates")
+    return sampling.sample_uniform(candidates, candidates.count(), "pool"), _books(s, sf)
+
+
+def _in_order(ranked):
+    """Ranked candidates, and whether the expected value of each is at most that of the one before."""
+    rows = materialise(ranked.withColumn("place", F.monotonically_increasing_id()), "ranked")
+    before = F.lag("expected").over(sampling.Window.orderBy("place"))  # no longer than the catalogue
+    falling = F.coalesce(F.col("expected") <= before, F.lit(True)).cast("int")
+    return rows.select("feature", falling.alias("falling"))
+
+
+_RANKED = f"SELECT feature, 1 AS falling FROM ({_CANDIDATES})"
 
 
 def _rank(by):
@@ -445,14 +517,14 @@ def _rank(by):
         fields = facts.select(*sampling.FIELDS).distinct()
         history = t.feature_history(flat).withColumnRenamed("column", "feature").join(fields, "feature")
         pool, books = _pool_and_books(s, sf)
-        return rank.rank_candidates(history, pool, books, by)
+        return _in_order(rank.rank_candidates(history, pool, books, by))
 
     return run
 
 
-_add("rank_score", _rank("score"))
-_add("rank_importance", _rank("imp"))
-_add("rank_combined", _rank("both"))
+_add("rank_score", _rank("score"), _RANKED)
+_add("rank_importance", _rank("imp"), _RANKED)
+_add("rank_combined", _rank("both"), _RANKED)
 
 
 def _rank_pair(s, sf):
@@ -466,10 +538,11 @@ def _rank_pair(s, sf):
     flat = facts.select("trial", "valid", "test", F.col("feature").alias("column"), "splits")
     known = t.key_pool(flat).withColumnRenamed("column", "feature").join(fields, "feature")
     pool, books = _pool_and_books(s, sf)
-    return rank.rank_pairs(history, fields, sampling.sample_replace(known, 1000, "k"), pool, books)
+    keys = sampling.sample_replace(known, pool.count(), "k")  # a key for every candidate
+    return _in_order(rank.rank_pairs(history, fields, keys, pool, books))
 
 
-_add("rank_pair", _rank_pair)
+_add("rank_pair", _rank_pair, _RANKED)
 
 
 def _paths(s, sf):
@@ -481,23 +554,56 @@ def _paths(s, sf):
 
 def _rank_path(s, sf):
     pool, _ = _pool_and_books(s, sf)
-    return rank.path_step(rank.step_lifts(_paths(s, sf)), pool, None)
-
-
-_add("rank_path", _rank_path)
+    ranked = rank.path_step(rank.step_lifts(_paths(s, sf)), pool, None)
+    return ranked.select("feature", (F.round("expected", 9) + F.lit(0.0)).alias("expected"))
+
+
+_FACTS = f"""SELECT trial, "column", rule, method, parts, valid, splits,
+    CASE WHEN rule = '{ALL_RULE}' THEN "column" || '_' || method
+         WHEN rule = '{PART_RULE}' THEN "column" || '_' || parts || 'p_' || method
+         ELSE "column" || '_' || parts || 'ts_' || method END AS feature
+  FROM (SELECT trial, "column", rule, method, parts, sum(l_linenumber - 1) AS splits FROM (
+      SELECT l_orderkey % 50 AS trial, 'f' || (l_partkey % 17) AS "column", l_linenumber,
+        CASE WHEN l_suppkey % 9 < 3 THEN '{ALL_RULE}' WHEN l_suppkey % 9 < 6 THEN '{PART_RULE}' ELSE '{TS_RULE}' END AS rule,
+        ['min', 'max', 'avg'][l_suppkey % 9 % 3 + 1] AS method,
+        CASE WHEN l_suppkey % 9 >= 3 THEN (l_linenumber % 4 + 1) * unit END AS parts
+      FROM lineitem, (SELECT CASE WHEN max(horizon) < 1000 THEN 10 ELSE 100 END AS unit FROM ({_SPAN}))) GROUP BY ALL) JOIN (SELECT DISTINCT trial, valid, test FROM ({v.LEDGER})) USING (trial)"""
+_PATH_SQL = f"""WITH facts AS ({_FACTS}),
+  first AS (SELECT *, valid - (SELECT arg_min(valid, trial) FROM facts) AS gain FROM facts
+    QUALIFY row_number() OVER (PARTITION BY trial ORDER BY splits DESC, feature) = 1),
+  by_column AS (SELECT "column", avg(gain) AS a FROM first GROUP BY 1),
+  by_method AS (SELECT rule, method, avg(gain) AS b FROM first GROUP BY 1, 2),
+  by_parts AS (SELECT rule, coalesce(parts, 0) AS p, avg(gain) AS c FROM first GROUP BY 1, 2)
+  SELECT feature, round(coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0), 9) + 0.0 AS expected
+  FROM (SELECT *, coalesce(parts, 0) AS p FROM ({_CANDIDATES}))
+  LEFT JOIN by_column USING ("column") LEFT JOIN by_method USING (rule, method) LEFT JOIN by_parts USING (rule, p)"""
+_add("rank_path", _rank_path, _PATH_SQL)
+
+
+ROUNDS = 2
 
 
 def _search(call):
+    """Trials of a search at its shipped sizes, shortened to two rounds: what they hold, not how they score."""
+
     def run(s, sf):
         instances, log, config = _task(s, sf)
         data = prepare(instances, log, config)
         ledger = Ledger(s, f"{work_dir(s)}/ledger-{uuid.uuid4().hex}")
-        found = call(data, SearchConfig(rounds=2, n_features=6, pool=50, path_steps=2, seed=7), ledger)
+        found = call(data, SearchConfig(rounds=ROUNDS, seed=7), ledger)
+        known = catalogue.candidates_for(s, data.train.log, config.horizon, config.layout).select("feature")
+        rows = materialise(found, "found")
         data.close()
-        return found.select("trial", "valid", "test", F.size("scheme").alias("n_features"))
+        inside = ((F.col("valid") >= 0) & (F.col("valid") <= 1) & (F.col("test") >= 0) & (F.col("test") <= 1)).cast("int")
+        items = rows.select("trial", F.explode("columns").alias("feature")).join(known.withColumn("known", F.lit(1)), "feature", "left")
+        items = items.groupBy("trial").agg(
+            F.count(F.lit(1)).alias("n_features"), F.countDistinct("feature").alias("n_distinct"), F.sum("known").alias("n_known")
+        )
+        return rows.select("trial", inside.alias("in_range")).join(items, "trial")
 
     return run
 
 
-_add("search_random", _search(search_random))
-_add("search_guided", _search(search_guided))
+_TRIAL_ROWS = f"SELECT i AS trial, 1 AS in_range, 10 AS n_features, 10 AS n_distinct, 10 AS n_known FROM range({ROUNDS}) r(i)"
+_add("search_random", _search(search_random), _TRIAL_ROWS)
+_add("search_guided", _search(search_guided), _TRIAL_ROWS)

@@ -1,11 +1,13 @@
+import dataclasses
 import random
 from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from featspan.config import ALL_RULE, PART_RULE, TS_RULE, Feature, Layout, SearchConfig, TaskConfig
-from featspan.operators import learn, metrics as m, trees
+from featspan.config import ALL_RULE, PART_RULE, SHIPPED_RANGES, TS_RULE, Feature, Layout, SearchConfig, TaskConfig
+from featspan.operators import learn, metrics as m, sampling, trees
+from featspan.operators.ingest import slice_tables
 from featspan.operators.rownum import global_row_number
 from featspan.plans.evaluate import evaluate, features_of, outcome_nodes, prepare, train_matrix
 from featspan.plans.search import best_scheme, search_guided, search_random
@@ -94,12 +96,63 @@ def test_other_tasks_fit(task):
     assert learn.score(learn.fit(amounts, config), amounts, m.REGRESSION).count() == 160
 
 
-def test_early_stopping_uses_the_held_out_rows(task):
+@pytest.mark.parametrize("rounds", [10, 11, 40])
+def test_all_rounds_are_fitted(task, rounds):
     table, lineage = features_of(task, SCHEME)
     matrix = learn.design_matrix(table, list(lineage), keep=("rand_num",))
     train, valid = matrix.where("rand_num > 0.2").drop("rand_num"), matrix.where("rand_num <= 0.2").drop("rand_num")
-    model = learn.fit(train, TaskConfig(boost_rounds=11, depth=1), valid)
-    assert 1 <= model.getNumTrees <= 11
+    assert learn.fit(train, TaskConfig(boost_rounds=rounds, depth=1), valid).getNumTrees == rounds
+
+
+def test_patience_cuts_at_the_best_held_out_round(task):
+    table, lineage = features_of(task, SCHEME)
+    matrix = learn.design_matrix(table, list(lineage), keep=("rand_num",))
+    train, valid = matrix.where("rand_num > 0.2").drop("rand_num"), matrix.where("rand_num <= 0.2").drop("rand_num")
+    whole = learn.fit(train, TaskConfig(boost_rounds=12, depth=3, step=0.5))
+    losses = whole.evaluateEachIteration(valid.withColumn("weight", F.lit(1.0)))
+    cut = learn.fit(train, TaskConfig(boost_rounds=12, depth=3, step=0.5, patience=12), valid)
+    assert cut.getNumTrees == losses.index(min(losses)) + 1
+
+
+def test_best_round():
+    assert learn.best_round([5, 4, 6, 6, 3], 2) == 2
+    assert learn.best_round([5, 4, 6, 6, 3], 3) == 5
+    assert learn.best_round([1.0], 1) == 1
+
+
+def test_default_ranges_lose_nothing(spark):
+    rows = spark.range(970_950, 970_980).selectExpr("id as ID", "id as row_num", "cast(id as int) as timestep")
+    config = TaskConfig()
+    for ranges in ((config.train_rows, config.train_days), (config.test_rows, config.test_days)):
+        kept, days = slice_tables(rows, rows, *ranges)
+        assert kept.count() == days.count() == 30
+    assert slice_tables(rows, rows, SHIPPED_RANGES["test_rows"], None)[0].count() == 11
+
+
+def test_path_steps_are_taken(task, spark, monkeypatch):
+    from featspan.plans import search
+
+    taken = []
+    monkeypatch.setattr(search.rank, "path_step", lambda lifts, pool, previous: taken.append(1) or pool.withColumn("expected", F.lit(0.0)))
+    ledger = Ledger(spark, f"{work_dir(spark)}/ledger-steps")
+    search_random(task, SearchConfig(rounds=1, n_features=3, seed=1), ledger)
+    facts = ledger.long().select(*sampling.FIELDS).distinct()
+    pool = lambda tag, size: facts.withColumn("position", F.lit(1)).limit(1)
+    for steps in (2, 5):
+        taken.clear()
+        search._grow_paths(ledger, facts, pool, SearchConfig(path_steps=steps), "s")
+        assert len(taken) == steps
+
+
+def test_guided_search_survives_thin_history(task, spark):
+    ledger = Ledger(spark, f"{work_dir(spark)}/ledger-thin")
+    thin = dataclasses.replace(task, config=dataclasses.replace(task.config, depth=1, boost_rounds=1))
+    config = SearchConfig(
+        rounds=2, n_features=4, pool=20, path_steps=1, seed=3,
+        selectors=("best_scheme_sample", "score_filter", "imp_filter", "tree_path", "pair_path", "random_generation"),
+    )
+    trials = search_guided(thin, config, ledger).collect()
+    assert [len(r["scheme"]) for r in trials] == [4, 4]
 
 
 def test_random_search(task, spark):

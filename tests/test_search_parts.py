@@ -192,6 +192,19 @@ def test_a_good_column_ranks_high(spark, candidates):
     assert all(r["column"] == "f2" and r["rule"] == TS_RULE for r in both)
 
 
+def test_no_history_keeps_the_whole_pool(spark, candidates):
+    none = candidates.select(*s.FIELDS).limit(0)
+    history = none.withColumns({c: F.lit(0.0) for c in ("score_max", "score_avg", "imp_max", "imp_avg")})
+    pool = s.sample_uniform(candidates, 40, 8)
+    drawn = [r["feature"] for r in pool.orderBy("position").collect()]
+    ranked = rank.rank_candidates(history, pool, BOOKS, "score").collect()
+    assert [r["feature"] for r in ranked] == drawn and {r["expected"] for r in ranked} == {0.0}
+    pairs = spark.createDataFrame([], "parent string, child string, score_max double, score_avg double")
+    keys = s.sample_replace(s.sample_uniform(candidates, 5, 3), 40, 12)
+    ranked = rank.rank_pairs(pairs, none, keys, pool, BOOKS).collect()
+    assert [r["feature"] for r in ranked] == drawn and {r["expected"] for r in ranked} == {0.0}
+
+
 def test_good_pairs_and_paths_rank_high(spark, candidates):
     named = candidates.select(*s.FIELDS)
     some = s.sample_uniform(candidates, 60, 9)
