@@ -29,12 +29,18 @@ PACKED = f"{PIECES}, sequence_id long, offset long"
 
 @dataclass(frozen=True)
 class Capacity:
-    """What one sequence can hold, and how much each free share counts in a bin's norm."""
+    """What one sequence can hold: tokens, pieces, and attention cost (sum of squared lengths)."""
 
     tokens: int = 1024
     documents: int = 1024
     attention: int = 1024 * 1024
-    weights: tuple[float, float, float] = (1.0, 0.05, 0.05)
+
+    def weights(self, lengths: np.ndarray) -> np.ndarray:
+        """How much each capacity counts in a bin's norm: its share of the load, 0 if it cannot bind."""
+        sizes = np.array([lengths.sum(), len(lengths), (lengths.astype(float) ** 2).sum()])
+        load = sizes / [self.tokens, self.documents, self.attention]
+        load[1:] *= [self.documents < self.tokens, self.attention < self.tokens**2]
+        return load / max(load.max(), 1e-300)
 
 
 def _cut(n: int, most: int) -> list[int]:
@@ -77,12 +83,10 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
     n = len(lengths)
     bins, offsets = np.zeros(n, np.int64), np.zeros(n, np.int64)
     full = np.array([capacity.tokens, capacity.documents, capacity.attention], float)
-    weight = np.array(capacity.weights, float)[:, None] / full[:, None] ** 2
-    order = np.argsort(-lengths, kind="stable")
-    least = lengths[order[-1]] if n else 0
-    left, number, opened, made = np.zeros((3, 0)), np.zeros(0, np.int64), 0, 0
-    left, number = np.zeros((3, 1024)), np.zeros(1024, np.int64)
-    for i in order:
+    weight = (capacity.weights(lengths) / full**2)[:, None]
+    least = lengths.min(initial=capacity.tokens)
+    left, number, opened, made = np.zeros((3, 1024)), np.zeros(1024, np.int64), 0, 0
+    for i in np.argsort(-lengths, kind="stable"):
         need = np.array([lengths[i], 1.0, float(lengths[i]) ** 2])[:, None]
         after = left[:, :opened] - need
         fits = (after >= 0).all(axis=0)

@@ -79,8 +79,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
-            plain = text and not text[0].isspace()
-            if plain and len(text.split()) - 1 == text.count(" ") + text.count("\n"):
+            # one blank or line break between words, no other white space anywhere
+            if text and text.split() == text.replace("\n", " ").split(" "):
                 first, *rest = text.replace("\n", " \n").split(" ")
                 yield self._word(first, "") + self._joined(rest)
             else:
