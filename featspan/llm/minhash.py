@@ -170,59 +170,92 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for at in range(batch.num_rows):
-                one, two = (np.frombuffer(batch.column(k)[at].as_buffer(), U64) for k in (2, 3))
-                both = len(one) + len(two)
-                if 100 * min(len(one), len(two)) < threshold * max(len(one), len(two)):
-                    linked.append(False)
-                    continue
-                union = len(np.unique(np.concatenate([one, two])))
-                linked.append(100 * (both - union) >= threshold * union)
+            own = ([np.frombuffer(x.as_buffer(), U64) for x in batch.column(k)] for k in (2, 3))
+            linked = [_similar(one, two, threshold) for one, two in zip(*own, strict=True)]
             yield pa.RecordBatch.from_arrays(batch.select([0, 1]).filter(pa.array(linked, pa.bool_())).columns, names=["u", "v"])
 
     a, b = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "u long, v long").distinct()
 
 
-def _across(members: DataFrame, bands: int, rows: int, least: float, block: int) -> DataFrame:
-    """Pairs of one bucket in different components that an estimate allows, without its leader.
+def _likely(regs: np.ndarray, size: np.ndarray, label: np.ndarray, i: int, others: np.ndarray, band: int, least: float) -> np.ndarray:
+    """Those of ``others`` in another component than row ``i`` that its estimate allows, if ``band`` is their first in common."""
+    others = others[label[others] != label[i]]
+    if len(others):
+        equal = regs[others] == regs[i]
+        first = equal.all(axis=2).argmax(axis=1) == band
+        others, equal = others[first], equal[first]
+        c = accidental(np.full(len(others), float(size[i])), size[others].astype(float))
+        others = others[(equal.mean(axis=(1, 2)) - c) / (1 - c) >= least]
+    return others
 
-    ``members`` has bucket, band, n, leader, doc_id, component_id, registers and n_shingles. Buckets
-    larger than ``block`` are cut into blocks, and pairs of blocks are compared apart.
+
+def _sides(group: pa.Table, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    side = np.asarray(group.column("side"))
+    left = np.flatnonzero(side == 0)
+    return left, left if same else np.flatnonzero(side == 1)
+
+
+_MEMBER = "bucket long, one int, two int, side int, band int, doc_id long, component_id long, n_shingles long"
+
+
+def _across(members: DataFrame, sketch: DataFrame, sets: DataFrame, threshold: int, bands: int, rows: int, least: float, block: int) -> DataFrame:
+    """Edges (u, v) between different components within buckets, from full sets.
+
+    ``members`` has bucket, band, n, volume, doc_id, component_id, registers and n_shingles. Buckets of
+    more than ``block`` documents or 16 MB of sets are cut into blocks, and pairs of blocks compared
+    apart. First registers alone tell which documents may have a partner; only their sets are sent. No
+    pair makes a row, but for those that join two components of the task.
     """
+    registers = lambda group: np.frombuffer(b"".join(group.column("registers").to_pylist()), "<u2").reshape(-1, bands, rows)
 
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        side = np.asarray(group.column("side"))
-        ids, label, size, leader = (group.column(k).to_numpy() for k in ("doc_id", "component_id", "n_shingles", "leader"))
-        regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), "<u2").reshape(len(ids), bands, rows)
-        band = int(group.column("band")[0].as_py())
-        found: list[np.ndarray] = []
+    def hopeful(key: tuple, group: pa.Table) -> pa.Table:
         same = key[1].as_py() == key[2].as_py()
-        left = np.flatnonzero((side == 0) & (ids != leader))
-        right = left if same else np.flatnonzero((side == 1) & (ids != leader))
+        left, right = _sides(group, same)
+        label, size = (group.column(k).to_numpy() for k in ("component_id", "n_shingles"))
+        regs, band = registers(group), group.column("band")[0].as_py()
+        some = np.zeros(len(label), bool)
         for i in left:
-            other = right[(label[right] != label[i]) & ((ids[right] > ids[i]) | (not same))]
-            if not len(other):
-                continue
-            equal = regs[other] == regs[i]
-            first = equal.all(axis=2).argmax(axis=1) == band  # each pair once, in its first common bucket
-            other, equal = other[first], equal[first]
-            c = accidental(np.full(len(other), float(size[i])), size[other].astype(float))
-            likely = (equal.mean(axis=(1, 2)) - c) / (1 - c) >= least
-            found.append(np.stack([np.full(likely.sum(), ids[i]), ids[other[likely]]], axis=1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        pairs.sort(axis=1)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-    parts = F.ceil(F.col("n") / block).cast("int")
+            found = _likely(regs, size, label, i, right, band, least)
+            some[found] = True
+            some[i] |= len(found) > 0
+        return group.filter(pa.array(some)).select([c.split()[0] for c in _MEMBER.split(", ")])
+
+    def verify(key: tuple, group: pa.Table) -> pa.Table:
+        same = key[1].as_py() == key[2].as_py()
+        left, right = _sides(group, same)
+        ids, label, size = (group.column(k).to_numpy() for k in ("doc_id", "component_id", "n_shingles"))
+        regs, band = registers(group), group.column("band")[0].as_py()
+        own = [np.frombuffer(x.as_buffer(), U64) for x in group.column("shingles")]
+        label, edges = label.copy(), []
+        for i in left:
+            for j in _likely(regs, size, label, i, right, band, least):
+                if label[i] != label[j] and (not same or j > i) and _similar(own[i], own[j], threshold):
+                    edges.append((ids[i], ids[j]))
+                    label[label == max(label[i], label[j])] = min(label[i], label[j])
+        u, v = zip(*edges, strict=True) if edges else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    parts = F.ceil(F.greatest(F.col("n") / block, F.col("volume") * 8 / (16 << 20))).cast("int")
     cut = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cut = cut.withColumns(
         {"one": F.least("part", "with"), "two": F.greatest("part", "with"), "side": (F.col("part") > F.col("with")).cast("int")}
     )
-    keep = ["bucket", "one", "two", "side", "band", "leader", "doc_id", "component_id", "registers", "n_shingles"]
-    return cut.select(*keep).groupBy("bucket", "one", "two").applyInArrow(run, "a long, b long").distinct()
+    keep = ["bucket", "one", "two", "side", "band", "doc_id", "component_id", "n_shingles", "registers"]
+    some = materialise(cut.select(*keep).groupBy("bucket", "one", "two").applyInArrow(hopeful, _MEMBER), "hopeful")
+    full = some.join(sketch.select("doc_id", "registers"), "doc_id").join(sets.withColumnRenamed("id", "doc_id"), "doc_id")
+    return full.select(*keep, "shingles").groupBy("bucket", "one", "two").applyInArrow(verify, "u long, v long")
+
+
+def _similar(one: np.ndarray, two: np.ndarray, threshold: int) -> bool:
+    """Whether 100 * intersection >= threshold * union, for sorted sets."""
+    if 100 * min(len(one), len(two)) < threshold * max(len(one), len(two)):
+        return False
+    both = np.concatenate([one, two])
+    both.sort(kind="stable")  # merges the two runs
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= threshold * (len(both) - common)
 
 
 def near_duplicates(
@@ -260,10 +293,14 @@ def near_duplicates(
     linked = materialise(_verified(_possible(stars, reps, least), sets, threshold), "links")
 
     label = components(linked).select(F.col("id").alias("doc_id"), "component_id")
-    named = members.where("n > 2").join(label, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    split = named.groupBy("bucket").agg(F.min("component_id").alias("c0"), F.max("component_id").alias("c1")).where("c0 <> c1").select("bucket")
-    named = named.join(split, "bucket", "left_semi").join(reps.select("doc_id", "registers", "n_shingles"), "doc_id")
-    more = _verified(_across(named, bands, rows, least, block), sets, threshold)
+    rest = members.where("n > 2 AND doc_id <> leader").join(label, "doc_id", "left")
+    rest = rest.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    rest = rest.join(reps.select("doc_id", "n_shingles", "registers"), "doc_id")
+    split = rest.groupBy("bucket").agg(
+        F.min("component_id").alias("c0"), F.max("component_id").alias("c1"), F.sum("n_shingles").alias("volume")
+    )
+    rest = rest.join(split.where("c0 <> c1").select("bucket", "volume"), "bucket")
+    more = _across(rest, reps, sets, threshold, bands, rows, least, block)
 
     final = components(copies.unionByName(linked).unionByName(more)).select(F.col("id").alias("doc_id"), "component_id")
     out = sketch.select("doc_id", "n_shingles").join(final, "doc_id", "left")
