@@ -270,7 +270,7 @@ def generate(
     plan = Plan([f for f, _ in lineage.values()], days.columns if days else ())
     if ALL_RULE in plan.rules() and layout.first is None:
         raise ValueError("the 'all' rule needs a first column")
-    depth = max_parts or max(plan.ts_parts, default=0)
+    depth = max(plan.ts_parts, default=0) if max_parts is None else max_parts
     if plan.ts_parts and depth < plan.ts_parts[-1]:
         raise ValueError("max_parts is below the largest window of the scheme")
 

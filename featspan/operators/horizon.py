@@ -23,7 +23,8 @@ from featspan.operators.generate import (
     quoted,
 )
 
-SIMPLE = ("min", "max", "sum", "avg", "std", "count")
+#: Methods that have a form over all window sizes at once.
+PROFILED = ("min", "max", "sum", "avg", "std", "count", "max_min")
 
 
 def profile(
@@ -51,13 +52,15 @@ def profile(
         raise ValueError("grid must be ascending and not empty")
     if rule not in (PART_RULE, TS_RULE):
         raise ValueError("only windowed rules have window sizes")
+    if refused := sorted(set(methods) - set(PROFILED)):
+        raise ValueError(f"no profile of {', '.join(refused)}: generate a scheme with one feature per window size")
     features = [Feature(c, rule, m, grid[0]) for c in columns for m in methods]
     plan = Plan(features, days.columns if days else ())
     key = [*layout.instance, *[c for c in layout.carry if c in instances.columns and c not in layout.instance]]
     domains = _domains(layout)
     joined, salt = _join_days(instances, days_for(log, plan, layout, days), plan, layout, key, domains, hot)
     group, beyond = [*key, *salt], len(grid) + 1
-    depth = max_parts or grid[-1]
+    depth = grid[-1] if max_parts is None else max_parts
     if rule == TS_RULE:
         if depth < grid[-1]:
             raise ValueError("max_parts is below the largest window of the grid")

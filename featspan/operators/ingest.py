@@ -8,7 +8,7 @@ from featspan.config import Layout, TaskConfig
 from featspan.functions.days import left_days
 from featspan.functions.scalars import fill_zero
 from featspan.operators.rownum import global_row_number
-from featspan.operators.skew import SALT, find_hot_users, spread
+from featspan.operators.skew import SALT, spread
 
 
 def transaction_features(transactions: DataFrame) -> DataFrame:
@@ -53,15 +53,13 @@ def member_features(members: DataFrame) -> DataFrame:
 def outer_merge(left: DataFrame, right: DataFrame, on: tuple[str, ...] = ("ID", "timestep")) -> DataFrame:
     """Full outer join on user and day, keys coalesced. Rows of a day that has several stay several.
 
-    Spark cannot split a skewed key of a full outer join, so it is put together from the matches
-    and the unmatched rows of either side; each of these joins can be split. Unmatched rows
-    are told by distinct keys, which combine before the shuffle.
+    Spark cannot split a skewed key of a full outer join, so it is put together from a left join and
+    the right side's unmatched rows; both joins can be split. Unmatched rows are told by distinct keys,
+    which combine before the shuffle.
     """
     keys = list(on)
-    both = left.join(right, keys)
-    only_left = left.join(right.select(*keys).distinct(), keys, "left_anti")
     only_right = right.join(left.select(*keys).distinct(), keys, "left_anti")
-    return both.unionByName(only_left, allowMissingColumns=True).unionByName(only_right, allowMissingColumns=True)
+    return left.join(right, keys, "left").unionByName(only_right, allowMissingColumns=True)
 
 
 def attach_static(
@@ -69,15 +67,14 @@ def attach_static(
     static: DataFrame,
     user: tuple[str, ...] = ("ID",),
     by: tuple[str, ...] = ("timestep",),
-    hot: DataFrame | None | str = "find",
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Repeat per-user attributes on every log row.
 
-    Whether to broadcast is left to Spark's size estimate. Rows of hot users are dealt out by
-    the ``by`` columns, the attributes of those users repeated.
+    Whether to broadcast is left to Spark's size estimate, and splitting a skewed log to its skew
+    join; no job runs here. Rows of users given as ``hot`` are dealt out by the ``by`` columns, the
+    attributes of those users repeated.
     """
-    if isinstance(hot, str):
-        hot = find_hot_users(log, user)
     if hot is None:
         return log.join(static, list(user), "left")
     rows, repeated = spread(log, static, hot, user, by)

@@ -64,6 +64,8 @@ def prepare(instances: DataFrame, log: DataFrame, config: TaskConfig) -> TaskDat
     instances only. The log itself is not copied.
     """
     layout = config.layout
+    # row numbers and splits come from one written table; both sides only filter it
+    instances = materialise(instances, "instances")
     train, train_log = slice_tables(instances, log, config.train_rows, config.train_days, layout)
     test, test_log = slice_tables(instances, log, config.test_rows, config.test_days, layout)
     train_rows, train_days = _reduce(train_log, config, "train")
@@ -71,12 +73,11 @@ def prepare(instances: DataFrame, log: DataFrame, config: TaskConfig) -> TaskDat
     if config.train_days != config.test_days:
         test_rows, test_days = _reduce(test_log, config, "test")
 
-    def part(frame: DataFrame, name: str, rows: DataFrame, days: DayTable) -> Part:
-        written = materialise(frame, f"{name}-instances")
-        hot = None if layout.one_instance_per_user else find_hot_users(written, layout.user)
-        return Part(written, rows, days, hot)
+    def part(frame: DataFrame, rows: DataFrame, days: DayTable) -> Part:
+        hot = None if layout.one_instance_per_user else find_hot_users(frame, layout.user)
+        return Part(frame, rows, days, hot)
 
-    return TaskData(config, part(train, "train", train_rows, train_days), part(test, "test", test_rows, test_days))
+    return TaskData(config, part(train, train_rows, train_days), part(test, test_rows, test_days))
 
 
 def _reduce(log: DataFrame, config: TaskConfig, name: str) -> tuple[DataFrame, DayTable]:

@@ -282,3 +282,15 @@ def test_profile_equals_single_windows(spark, rule, grid, direction):
         for f in scheme:
             cell = got[r["ID"], r["first_timestep"], r["last_timestep"], f.parts][f"{f.column}_{f.method}"]
             assert cell == pytest.approx(r[f.name], rel=1e-9, abs=1e-9), (r["ID"], f)
+
+
+def test_profile_refuses_methods_without_a_form_over_all_sizes(spark):
+    _, _, log, inst = tables(spark)
+    with pytest.raises(ValueError, match="no profile of avg_day, max_day"):
+        profile(inst, log, ["f1"], [1, 3], LAYOUT, rule=TS_RULE, methods=("max", "max_day", "avg_day"))
+
+
+def test_profile_of_the_spread(spark):
+    _, _, log, inst = tables(spark)
+    long = profile(inst, log, ["f1"], [1, 3], LAYOUT, rule=TS_RULE, methods=("max_min", "max", "min"))
+    assert long.where("abs(f1_max_min - (f1_max - f1_min)) > 1e-9").isEmpty()

@@ -146,3 +146,12 @@ def test_scalars(spark):
     got = df.select(token_count("s").alias("n"), ratio_or_zero(F.col("a"), F.col("b")).alias("r")).collect()
     assert [tuple(r) for r in got] == [(4, 0.0), (0, 0.0)]
     assert fill_zero(df).collect()[1]["s"] is None
+
+
+def test_building_an_attached_log_runs_no_job(spark):
+    log = spark.createDataFrame([(i % 3, i, i) for i in range(30)], "ID int, timestep int, a int")
+    static = spark.createDataFrame([(0, 5)], "ID int, m int")
+    spark.sparkContext.setJobGroup("building", "attach")
+    attach_static(log, static)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    spark.sparkContext.setJobGroup("other", "other")
