@@ -54,6 +54,9 @@ _WORDS = (
     "related reply replies responses share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget"
 )
 ASIDE_WORDS = frozenset(_WORDS.split())
+#: Words that also say so at the head of a longer one, and those that do outside an article only.
+ASIDE_HEADS = ("advert", "comment", "cookie", "newsletter", "sidebar")
+OUTSIDE_WORDS = frozenset("header masthead topbar".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 
 _TOKEN = re.compile(
@@ -88,7 +91,10 @@ def _is_aside(tag: str, rest: str, in_article: bool) -> bool:
         if name == "role" and value in ASIDE_ROLES:
             return True
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            if ASIDE_WORDS.intersection(re.split(r"[^a-z0-9]+", value)):
+            words = set(re.split(r"[^a-z0-9]+", value))
+            if words & ASIDE_WORDS or any(w.startswith(ASIDE_HEADS) for w in words):
+                return True
+            if not in_article and words & OUTSIDE_WORDS:
                 return True
     return False
 
@@ -189,17 +195,21 @@ def measure(root: Node) -> list[Node]:
 
 
 def centre(root: Node, path_share: float = 0.5) -> Node:
-    """The subtree with the greatest density sum, widened along the path to the body."""
+    """The subtree with the greatest density sum, widened along the path to the body.
+
+    Where the page itself marks articles (or else its main part), the largest of them is taken.
+    """
     nodes = measure(root)
+    for tag in ("article", "main"):
+        named = max((n for n in nodes if n.tag == tag), key=lambda n: n.chars, default=None)
+        if named is not None and named.chars:
+            return named
     best = max(nodes, key=lambda n: n.total)
     if best.total <= 0:
         return root
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    named = next((n for n in path if n.tag in ("article", "main")), None)
-    if named is not None:  # the page itself says where its article ends
-        return named
     boxes = [n for n in path[1:] if n.tag not in ("#page", "html")]
     least = min((n.density for n in [best, *boxes]), default=best.density)
     taken = best

@@ -41,6 +41,12 @@ def test_the_article_alone():
     assert main_text(page(f"<article><h1>Head</h1><p>{BODY}</p><div class='ad'>Buy</div></article>")) == f"Head {BODY}"
 
 
+def test_a_short_article_beside_a_long_list():
+    teasers = "".join(f"<div class='teaser'><p>{BODY}</p></div>" for _ in range(5))
+    assert main_text(page("<article><h1>Head</h1><p>Short.</p></article>", after=teasers)) == "Head Short."
+    assert main_text(page(f"<main><div class='header'>H</div><p>{BODY}</p><div id='commentlist'>no</div></main>")) == f"H {BODY}"
+
+
 def test_density_finds_an_unnamed_article():
     paragraphs = "".join(f"<p>{BODY} <a href=/x>link</a></p>" for _ in range(4))
     links = "<div>" + "".join(f"<a href=/{i}>topic {i}</a> " for i in range(60)) + "</div>"
