@@ -31,6 +31,92 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+_FOLDED_NAMES = "|".join(
+    "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in name) for name in ("password", "passwd", "secret", "token", "api_?key")
+)
+#: The patterns of the known forms and of candidate runs, in SQL quotes; letters of either case spelled out.
+_SECRET_PATTERNS = (
+    f"""({_FOLDED_NAMES})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+    "()(AKIA[A-Z0-9]+)",
+    "()([0-9a-f]+)",
+    "()([A-Za-z0-9+/_-]{20,})",
+)
+
+
+def _placed_sql(kind: int) -> str:
+    pattern = _SECRET_PATTERNS[kind]
+    return f"""SELECT r, {kind} AS kind, ws[i] AS w, gs[i] AS g,
+      CAST(list_sum([length(x) FOR x IN gaps[1:i]]) + coalesce(list_sum([length(x) FOR x IN ws[1:i-1]]), 0) AS INTEGER) AS a
+    FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS ws, regexp_extract_all(t, '{pattern}', 2) AS gs,
+      string_split_regex(t, '{pattern}') AS gaps FROM doc), LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS i)"""
+
+
+def _spans_sql(of: str) -> str:
+    return f"""SELECT r, string_agg(['assign', 'access', 'hex', 'random'][kind + 1] || ':' || a || ':' || b, ',' ORDER BY a, kind, b) AS s,
+      count(*) FILTER (WHERE kind = 0) AS n0, count(*) FILTER (WHERE kind = 1) AS n1, count(*) FILTER (WHERE kind = 2) AS n2
+    FROM ({of}) GROUP BY r"""
+
+
+OP1_SQL = rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), base AS (
+  SELECT r, kind, a, a + length(w)::int AS b FROM (
+    {_placed_sql(0)} UNION ALL {_placed_sql(1)} UNION ALL {_placed_sql(2)})
+  WHERE length(g) >= [6, 20, 24][kind + 1]
+), run AS (
+  SELECT *, length(w)::double AS n,
+    CASE WHEN length(w) >= 64 THEN 64 WHEN length(w) >= 48 THEN 48 WHEN length(w) >= 32 THEN 32 ELSE 20 END AS size,
+    CASE WHEN regexp_full_match(w, '[0-9a-f]+|[0-9A-F]+') THEN 'hex' WHEN regexp_full_match(w, '[A-Z2-7]+') THEN 'base32'
+         ELSE 'base64' END AS e
+  FROM ({_placed_sql(3)})
+), symbol AS (
+  SELECT *, CASE e WHEN 'hex' THEN 16.0::double WHEN 'base32' THEN 32 ELSE 64 END AS k,
+    CASE e WHEN 'hex' THEN 0.6::double WHEN 'base32' THEN 1.24 ELSE 3.5 END AS excess,
+    [(strpos(CASE e WHEN 'hex' THEN '0123456789abcdef' WHEN 'base32' THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'
+        ELSE 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/' END, c) - 1)::double
+      FOR c IN string_split(CASE e WHEN 'hex' THEN lower(w) ELSE translate(w, '-_', '+/') END, '')] AS v
+  FROM run
+), sums AS (
+  SELECT *, [(x >= k / 2)::int::double FOR x IN v] AS high, list_sum(v) / n AS centre,
+    list_sum([pow(len(list_filter(v, lambda s: s = d)), 2) FOR d IN list_distinct(v)]) AS squares FROM symbol
+), moment AS (
+  SELECT *, list_sum(high) AS ups, list_sum([abs(high[i] - high[i + 1]) FOR i IN range(1, len(v))]) AS changes,
+    list_sum([(x - centre) * (x - centre) FOR x IN v]) AS power,
+    list_sum([(v[i] - centre) * (v[i + 1] - centre) FOR i IN range(1, len(v))]) AS lagged FROM sums
+), stat AS (
+  SELECT *, 2 * ups * (n - ups) / n + 1 AS mean,
+    (squares * k / n - n - (k - 1) - (n - 1) * excess) / sqrt(2 * (k - 1) + 4 * (n - 1) * excess) AS z FROM moment
+), tail AS (
+  SELECT *, (mean - 1) * (mean - 2) / (n - 1) AS spread, 1 / (1 + 0.2316419 * abs(z)) AS u FROM stat
+), odds AS (
+  SELECT *, CASE WHEN spread > 0 THEN abs((changes + 1 - mean) / sqrt(spread)) <= 3.5 ELSE false END
+      AND CASE WHEN power > 0 THEN abs((lagged / power + 1 / n) * sqrt(n)) <= 3.5 ELSE false END AS fair,
+    ((((1.330274429 * u - 1.821255978) * u + 1.781477937) * u - 0.356563782) * u + 0.319381530) * u * exp(-z * z / 2) * 0.3989422804014327 AS q
+  FROM tail
+), test AS (
+  SELECT r, a, a + length(w)::int AS b, e || '/' || size AS stratum,
+    greatest(least(floor(-log10(CASE WHEN fair THEN greatest(CASE WHEN z < 0 THEN q ELSE 1 - q END, 1e-300) ELSE 1.0 END) * 20), 400), 0) AS bin
+  FROM odds
+), least_bin AS (
+  SELECT stratum, min(bin) AS least FROM (
+    SELECT stratum, bin, sum(count(*)) OVER (PARTITION BY stratum ORDER BY bin DESC) AS reached, sum(count(*)) OVER (PARTITION BY stratum) AS total
+    FROM test GROUP BY stratum, bin)
+  WHERE pow(10, -bin / 20) * total <= 0.05 * reached GROUP BY stratum
+), random AS (
+  SELECT r, 3 AS kind, a, b FROM test JOIN least_bin USING (stratum) WHERE bin >= least
+    AND NOT EXISTS (SELECT 1 FROM base WHERE base.r = test.r AND base.a < test.b AND test.a < base.b)
+), known AS (
+  {_spans_sql("SELECT * FROM base")}
+), found AS (
+  {_spans_sql("SELECT * FROM base UNION ALL SELECT * FROM random")}
+)
+SELECT doc_id, coalesce(known.n0, 0) AS n_assign, coalesce(known.n1, 0) AS n_access, coalesce(known.n2, 0) AS n_hex,
+  sha256(coalesce(known.s, '')) AS base_sha256, coalesce(found.s, '') AS spans
+FROM doc LEFT JOIN known USING (r) LEFT JOIN found USING (r)
+"""
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
@@ -182,6 +268,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_secret_scans, op2_embedding_near_dedup, op3_warc, op4_best_fit_packing, op5_benchmark_decontamination, op6_quality_classifier, op7_minhash_near_dedup, op8_substring_dedup, op9_chat_formatting, op10_html_extraction)
 }
 ORACLES: dict[str, str] = {
+    "op1_secret_scans": OP1_SQL,
     "op2_embedding_near_dedup": OP2_SQL,
     "op3_warc": OP3_SQL,
     "op5_benchmark_decontamination": OP5_SQL,

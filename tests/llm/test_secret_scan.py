@@ -60,3 +60,21 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert s.scan(docs).count() == 0
     assert s.redact(docs).count() == 0
+
+
+def test_the_sql_twin_agrees_on_random_runs(spark):
+    import duckdb
+    import pandas as pd
+
+    from featspan.llm.queries import OP1_SQL
+
+    rng = random.Random(8)
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", string.ascii_letters + string.digits + "+/", "etaoinshr", "01"]
+    run = lambda: "".join(rng.choice(a) for a in [rng.choice(alphabets)] for _ in range(rng.randrange(15, 90)))
+    rows = [(i, " ".join(rng.choice([run(), "é", "token=" + run()]) for _ in range(rng.randrange(6)))) for i in range(300)]
+    rows += [(1000 + i, t) for i, t in enumerate(TRICKY)]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    got = sorted(tuple(r) for r in s.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(con.execute(OP1_SQL).fetchall())
+    assert sum("random" in r[5] for r in got) > 50
