@@ -205,6 +205,34 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
 
 
+OP7_SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS s
+  FROM doc, LATERAL (SELECT unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i) WHERE len(w) > 0
+), size AS (
+  SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), link AS (
+  SELECT u, v FROM common JOIN size x ON x.doc_id = u JOIN size y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)
+), edge AS (
+  SELECT u, v FROM link UNION ALL SELECT v, u FROM link
+), reach AS (
+  SELECT DISTINCT u AS doc_id, u AS other FROM edge
+  UNION
+  SELECT reach.doc_id, edge.v FROM reach JOIN edge ON reach.other = edge.u
+), name AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN name USING (doc_id)
+"""
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_passages(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -272,6 +300,7 @@ ORACLES: dict[str, str] = {
     "op2_embedding_near_dedup": OP2_SQL,
     "op3_warc": OP3_SQL,
     "op5_benchmark_decontamination": OP5_SQL,
+    "op7_minhash_near_dedup": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op9_chat_formatting": OP9_SQL,
 }
