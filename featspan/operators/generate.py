@@ -32,8 +32,8 @@ from featspan.operators.skew import SALT, find_hot_users, spread
 
 # Fixed value: shorter strings hold no token list worth counting.
 MIN_TOKEN_TEXT = 10
-# Row limits beyond this are not pushed below the shuffle by Spark, so we do it ourselves.
-PUSHED_LIMIT = 1000
+# Row limits beyond this setting are not pushed below the shuffle by Spark, so we do it ourselves.
+PUSHED_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 DAY_SALTS = 64
 
 # State needed by each method; "lo" and "hi" guard the deviation of constant windows.
@@ -205,7 +205,7 @@ def day_prefixes(log: DataFrame, plan: Plan, layout: Layout, depth: int) -> Data
         *[as_feature(log, c).alias(f"__v{plan.slot[c]}") for c in wanted],
     ).where("__day is not null")
     latest = [F.col(t).desc() for t in tie_names] or [F.lit(1)]
-    if depth > PUSHED_LIMIT:
+    if depth > int(log.sparkSession.conf.get(PUSHED_LIMIT, "1000")):
         rows = rows.withColumn("__deal", F.pmod(F.xxhash64(*tie_names), F.lit(DAY_SALTS)))
         dealt = Window.partitionBy(*layout.user, "__day", "__deal").orderBy(*latest)
         rows = rows.withColumn("__rank", F.row_number().over(dealt)).where(f"__rank <= {depth}")

@@ -89,12 +89,15 @@ def test_hot_user_is_spread_and_exact(spark):
     check(table, keys, rows, scheme, 7)
 
 
-def test_windows_beyond_the_pushed_row_limit(spark, monkeypatch):
-    monkeypatch.setattr(g, "PUSHED_LIMIT", 2)
-    rows, keys, log, inst = tables(spark, seed=4, span=8)
-    scheme = [Feature("f1", TS_RULE, m, p) for m in ("sum", "std", "max_min", "avg_day") for p in (2, 6)]
-    table, _ = generate(inst, log, scheme, LAYOUT)
-    check(table, keys, rows, scheme, 6)
+def test_windows_beyond_the_pushed_row_limit(spark):
+    spark.conf.set(g.PUSHED_LIMIT, "2")
+    try:
+        rows, keys, log, inst = tables(spark, seed=4, span=8)
+        scheme = [Feature("f1", TS_RULE, m, p) for m in ("sum", "std", "max_min", "avg_day") for p in (2, 6)]
+        table, _ = generate(inst, log, scheme, LAYOUT)
+        check(table, keys, rows, scheme, 6)
+    finally:
+        spark.conf.unset(g.PUSHED_LIMIT)
 
 
 def test_prepared_days_give_the_same(spark):
