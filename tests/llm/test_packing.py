@@ -1,5 +1,6 @@
 import random
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
@@ -16,12 +17,17 @@ TEXTS = [
 ]
 
 
-def whole(text):
+@cache
+def tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
     t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return t
+
+
+def whole(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids
 
 
 def test_remembered_words_encode_like_whole_texts():
