@@ -15,6 +15,7 @@ own; a table without candidates gives known forms only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,13 +31,15 @@ RUN = r"[A-Za-z0-9+/_-]{20,}"
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 #: How much chi-squared of ordinary writing grows per symbol: size of the alphabet times the chance
 #: that two of its symbols agree, less 1 (digits in hex; letters in the others).
 EXCESS = {"hex": 0.6, "base32": 1.24, "base64": 3.5}
 #: Least lengths of the classes that are controlled apart.
 LENGTHS = (20, 32, 48, 64)
+#: Deviations beyond which runs or serial correlation are far from chance.
+ODD = 3.5
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 _TESTED = "array<struct<start:int,end:int,stratum:string,bin:int>>"
 _PER_DECADE, _BINS = 20, 400
@@ -97,69 +100,90 @@ def _lower_tail(z: Column) -> Column:
     return F.when(z < 0, tail).otherwise(1 - tail)
 
 
-def _battery(token: Column, encoding: str) -> Column:
-    """Struct (p, odd): the p value against ordinary writing, and whether order statistics are far from chance."""
-    letters, k = ALPHABETS[encoding], min(len(ALPHABETS[encoding]), 64)
-    folded = F.translate(token, "-_", "+/") if encoding == "base64" else F.lower(token) if encoding == "hex" else token
-    symbols = F.transform(F.split(folded, ""), lambda c: F.instr(F.lit(letters), c).cast("double") - 1)
-    symbols = F.filter(symbols, lambda s: s >= 0)
-    n = F.length(token).cast("double")
-    squares = F.aggregate(
-        F.array_distinct(symbols), F.lit(0.0), lambda a, d: a + F.pow(F.size(F.filter(symbols, lambda s: s == d)).cast("double"), F.lit(2.0))
-    )
-    chi = squares * k / n - n
-    # runs about the middle of the alphabet
-    high = F.transform(symbols, lambda s: (s >= k / 2).cast("double"))
-    ups = F.aggregate(high, F.lit(0.0), lambda a, h: a + h)
-    changes = F.aggregate(
-        F.zip_with(F.slice(high, F.lit(1), F.size(high) - 1), F.slice(high, F.lit(2), F.size(high) - 1), lambda a, b: F.abs(a - b)),
-        F.lit(0.0),
-        lambda a, d: a + d,
-    )
-    mean = 2 * ups * (n - ups) / n + 1
-    spread = (mean - 1) * (mean - 2) / (n - 1)
-    runs = F.when(spread > 0, (changes + 1 - mean) / F.sqrt(spread)).otherwise(F.lit(-99.0))
-    # lag-one serial correlation
-    centre = F.aggregate(symbols, F.lit(0.0), lambda a, s: a + s) / n
-    power = F.aggregate(symbols, F.lit(0.0), lambda a, s: a + (s - centre) * (s - centre))
-    lagged = F.aggregate(
-        F.zip_with(
-            F.slice(symbols, F.lit(1), F.size(symbols) - 1),
-            F.slice(symbols, F.lit(2), F.size(symbols) - 1),
-            lambda a, b: (a - centre) * (b - centre),
-        ),
-        F.lit(0.0),
-        lambda a, d: a + d,
-    )
-    serial = F.when(power > 0, (lagged / power + 1 / n) * F.sqrt(n)).otherwise(F.lit(99.0))
-    excess = EXCESS[encoding]
-    z = (chi - (k - 1) - (n - 1) * excess) / F.sqrt(2 * (k - 1) + 4 * (n - 1) * excess)
-    odd = (F.abs(runs) > 3.5) | (F.abs(serial) > 3.5)
-    return F.struct(_lower_tail(z).alias("p"), odd.alias("odd"))
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+
+def _by_encoding(encoding: Column, values: dict) -> Column:
+    return F.when(encoding == "hex", values["hex"]).when(encoding == "base32", values["base32"]).otherwise(values["base64"])
+
+
+def _more(**made: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """Add fields to a struct; each step sees the fields of the steps before it as values."""
+
+    def step(run: Column) -> Column:
+        for name, of in made.items():
+            run = run.withField(name, of(run))
+        return run
+
+    return step
+
+
+def _symbols(run: Column) -> Column:
+    folded = F.when(run["encoding"] == "hex", F.lower(run["found"])).otherwise(F.translate(run["found"], "-_", "+/"))
+    letters = _by_encoding(run["encoding"], ALPHABETS)
+    return F.transform(F.split(folded, ""), lambda c: F.instr(letters, c).cast("double") - 1)
+
+
+def _pairs(values: Column, of: Callable[[Column, Column], Column]) -> Column:
+    """``of`` each value and the next one."""
+    n = F.size(values) - 1
+    return F.zip_with(F.slice(values, F.lit(1), n), F.slice(values, F.lit(2), n), of)
 
 
 def tested(text: Column) -> Column:
     """Structs (start, end, stratum, bin) of all candidate runs; a bin is a twentieth of a decade of p."""
+    size = lambda r: reduce(lambda c, n: F.when(F.length(r["found"]) >= n, F.lit(n)).otherwise(c), LENGTHS, F.lit(0))
+    steps = (
+        _more(
+            n=lambda r: F.length(r["found"]).cast("double"),
+            size=size,
+            encoding=lambda r: F.when(r["found"].rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit("hex"))
+            .when(r["found"].rlike("^[A-Z2-7]+$"), F.lit("base32"))
+            .otherwise(F.lit("base64")),
+        ),
+        _more(
+            k=lambda r: _by_encoding(r["encoding"], {e: F.lit(float(len(a))) for e, a in ALPHABETS.items()}),
+            excess=lambda r: _by_encoding(r["encoding"], {e: F.lit(x) for e, x in EXCESS.items()}),
+            symbols=_symbols,
+        ),
+        _more(
+            high=lambda r: F.transform(r["symbols"], lambda s: (s >= r["k"] / 2).cast("double")),
+            centre=lambda r: _sum(r["symbols"]) / r["n"],
+            squares=lambda r: _sum(
+                F.transform(F.array_distinct(r["symbols"]), lambda d: F.pow(F.size(F.filter(r["symbols"], lambda s: s == d)), F.lit(2.0)))
+            ),
+        ),
+        _more(
+            ups=lambda r: _sum(r["high"]),
+            changes=lambda r: _sum(_pairs(r["high"], lambda x, y: F.abs(x - y))),
+            power=lambda r: _sum(F.transform(r["symbols"], lambda s: (s - r["centre"]) * (s - r["centre"]))),
+            lagged=lambda r: _sum(_pairs(r["symbols"], lambda x, y: (x - r["centre"]) * (y - r["centre"]))),
+        ),
+        _more(mean=lambda r: 2 * r["ups"] * (r["n"] - r["ups"]) / r["n"] + 1, chi=lambda r: r["squares"] * r["k"] / r["n"] - r["n"]),
+        _more(
+            spread=lambda r: (r["mean"] - 1) * (r["mean"] - 2) / (r["n"] - 1),
+            z=lambda r: (r["chi"] - (r["k"] - 1) - (r["n"] - 1) * r["excess"]) / F.sqrt(2 * (r["k"] - 1) + 4 * (r["n"] - 1) * r["excess"]),
+        ),
+        _more(
+            # one value throughout has no runs and no correlation to speak of: no random string
+            runs=lambda r: F.when(r["spread"] > 0, (r["changes"] + 1 - r["mean"]) / F.sqrt(r["spread"])).otherwise(F.lit(-99.0)),
+            serial=lambda r: F.when(r["power"] > 0, (r["lagged"] / r["power"] + 1 / r["n"]) * F.sqrt(r["n"])).otherwise(F.lit(99.0)),
+        ),
+        _more(
+            p=lambda r: F.when((F.abs(r["runs"]) > ODD) | (F.abs(r["serial"]) > ODD), F.lit(1.0)).otherwise(
+                F.greatest(_lower_tail(r["z"]), F.lit(1e-300))
+            )
+        ),
+    )
+    runs = reduce(F.transform, steps, _placed(text, RUN))
+
+    def result(r: Column) -> Column:
+        bin_ = F.greatest(F.least(F.floor(-F.log10(r["p"]) * _PER_DECADE), F.lit(_BINS)), F.lit(0)).cast("int")
+        stratum = F.concat(r["encoding"], F.lit("/"), r["size"].cast("string"))
+        return F.struct(r["start"].alias("start"), r["end"].alias("end"), stratum.alias("stratum"), bin_.alias("bin"))
 
-    def one(run: Column) -> Column:
-        token = run["found"]
-        encoding = (
-            F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit("hex")).when(token.rlike("^[A-Z2-7]+$"), F.lit("base32")).otherwise(F.lit("base64"))
-        )
-        result = (
-            F.when(encoding == "hex", _battery(token, "hex")).when(encoding == "base32", _battery(token, "base32")).otherwise(_battery(token, "base64"))
-        )
-        size = reduce(lambda c, n: F.when(F.length(token) >= n, F.lit(n)).otherwise(c), LENGTHS, F.lit(0))
-        p = F.when(result["odd"], F.lit(1.0)).otherwise(F.greatest(result["p"], F.lit(1e-300)))
-        bin_ = F.least(F.floor(-F.log10(p) * _PER_DECADE), F.lit(_BINS)).cast("int")
-        return F.struct(
-            run["start"].alias("start"),
-            run["end"].alias("end"),
-            F.concat(encoding, F.lit("/"), size.cast("string")).alias("stratum"),
-            F.greatest(bin_, F.lit(0)).alias("bin"),
-        )
-
-    return F.transform(_placed(text, RUN), one).cast(_TESTED)
+    return F.transform(runs, result).cast(_TESTED)
 
 
 def _text(docs: DataFrame) -> Column:
