@@ -6,6 +6,7 @@ a text falls apart into words whose ids can be kept. Other texts go through the
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,6 +19,9 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Signs that end many words; a run of them after letters is a piece of its own.
 _TAIL = ".,;:!?%&$#*|)\""
 
+#: White space other than blank and line break.
+_OTHER_SPACE = re.compile(r"[^\S \n]").search
+
 
 def _byte_letters() -> dict[int, str]:
     """The printable character that stands for each byte in such vocabularies."""
@@ -26,67 +30,69 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class Memory(dict):
-    """Forgets everything at ``limit`` entries, so that it stays bounded."""
-
-    def __init__(self, limit: int):
-        self.limit = limit
-
-    def learn(self, key: str, value: bytes) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        self[key] = value
-        return value
-
-
 class Encoder:
-    """Encodes texts to little-endian 32-bit ids. ``memory`` bounds the words kept."""
+    """Encodes texts to little-endian 32-bit ids. ``memory`` bounds the words kept; when it is full all go."""
 
     def __init__(self, path: str, memory: int = 500_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model, self.letters = self.whole.model, _byte_letters()
+        self.model, self.letters, self.memory = self.whole.model, _byte_letters(), memory
         self.split = regex.compile(PIECES).findall
-        self.words, self.pieces = Memory(memory), Memory(memory)
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
+            if len(self.pieces) >= self.memory:
+                self.pieces.clear()
             shown = piece.encode().decode("latin-1").translate(self.letters)
-            ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-            self.pieces.learn(piece, ids)
+            ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return ids
 
     def _word(self, word: str, glue: str) -> bytes:
         core = word.rstrip(_TAIL)
-        if core.isalpha() and max(core) < "\u0250":  # letters, then signs: no need for the full rule
+        if core.isalpha() and (core.isascii() or max(core) < "\u0250"):  # letters, then signs: no need for the full rule
             ids = self._piece(glue + core)
             return ids + self._piece(word[len(core) :]) if len(core) < len(word) else ids
         return b"".join(map(self._piece, self.split(glue + word)))
 
     def _joined(self, words: list[str]) -> bytes:
         known = self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            fresh = {}
-            for w in set(words):
+        missing = set(words).difference(known)
+        if missing:
+            if len(known) + len(missing) > self.memory:
+                known.clear()
+                missing = set(words)
+            for w in missing:
                 # a word after a line break keeps the break, any other one gets its space back
-                fresh[w] = known.get(w) or known.learn(w, self._word(w, "" if w[0] == "\n" else " "))
-            return b"".join([fresh[w] for w in words])
+                known[w] = self._word(w, "" if w[0] == "\n" else " ")
+        return b"".join(map(known.__getitem__, words))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
-            # one blank or line break between words, no other white space anywhere
-            if text and text.split() == text.replace("\n", " ").split(" "):
+            if text and _single(text):
                 first, *rest = text.replace("\n", " \n").split(" ")
                 yield self._word(first, "") + self._joined(rest)
             else:
                 yield array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
 
+def _single(text: str) -> bool:
+    """One blank or line break between words, no other white space anywhere."""
+    return not (
+        text[0] in " \n"
+        or text[-1] in " \n"
+        or "  " in text
+        or " \n" in text
+        or "\n " in text
+        or "\n\n" in text
+        or _OTHER_SPACE(text)
+    )
+
+
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """This process's encoder; its memory outlives a task."""
