@@ -84,7 +84,7 @@ def _entries(packets: pa.Table, kind: np.dtype, by: str) -> tuple[np.ndarray, np
     return np.concatenate(parts), np.repeat(packets.column(by).to_numpy(), [len(p) for p in parts])
 
 
-def repeated_passages(docs: DataFrame, window: int = 13, block_bytes: int = 16 << 20) -> DataFrame:
+def repeated_passages(docs: DataFrame, window: int = 13, block_bytes: int = 8 << 20) -> DataFrame:
     """Per document doc_id, n_words, n_removed, and text: the kept words, joined by one space.
 
     A word goes if a window over it also starts in a document with a smaller id.
