@@ -5,7 +5,7 @@ composite text density: characters per tag below it, cut down by the share of ch
 in links. Per element the densities of its children are summed, and the element with the greatest
 sum is the centre of the page. From it the search climbs towards the body as long as an element on
 that path still reaches a share of the sum found (the body-path threshold), so that an article cut
-into sections is taken whole. Boxes that announce by tag, role or class that they are not the
+into sections is taken whole. Boxes that announce by tag, role or their whole name that they are not the
 article (menus, footers, adverts, forms, comments) take no part.
 
 Null and empty html gives an empty text, repeated rows are done each on its own, and a page
@@ -48,15 +48,23 @@ SCOPES = frozenset("ul ol dl table tbody thead tfoot select body html article se
 ASIDE = frozenset(
     "nav header footer aside form button select menu dialog template svg object canvas audio video head".split()
 ) | RAW
-_WORDS = (
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
-    "disqus footer gdpr menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted "
-    "related reply replies responses share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget"
+_NAMES = (
+    "ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments commentform commentlist consent "
+    "cookie cookies disqus footer gdpr menu modal nav navbar navigation newsletter pager pagination popup promo promoted "
+    "related reply replies responses share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets"
 )
-ASIDE_WORDS = frozenset(_WORDS.split())
-#: Words that also say so at the head of a longer one, and those that do outside an article only.
-ASIDE_HEADS = ("advert", "comment", "cookie", "newsletter", "sidebar")
-OUTSIDE_WORDS = frozenset("header masthead topbar".split())
+ASIDE_NAMES = frozenset(_NAMES.split())
+#: Words that may stand beside them in the name of a box; any other word makes it a name of something else.
+_PARTS = (
+    "area articles bar block bottom box button buttons center col column container content form global google group header icons inner "
+    "item items left links list main media notice outer page panel post posts primary right row secondary section site slot stories "
+    "thread top unit wrap wrapper"
+)
+NAME_PARTS = frozenset(_PARTS.split())
+#: Names that say so outside an article only.
+OUTSIDE_NAMES = frozenset("header masthead topbar".split())
+#: Elements whose names say nothing about the page: running text, and what holds the article.
+UNNAMED = INLINE | frozenset("html body article main p h1 h2 h3 h4 h5 h6 hgroup blockquote pre li dt dd tr td th caption figcaption".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 
 _TOKEN = re.compile(
@@ -65,7 +73,7 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL,
 )
-_MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
@@ -77,26 +85,33 @@ class Node:
         self.parts: list[Node | str] = []
 
 
-def _is_aside(tag: str, rest: str, in_article: bool) -> bool:
+def _attributes(rest: str) -> dict[str, str]:
+    """Names and values as they stand in a tag; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(rest):
+        out.setdefault(name.lower(), unescape(a or b or c).lower())
+    return out
+
+
+def _names_aside(name: str) -> bool:
+    """Whether all words of a box's name speak of a box beside the article."""
+    words = [w for w in re.split(r"[-_]+", name) if w and not w.isdigit()]
+    return any(w in ASIDE_NAMES for w in words) and all(w in ASIDE_NAMES or w in NAME_PARTS for w in words)
+
+
+def _is_aside(tag: str, own: dict[str, str], in_article: bool) -> bool:
     if tag in ASIDE:
         return not (tag == "header" and in_article)
-    if "=" not in rest and "hidden" not in rest:
+    if not own:
+        return False
+    if "hidden" in own or own.get("aria-hidden") == "true" or own.get("role") in ASIDE_ROLES:
+        return True
+    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", "")):
+        return True
+    if tag in UNNAMED:
         return False
-    for name, a, b, c in _MARKS.findall(rest):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name == "role" and value in ASIDE_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            words = set(re.split(r"[^a-z0-9]+", value))
-            if words & ASIDE_WORDS or any(w.startswith(ASIDE_HEADS) for w in words):
-                return True
-            if not in_article and words & OUTSIDE_WORDS:
-                return True
-    return False
+    names = [*own.get("class", "").split(), *own.get("id", "").split()]
+    return any(_names_aside(n) or not in_article and n in OUTSIDE_NAMES for n in names)
 
 
 def _close(open_: list[Node], until: int) -> None:
@@ -147,7 +162,7 @@ def tree(html: str) -> Node:
                     break
                 if open_[k].tag in SCOPES and open_[k].tag not in ("div", "td", "th"):
                     break
-        node = Node(tag, open_[-1], _is_aside(tag, rest, any(n.tag in ("article", "main") for n in open_)))
+        node = Node(tag, open_[-1], _is_aside(tag, _attributes(rest), any(n.tag in ("article", "main") for n in open_)))
         open_[-1].parts.append(node)
         if tag in VOID or rest.endswith("/") and tag in ("svg", "path"):
             continue

@@ -59,6 +59,18 @@ def test_sections_of_one_article_stay_together():
     assert main_text(page(f"<div class='story'>{section * 3}</div>")).count(BODY) == 6
 
 
+def test_names_drop_whole_boxes_only():
+    kept = (
+        f'<p title="Hidden gems of Rome">{BODY}</p><div data-id="share"><p>shared</p></div><h2 id="related">Related</h2>'
+        '<section id="related-work"><p>work</p></section><section id="social-impact"><p>impact</p></section>'
+        '<div id="share-price"><p>price</p></div><div id="notice-period"><p>period</p></div><div class="commentary"><p>said</p></div>'
+    )
+    gone = "<div class='share-buttons'>x</div><div id=comments-2>x</div><p hidden>x</p><div class='a ad'>x</div><div style='display: none'>x</div>"
+    want = f"{BODY} shared Related work impact price period said"
+    assert main_text(page(f"<article>{kept}{gone}</article>")) == want
+    assert main_text(page(f"<div class='story'>{kept}{gone}</div>")) == want
+
+
 def test_hostile_markup_ends_soon():
     started = time.perf_counter()
     for html in ("<div>" * 20_000 + "x", "<" * 50_000, "<a " + 'b="' * 20_000, "<p " * 20_000, "<!--" * 20_000, "</p>" * 20_000):
