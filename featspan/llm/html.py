@@ -2,11 +2,13 @@
 
 Each page is read into a tree of elements in the task that holds it. Every element gets its
 composite text density: characters per tag below it, cut down by the share of characters that stand
-in links. Per element the densities of its children are summed, and the element with the greatest
-sum is the centre of the page. From it the search climbs towards the body as long as an element on
-that path still reaches a share of the sum found (the body-path threshold), so that an article cut
-into sections is taken whole. Boxes that announce by tag, role or their whole name that they are not the
-article (menus, footers, adverts, forms, comments) take no part.
+in links. Per element the densities of its children and of its own text are summed, and the element
+with the greatest sum is the centre of the page; ``article`` and ``main`` weigh more, the page as a
+whole less. The least density on the path from there to the body is the threshold: from the body
+down, every element that reaches a share of it gives the subtree with the greatest sum below it, and
+the text is what the smallest element around all these subtrees holds, without boxes of links. So an
+article cut into sections is taken whole. Boxes that announce by tag, role or their whole name that
+they are not the article (menus, footers, adverts, forms, comments) take no part.
 
 Null and empty html gives an empty text, repeated rows are done each on its own, and a page
 without any element is plain text. Markup that is never closed ends with its parent.
@@ -61,8 +63,9 @@ _PARTS = (
     "thread top unit wrap wrapper"
 )
 NAME_PARTS = frozenset(_PARTS.split())
-#: Names that say so outside an article only.
+#: Names that say so outside an article only, and those of boxes that announce articles on a page that has one.
 OUTSIDE_NAMES = frozenset("header masthead topbar".split())
+TEASERS = frozenset("teaser teasers".split())
 #: Elements whose names say nothing about the page: running text, and what holds the article.
 UNNAMED = INLINE | frozenset("html body article main p h1 h2 h3 h4 h5 h6 hgroup blockquote pre li dt dd tr td th caption figcaption".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
@@ -75,13 +78,18 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are never the centre, and how much the sums of others weigh.
+_RUNNING = INLINE | _HEADING | {"p"}
+_PAGE = frozenset(("#page", "html", "body"))
+WEIGHTS = {"article": 4.0, "main": 4.0} | dict.fromkeys(_PAGE, 0.5)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "aside", "chars", "links", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "depth", "parts", "aside", "teaser", "chars", "links", "tags", "link_tags", "density", "total", "peak")
 
     def __init__(self, tag: str, parent: Node | None, aside: bool):
-        self.tag, self.parent, self.aside = tag, parent, aside
+        self.tag, self.parent, self.aside, self.teaser = tag, parent, aside, False
+        self.depth = parent.depth + 1 if parent else 0
         self.parts: list[Node | str] = []
 
 
@@ -162,7 +170,9 @@ def tree(html: str) -> Node:
                     break
                 if open_[k].tag in SCOPES and open_[k].tag not in ("div", "td", "th"):
                     break
-        node = Node(tag, open_[-1], _is_aside(tag, _attributes(rest), any(n.tag in ("article", "main") for n in open_)))
+        own, in_article = _attributes(rest), any(n.tag in ("article", "main") for n in open_)
+        node = Node(tag, open_[-1], _is_aside(tag, own, in_article))
+        node.teaser = not in_article and tag not in UNNAMED and not TEASERS.isdisjoint(own.get("class", "").split())
         open_[-1].parts.append(node)
         if tag in VOID or rest.endswith("/") and tag in ("svg", "path"):
             continue
@@ -186,7 +196,7 @@ def _walk(root: Node) -> list[Node]:
 
 
 def measure(root: Node) -> list[Node]:
-    """Fill in characters, tags, links, composite density and the sum over children."""
+    """Fill in characters, tags, links, composite density, its sum, and the element below with the greatest sum."""
     nodes = _walk(root)
     for node in reversed(nodes):
         own = sum(len(c) - c.count(" ") for c in node.parts if isinstance(c, str))
@@ -204,34 +214,101 @@ def measure(root: Node) -> list[Node]:
         base = math.log(node.chars / plain * node.links + ratio * node.chars + math.e)
         rated = max(node.chars / links * tags / link_tags, 1.0)
         node.density = node.chars / tags * math.log(rated + math.e - 1) / base if node.chars else 0.0
-    for node in nodes:
-        node.total = sum(c.density for c in node.parts if isinstance(c, Node) and not c.aside)
+    for node in reversed(nodes):
+        below = [c for c in node.parts if isinstance(c, Node) and not c.aside]
+        node.total, node.peak = sum(c.density for c in below), node
+        if node.tag in _RUNNING:
+            node.total = 0.0
+        else:
+            own = sum(len(c) - c.count(" ") for c in node.parts if isinstance(c, str) and not c.isspace())
+            node.total += own * math.log(own + math.e - 1) / math.log(1 + ratio * own + math.e) if own else 0.0
+            node.total *= WEIGHTS.get(node.tag, 1.0)
+        for c in below:
+            if c.peak.total > node.peak.total:
+                node.peak = c.peak
     return nodes
 
 
+def _without_teasers(nodes: list[Node]) -> bool:
+    """Where a page marks its article, rows of boxes that announce others are none of it."""
+    if not any(n.tag in ("article", "main") and n.chars for n in nodes):
+        return False
+    rows = [[c for c in n.parts if isinstance(c, Node) and c.teaser and not c.aside] for n in nodes]
+    found = [c for row in rows if len(row) > 1 for c in row]
+    for c in found:
+        c.aside = True
+    return bool(found)
+
+
+def _around(a: Node, b: Node) -> Node:
+    """The smallest element that holds both."""
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+    return a
+
+
 def centre(root: Node, path_share: float = 0.5) -> Node:
-    """The subtree with the greatest density sum, widened along the path to the body.
+    """The smallest element around all subtrees that qualify; link boxes between them are set aside.
 
-    Where the page itself marks articles (or else its main part), the largest of them is taken.
+    The threshold is the least density on the path from the greatest sum to the body; an element
+    qualifies that reaches ``path_share`` of it. A marked article that holds them all is taken whole.
     """
     nodes = measure(root)
+    if _without_teasers(nodes):
+        nodes = measure(root)
     for tag in ("article", "main"):
         named = max((n for n in nodes if n.tag == tag), key=lambda n: n.chars, default=None)
         if named is not None and named.chars:
             return named
-    best = max(nodes, key=lambda n: n.total)
+    best = root.peak
     if best.total <= 0:
         return root
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    boxes = [n for n in path[1:] if n.tag not in ("#page", "html")]
-    least = min((n.density for n in [best, *boxes]), default=best.density)
-    taken = best
-    for node in boxes:
-        if node.total >= path_share * best.total and node.density >= least and node.chars > taken.chars:
-            taken = node
-    return taken
+    start = next((n for n in path if n.tag in ("body", "html")), root)
+    least = path_share * min(n.density for n in path[: path.index(start) + 1])
+    taken, rest = {id(best): best}, [start]
+    while rest:
+        node = rest.pop()
+        if id(node) not in taken and node.density >= least and node.chars:
+            peak = node.peak if node.peak.total > 0 else node
+            taken[id(peak)] = peak
+            if peak is not node:
+                rest.extend(c for c in node.parts if isinstance(c, Node) and not c.aside)
+    top = best
+    for node in taken.values():
+        top = _around(top, node)
+    named = top
+    while named is not None and named.tag not in ("article", "main"):
+        named = named.parent
+    top = named or top
+    if top.tag != "article":
+        _trim(top, taken)
+    return top
+
+
+def _trim(top: Node, taken: dict[int, Node]) -> None:
+    """Set aside what is no part of the article below ``top``, outside the subtrees taken."""
+    if id(top) in taken:
+        return
+    held: dict[int, Node] = {}
+    for node in taken.values():
+        while node is not top and id(node) not in held:
+            held[id(node)] = node
+            node = node.parent
+    within = [top, *(n for n in held.values() if id(n) not in taken)]
+    for node in within:
+        boxes = [c for c in node.parts if isinstance(c, Node) and not c.aside]
+        inside = [i for i, c in enumerate(boxes) if id(c) in held]
+        for i, c in enumerate(boxes):
+            if id(c) in held or c.tag in _RUNNING:
+                continue
+            beside = node is top and top.tag in _PAGE and not inside[0] < i < inside[-1]
+            c.aside = beside or 2 * c.links > c.chars
 
 
 def _texts(node: Node) -> Iterator[str]:

@@ -71,6 +71,21 @@ def test_names_drop_whole_boxes_only():
     assert main_text(page(f"<div class='story'>{kept}{gone}</div>")) == want
 
 
+def paragraphs(n, size=600):
+    return "".join(f"<p>{('word%d ' % i) * (size // 6)}</p>" for i in range(n))
+
+
+@pytest.mark.parametrize(("sections", "each"), [(2, 7), (2, 10), (3, 12), (3, 20)])
+def test_long_sections_without_marks_stay_together(sections, each):
+    links = "<div>" + "".join(f"<a href=/{i}>topic {i}</a> " for i in range(60)) + "</div>"
+    part = f"<div class='part'><h3>Part</h3>{paragraphs(each)}</div>"
+    text = main_text(page(f"<div class='story'><h2>Head</h2>{part * sections}</div>", after=links))
+    assert text.startswith("Head Part word0") and text.count("word") == sections * each * 100 and "topic" not in text
+    # also where the sections stand in the body itself, of unlike lengths
+    text = main_text(f"<body>{links}{part}{links}<div>{paragraphs(each, 450)}</div>{links}</body>")
+    assert text.count("word") == each * 175 and "topic" not in text
+
+
 def test_hostile_markup_ends_soon():
     started = time.perf_counter()
     for html in ("<div>" * 20_000 + "x", "<" * 50_000, "<a " + 'b="' * 20_000, "<p " * 20_000, "<!--" * 20_000, "</p>" * 20_000):
