@@ -259,10 +259,6 @@ def centre(root: Node, path_share: float = 0.5) -> Node:
     nodes = measure(root)
     if _without_teasers(nodes):
         nodes = measure(root)
-    for tag in ("article", "main"):
-        named = max((n for n in nodes if n.tag == tag), key=lambda n: n.chars, default=None)
-        if named is not None and named.chars:
-            return named
     best = root.peak
     if best.total <= 0:
         return root

@@ -1,3 +1,4 @@
+import re
 import time
 
 import pytest
@@ -86,6 +87,19 @@ def test_long_sections_without_marks_stay_together(sections, each):
     assert text.count("word") == each * 175 and "topic" not in text
 
 
+def test_marks_do_not_decide_alone():
+    text = paragraphs(8)
+    small = "<article><h3>Other</h3><p>A small teaser.</p></article>"
+    for story in (f"<div>{text}</div>", f"<div>{re.sub('</?p>', ' ', text)}</div>", f"<div><div>{text}</div></div>"):
+        assert main_text(page(story, after=small)) == main_text(text)
+    parts = "".join(f"<article><h2>Part {k}</h2>{text}</article>" for k in range(3))
+    assert main_text(page(parts)).count("word") == 3 * 800
+    inner = f"<h1>Title</h1><div><section>{paragraphs(20)}</section><section>{paragraphs(20)}</section></div>"
+    for tag in ("article", "main"):
+        got = main_text(page(f"<{tag}>{inner}</{tag}>"))
+        assert got.startswith("Title word0") and got.count("word") == 4000
+
+
 def test_hostile_markup_ends_soon():
     started = time.perf_counter()
     for html in ("<div>" * 20_000 + "x", "<" * 50_000, "<a " + 'b="' * 20_000, "<p " * 20_000, "<!--" * 20_000, "</p>" * 20_000):
