@@ -3,12 +3,15 @@
 Every batch of documents in a task is one shard. Its words become numbers of the benchmark's
 vocabulary (0 for any other word), and the positions from which a window's worth of benchmark words
 runs on are sorted by the words that follow: the shard's suffix array. No other suffix can hold a
-match. Every suffix of every benchmark item is searched in it by bisection, which gives the longest
-verbatim match with its places, and every place where the item's window at that suffix occurs. Hit
-words, items and contamination follow from those places.
+match. Every suffix of every benchmark item is searched in it by bisection, which gives every place
+where the item's window at that suffix occurs. Places that follow one another in both texts make up
+longer verbatim matches. Hit words, items and contamination follow from those places. Suffixes are
+positions, never copies: memory grows with the words of a shard and of a block, not with their square.
 
-The benchmark is the query set. It goes to the tasks in blocks of at most ``block_words`` words,
-each against all documents, so that neither the driver nor a task holds more at once than a block.
+The benchmark is the query set. Tasks cut its items into pieces and write them as a table, in blocks
+of about ``block_words`` words. Items longer than that are cut into pieces that overlap by the longest
+document, so that no match is lost or shortened. One block at a time is read by the driver, sent to
+the tasks and held against all documents; its hits are written before the next one is read.
 
 Null texts have no words; benchmark rows with a null id are left out and equal items count once
 per id. Repeated documents are judged each on its own. An empty benchmark contaminates nothing.
@@ -18,14 +21,14 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featspan.llm.storage import materialise
+from featspan.llm.storage import materialise, new_folder
 
 #: ASCII bytes outside words become spaces, A-Z become a-z; all other bytes are parts of words.
 _WORDS = bytes(
@@ -38,83 +41,132 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class TestIndex:
-    """A block of benchmark items: their vocabulary, and the window at each of their suffixes."""
+    """A block of benchmark pieces: their vocabulary, and each piece as one array of its words' numbers."""
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, pieces: list[tuple[str, list[bytes], int]], window: int):
+        """``pieces`` are item, words, and the words of the item's window."""
         self.ids: dict[bytes, int] = {}
-        self.items, self.window = [i for i, _ in items], window
-        self.tails: list[tuple[int, bytes, int]] = []  # item, its words from a position on, bytes of its window there
-        self.least = window
-        self.longest = 4
-        for k, (_, words) in enumerate(items):
-            if not words:
-                continue
+        self.window, self.longest = window, 1
+        self.pieces: list[tuple[str, bytes, int]] = []
+        self.least = min((size for _, _, size in pieces), default=window)
+        for item, words, size in pieces:
             numbers = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words], ">u4").tobytes()
-            size = min(window, len(words))
-            self.least, self.longest = min(self.least, size), max(self.longest, len(numbers))
-            for at in range(len(words) - size + 1):
-                self.tails.append((k, numbers[4 * at :], 4 * size))
+            self.longest = max(self.longest, len(words))
+            self.pieces.append((item, numbers, size))
 
     def suffixes(self, numbers: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-        """The sorted suffixes of a shard that can match, and their positions.
+        """The suffix array of a shard's suffixes that can match: the first window of each, and its position.
 
         ``numbers`` are the words of all documents, ``ends`` for each word where its document ends.
         """
-        known = numbers > 0
-        stops = np.flatnonzero(~known)
-        following = np.append(stops, len(numbers))[np.searchsorted(stops, np.arange(len(numbers)))]
-        run = np.minimum(following, ends) - np.arange(len(numbers))
+        stops = np.flatnonzero(numbers == 0)
+        here = np.arange(len(numbers))
+        run = np.minimum(np.append(stops, len(numbers))[np.searchsorted(stops, here)], ends) - here
         at = np.flatnonzero(run >= self.least)
+        order = at[_sorted(numbers, run, at, self.longest)]
         raw = numbers.astype(">u4").tobytes()
-        own = [raw[4 * i : 4 * i + min(4 * n, self.longest)] for i, n in zip(at.tolist(), run[at].tolist(), strict=True)]
-        order = sorted(range(len(own)), key=own.__getitem__)
-        return [own[i] for i in order], at[order]
-
-    def search(self, numbers: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, int]]:
-        """(item, words in a window, positions of that window, longest match in words) per matching test suffix."""
-        own, places = self.suffixes(numbers, ends)
-        for item, tail, size in self.tails if own else ():
-            need = tail[:size]
-            low = bisect_left(own, need)
-            if low == len(own) or own[low][:size] != need:
-                continue
-            high = bisect_left(own, need + b"\xff" * 4, low)
-            best = bisect_left(own, tail, low, high)  # neighbours in order share the longest prefix
-            longest = max(_shared(own[i], tail) for i in (best - 1, best) if low <= i < high)
-            yield item, size // 4, places[low:high], longest
-
-
-def _shared(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    x, y = np.frombuffer(a[:n], ">u4"), np.frombuffer(b[:n], ">u4")
-    other = np.flatnonzero(x != y)
-    return int(other[0]) if len(other) else n // 4
-
-
-def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[TestIndex]:
-    """Benchmark items in blocks; only one block is on the driver at a time."""
-    items: list[tuple[str, list[bytes]]] = []
-    held = 0
+        heads = [raw[4 * i : 4 * (i + n)] for i, n in zip(order.tolist(), np.minimum(run[order], self.window).tolist(), strict=True)]
+        return heads, order
+
+    def search(self, numbers: np.ndarray, ends: np.ndarray) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
+        """(item, words in a window, positions of that window, words matched up to its end) per matching test suffix."""
+        own, order = self.suffixes(numbers, ends)
+        if not own:
+            return
+        before = np.zeros(len(numbers) + 1, np.int32)  # at a position: words matched by the suffix before it, at the position before
+        for item, words, size in self.pieces:
+            last = order[:0]
+            for at in range(0, len(words) - 4 * size + 1, 4):
+                need = words[at : at + 4 * size]
+                low = bisect_left(own, need)
+                high = bisect_left(own, need + b"\xff" * 4, low) if low < len(own) and own[low].startswith(need) else low
+                places = order[low:high]
+                if len(places):
+                    reached = np.where((before[places] > 0) & (ends[places - 1] == ends[places]), before[places] + 1, size)
+                    before[last + 1] = 0
+                    before[places + 1] = reached
+                    yield item, size, places, reached
+                else:
+                    before[last + 1] = 0
+                last = places
+            before[last + 1] = 0
+
+
+def _sorted(numbers: np.ndarray, run: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
+    """The order of the suffixes at ``at`` by the words up to the end of their run, ``most`` words deep; ranks by doubling."""
+    # all positions of the runs that hold such suffixes; those of one run lie side by side in ``inside``
+    inside = np.flatnonzero((run > 0) & np.isin(np.arange(len(run)) + run, at + run[at]))
+    left, rank = run[inside], numbers[inside].astype(np.int64)
+    depth, deepest = 1, min(most, int(left.max(initial=0)))
+    while depth < deepest:
+        following = np.zeros(len(inside), np.int64)
+        more = np.flatnonzero(left > depth)
+        following[more] = rank[more + depth]
+        kinds, rank = np.unique(rank * (int(rank.max()) + 1) + following, return_inverse=True)
+        rank, depth = rank + 1, 2 * depth
+        if len(kinds) == len(rank):
+            break
+    return np.argsort(rank[np.searchsorted(inside, at)], kind="stable")
+
+
+def _cut(benchmark: DataFrame, docs: DataFrame, window: int, block_words: int) -> DataFrame:
+    """item, words of its window, number of words and text of each piece; as a written table.
+
+    Only items that could be longer than a block are cut. Their pieces overlap by as many words as the
+    longest document can have, so that every match lies whole in one of them.
+    """
     given = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    for row in given.distinct().toLocalIterator():
-        words = words_of(row["text"])
-        if items and held + len(words) > block_words:
-            yield TestIndex(items, window)
-            items, held = [], 0
-        items.append((row["item"], words))
-        held += len(words)
-    yield TestIndex(items, window)
+    step, overlap = max(block_words, window), 0
+
+    def most_words(df: DataFrame) -> int:
+        return ((df.agg(F.max(F.octet_length(F.col("text").cast("string")))).first()[0] or 0) + 1) // 2
+
+    if most_words(given) > step:
+        overlap = max(window, most_words(docs))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0), batch.column(1), strict=True):
+                words = words_of(text.as_py())
+                size = min(window, len(words))
+                for at in range(0, len(words) - size + 1, step) if words else ():
+                    own = words[at : at + step + overlap] if overlap else words
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([item.as_py()]), pa.array([size], pa.int32()), pa.array([len(own)], pa.int64()), pa.array([b" ".join(own)], pa.binary())],
+                        names=["item", "size", "n", "words"],
+                    )
+
+    return materialise(given.distinct().mapInArrow(cut, "item string, size int, n long, words binary"), "benchmark-pieces")
+
+
+def _blocks(pieces: DataFrame, block_words: int) -> list[DataFrame]:
+    """Pieces in blocks of about ``block_words`` words, dealt by a hash; at least one."""
+    spark = pieces.sparkSession
+    n = max(1, -(-(pieces.agg(F.sum("n")).first()[0] or 0) // block_words))
+    if n == 1:
+        return [pieces]
+    path = new_folder(spark, "benchmark-blocks")
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(n)).cast("int"))
+    dealt.repartition("block").write.partitionBy("block").parquet(path)
+    written = spark.read.schema(dealt.schema).parquet(path)
+    return [written.where(F.col("block") == r["block"]) for r in written.select("block").distinct().collect()]
+
+
+def _index(block: DataFrame, window: int) -> TestIndex:
+    rows = block.select("item", "words", "size").collect()
+    return TestIndex([(r["item"], bytes(r["words"]).split(b" "), r["size"]) for r in rows], window)
 
 
 _FOUND = "doc_id {kind}, text_hash long, n_words long, covered array<int>, items array<string>, longest int"
 
 
-def _match(docs: DataFrame, index: TestIndex) -> DataFrame:
+def _match(docs: DataFrame, block: Callable[[], TestIndex]) -> DataFrame:
     """Per document its words, the covered runs [start, end, ...] in words, matching items, longest match."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = block()
         number = index.ids.get
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -126,12 +178,13 @@ def _match(docs: DataFrame, index: TestIndex) -> DataFrame:
                 items: list[set[str]] = [set() for _ in words]
                 longest = np.zeros(len(words), np.int32)
                 edges = np.zeros(len(numbers) + 1, np.int32)
-                for item, size, places, most in index.search(numbers, np.repeat(starts[1:], counts)):
-                    edges += np.bincount(places, minlength=len(edges)).astype(np.int32)
-                    edges -= np.bincount(places + size, minlength=len(edges)).astype(np.int32)
-                    for row in set((np.searchsorted(starts, places, "right") - 1).tolist()):
-                        items[row].add(index.items[item])
-                        longest[row] = max(longest[row], most)
+                for item, size, places, reached in index.search(numbers, np.repeat(starts[1:], counts)):
+                    edges[places] += 1
+                    edges[places + size] -= 1
+                    rows = np.searchsorted(starts, places, "right") - 1
+                    np.maximum.at(longest, rows, reached)
+                    for row in set(rows.tolist()):
+                        items[row].add(item)
                 inside = np.append(np.cumsum(edges[:-1]) > 0, False)
                 covered = []
                 for row in range(len(words)):
@@ -153,23 +206,27 @@ def _match(docs: DataFrame, index: TestIndex) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = 2_000_000) -> DataFrame:
     """One row per document: doc_id, n_words, covered runs of words, matching item ids, longest match in words.
 
-    With more than one block of benchmark items each document's runs and items are united.
+    With more than one block of benchmark items each document's runs and items are united; the blocks
+    are searched one after the other, and only documents with hits are written for all but the first.
     """
-    indexes = _blocks(benchmark, window, block_words)
-    first = next(indexes)
-    out = _match(docs, first)
-    others = [_match(docs, index) for index in indexes]
+    spark = docs.sparkSession
+    first, *others = _blocks(_cut(benchmark, docs, window, block_words), block_words)
     if not others:
-        return out
-    for other in others:
-        out = out.unionByName(other)
+        index = _index(first, window)
+        return _match(docs, lambda: index)
+    out = None
+    for block in (first, *others):
+        sent = spark.sparkContext.broadcast(_index(block, window))
+        found = _match(docs, lambda sent=sent: sent.value).withColumn("_row", F.lit(int(out is None)))
+        found = materialise(found if out is None else found.where(F.size("items") > 0), "hits")
+        sent.destroy()
+        out = found if out is None else out.unionByName(found)
     # rows that agree in id and text are united, and as many given back as there were
-    n = len(others) + 1
     one = out.groupBy("doc_id", "text_hash", "n_words").agg(
         F.flatten(F.collect_list("covered")).alias("covered"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.max("longest").alias("longest"),
-        (F.count(F.lit(1)) / n).cast("int").alias("_copies"),
+        F.sum("_row").cast("int").alias("_copies"),
     )
     return one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy")
 

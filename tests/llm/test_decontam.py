@@ -1,9 +1,11 @@
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from brute import contamination, sha256
 
-from featspan.llm.decontam import decontaminate, judge, matches
+from featspan.llm.decontam import TestIndex, decontaminate, judge, matches, words_of
 
 
 def tables(seed=3):
@@ -43,6 +45,32 @@ def test_longest_match_and_places(spark):
     assert (row.covered, row["items"], row.longest) == ([5, 25], ["7"], 20)
 
 
+@pytest.mark.parametrize("block_words", [2_000_000, 60])
+def test_long_items_are_cut_without_loss(spark, block_words):
+    words = [f"w{i % 37}x{i % 41}" for i in range(900)]
+    d = spark.createDataFrame(
+        [(1, " ".join(["a", *words[100:420], "b"])), (2, " ".join(words[50:70])), (3, " ".join(words[-13:])), (4, " ".join(words[:12]))],
+        "doc_id long, text string",
+    ).coalesce(1)
+    b = spark.createDataFrame([(7, " ".join(words)), (8, " ".join(words[300:330]))], "item_id long, text string")
+    got = {r.doc_id: (r["items"], r.longest) for r in matches(d, b, block_words=block_words).collect()}
+    assert got == {1: (["7", "8"], 320), 2: (["7"], 20), 3: (["7"], 13), 4: ([], 0)}
+    rows = {r.doc_id: (r.n_words, r.n_hit) for r in judge(d, b, block_words=block_words).collect()}
+    assert rows == {1: (322, 320), 2: (20, 20), 3: (13, 13), 4: (12, 0)}
+
+
+def test_memory_grows_with_the_words_not_with_their_square():
+    words = words_of(" ".join(f"w{i % 997} v{i % 1009}" for i in range(20_000)))
+    tracemalloc.start()
+    index = TestIndex([("7", words, 13)], 13)
+    numbers = np.array([index.ids[w] for w in words], np.uint32)
+    found = list(index.search(numbers, np.full(len(words), len(words))))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == len(words) - 12 and max(int(x[3].max()) for x in found) == len(words)
+    assert most < 100_000_000
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     d = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (2, None)], "doc_id long, text string")
     b = spark.createDataFrame([(5, "A b"), (5, "A b")], "item_id long, text string")
