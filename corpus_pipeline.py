@@ -43,7 +43,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece of the remaining documents, in sequences of 1024 tokens."""
-    return pack_documents(docs, vocabulary(), Capacity(tokens=1024))
+    return pack_documents(docs, vocabulary(), Capacity(tokens=1024), added=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -49,13 +49,16 @@ def _cut(n: int, most: int) -> list[int]:
     return [first, *[most] * ((n - first) // most)]
 
 
-def pieces(docs: DataFrame, vocabulary: str, most: int = 1024, end: int = 2, ids: bool = False) -> DataFrame:
-    """One row per piece of each document; with ``ids`` also the ids, as little-endian 32-bit binary."""
+def pieces(docs: DataFrame, vocabulary: str, most: int = 1024, end: int = 2, ids: bool = False, added: bool = False) -> DataFrame:
+    """One row per piece of each document; with ``ids`` also the ids, as little-endian 32-bit binary.
+
+    With ``added`` the strings of the vocabulary's added tokens are those tokens.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from featspan.llm.tokens import encoder
 
-        encode, tail = encoder(vocabulary).encode, int(end).to_bytes(4, "little")
+        encode, tail = encoder(vocabulary, added).encode, int(end).to_bytes(4, "little")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -121,7 +124,7 @@ def pack(cut: DataFrame, capacity: Capacity = Capacity(), group: int = 8192) ->
     return cut.withColumn("pack_group", where).groupBy("pack_group").applyInPandas(place, PACKED)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: Capacity = Capacity()) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: Capacity = Capacity(), added: bool = False) -> DataFrame:
     """Tokenise, cut and pack whole documents; one row per piece."""
-    cut = materialise(pieces(docs, vocabulary, capacity.tokens), "pieces")
+    cut = materialise(pieces(docs, vocabulary, capacity.tokens, added=added), "pieces")
     return pack(cut, capacity)

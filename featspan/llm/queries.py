@@ -161,7 +161,7 @@ FROM page LEFT JOIN one USING (d, n)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), Capacity(tokens=1024))
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), Capacity(tokens=1024), added=True)
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Token ids of whole texts by a vocabulary file of ``tokenizers``, with a memory of seen words.
 
 Byte-level pairs never join over a single white space character between other characters, so such
-a text falls apart into words whose ids can be kept. Other texts go through the tokenizer whole.
+a text falls apart into words whose ids can be kept. Other texts go through the tokenizer whole, and
+so do texts that hold the string of an added token, where such strings are tokens.
 """
 
 from __future__ import annotations
@@ -31,13 +32,19 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Encodes texts to little-endian 32-bit ids. ``memory`` bounds the words kept; when it is full all go."""
+    """Encodes texts to little-endian 32-bit ids. ``memory`` bounds the words kept; when it is full all go.
 
-    def __init__(self, path: str, memory: int = 500_000):
+    With ``added`` the strings of added tokens become those tokens, as the tokenizer has it by default;
+    else those of special ones are ordinary text.
+    """
+
+    def __init__(self, path: str, memory: int = 500_000, added: bool = False):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.whole.encode_special_tokens = not added
+        own = self.whole.get_added_tokens_decoder().values()
+        self.added = [t.content for t in own if added or not t.special]
         self.model, self.letters, self.memory = self.whole.model, _byte_letters(), memory
         self.split = regex.compile(PIECES).findall
         self.words: dict[str, bytes] = {}
@@ -73,7 +80,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
-            if text and _single(text):
+            if text and _single(text) and not any(t in text for t in self.added):
                 first, *rest = text.replace("\n", " \n").split(" ")
                 yield self._word(first, "") + self._joined(rest)
             else:
@@ -94,6 +101,6 @@ def _single(text: str) -> bool:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     """This process's encoder; its memory outlives a task."""
-    return Encoder(path)
+    return Encoder(path, added=added)

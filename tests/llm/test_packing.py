@@ -51,6 +51,30 @@ def test_pieces_hold_the_documents_ids(spark):
         assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in own)
 
 
+def test_queries_encode_like_the_untouched_tokenizer(spark, tmp_path):
+    import corpus_pipeline
+    from featspan.llm.queries import op4_best_fit_packing
+    from tokenizers import Tokenizer
+
+    untouched = Tokenizer.from_file(PATH)
+    texts = [*TEXTS, "a <|endoftext|> x", "a<|endoftext|>", "<|endoftext|><|endoftext|> b", "a <|endoftext| > x", "word " * 2000 + "<|endoftext|> x"]
+    ids = [untouched.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert ids[len(TEXTS)] == [64, 220, 50256, 2124]
+    for memory in (500_000, 5):
+        assert [np.frombuffer(g, "<u4").tolist() for g in Encoder(PATH, memory, added=True).encode([t or "" for t in texts])] == ids
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for rows in (op4_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, df, str(tmp_path))):
+        got = {}
+        for r in rows.collect():
+            got.setdefault(r.doc_id, []).append(r)
+        for i, own in enumerate(ids):
+            whole_ids = np.array([*own, 2], "<u4")
+            for r in got[i]:
+                assert zlib.crc32(whole_ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+            assert sum(r.length for r in got[i]) == len(whole_ids)
+
+
 def laid_out(rows, capacity):
     bins = {}
     for r in rows:
