@@ -209,22 +209,33 @@ def discovery_bins(docs: DataFrame, rate: float = 0.05) -> dict[str, int]:
     return out
 
 
-def find(docs: DataFrame, bins: dict[str, int]) -> DataFrame:
-    """Add ``base`` (known forms) and ``found`` (all spans) to the documents, both by start and kind.
+def find(docs: DataFrame, bins: dict[str, int]) -> tuple[DataFrame, str, str]:
+    """The documents with two more columns, known forms and all spans, both by start and kind; and their names.
 
-    Discoveries that touch a known form are part of it and make no span of their own.
+    Discoveries that lie wholly in known forms are part of them and make no span of their own.
     """
+    base, found = _unused(docs, "base"), _unused(docs, "found")
     text = _text(docs)
-    out = docs.withColumn("base", known(text))
+    out = docs.withColumn(base, known(text))
     if not bins:
-        return out.withColumn("found", F.col("base"))
+        return out.withColumn(found, F.col(base)), base, found
     limits = F.create_map(*[F.lit(x) for kv in sorted(bins.items()) for x in kv])
-    random = F.filter(
-        tested(text),
-        lambda t: F.coalesce(t["bin"] >= limits[t["stratum"]], F.lit(False))
-        & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
-    )
-    return out.withColumn("found", F.array_sort(F.concat("base", F.transform(random, _as_kind(3)).cast(_SPANS))))
+
+    def within(t: Column) -> Column:
+        """Whether the spans of ``base``, which are in order of their starts, cover ``t`` without a gap."""
+        reached = F.aggregate(base, t["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at))
+        return reached >= t["end"]
+
+    random = F.filter(tested(text), lambda t: F.coalesce(t["bin"] >= limits[t["stratum"]], F.lit(False)) & ~within(t))
+    return out.withColumn(found, F.array_sort(F.concat(base, F.transform(random, _as_kind(3)).cast(_SPANS)))), base, found
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    """``name`` with so many underscores before it that no column has that name."""
+    names = {c.lower() for c in docs.columns}
+    while name in names:
+        name = "_" + name
+    return name
 
 
 def listed(spans: str) -> Column:
@@ -237,27 +248,28 @@ def listed(spans: str) -> Column:
 
 def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     """Counts and spans per document."""
-    found = find(docs.select("doc_id", "text"), discovery_bins(docs.select("text"), rate))
+    spans, base, found = find(docs.select("doc_id", "text"), discovery_bins(docs.select("text"), rate))
 
     def count(kind: int) -> Column:
-        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
 
-    return found.select(
+    return spans.select(
         "doc_id",
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
         count(2).alias("n_hex"),
-        F.sha2(listed("base"), 256).alias("base_sha256"),
-        listed("found").alias("spans"),
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(found).alias("spans"),
     )
 
 
 def redact(docs: DataFrame, rate: float = 0.05, mask: str = "[secret]") -> DataFrame:
     """Documents with every span (overlapping ones as one) replaced by ``mask``; n_chars follows if there is one."""
-    found = find(docs, discovery_bins(docs.select("text"), rate))
+    spans, _, found = find(docs, discovery_bins(docs.select("text"), rate))
+    parts = _unused(spans, "kept")
     # what lies between the spans, then what follows the last one
     kept = F.aggregate(
-        "found",
+        found,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
         lambda a, s: F.struct(
             F.greatest(a["at"], s["end"]).alias("at"),
@@ -270,11 +282,11 @@ def redact(docs: DataFrame, rate: float = 0.05, mask: str = "[secret]") -> DataF
         ),
     )
     text = F.when(
-        F.size("found") > 0,
-        F.array_join(F.concat(F.col("_kept")["parts"], F.array(F.substring(F.col("text"), F.col("_kept")["at"] + 1, F.length("text")))), mask),
+        F.size(found) > 0,
+        F.array_join(F.concat(F.col(parts)["parts"], F.array(F.substring(F.col("text"), F.col(parts)["at"] + 1, F.length("text")))), mask),
     ).otherwise(F.col("text"))
-    out = found.withColumn("_kept", kept).withColumn("text", text)
+    out = spans.withColumn(parts, kept).withColumn("text", text)
     if "n_chars" in docs.columns:
-        same = F.size("found") == 0
+        same = F.size(found) == 0
         out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

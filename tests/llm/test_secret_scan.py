@@ -56,6 +56,26 @@ def test_redaction(spark):
     assert all(r.n_chars == len(r.text or "") for r in got)
 
 
+def test_runs_that_reach_beyond_known_forms(spark):
+    rng = random.Random(5)
+    letters = string.ascii_letters + string.digits
+    write = lambda n, of=letters: "".join(rng.choice(of) for _ in range(n))
+    texts = [f"say {write(40)}-{write(32, '0123456789abcdef')} now" for _ in range(40)]  # known form: the hex part
+    texts += [f"get /{write(20)}/{write(20)}/token=abcdef now" for _ in range(40)]  # the assignment
+    texts += [f"say token={write(40)} now" for _ in range(40)]  # wholly a known form
+    docs = spark.createDataFrame([(i, t, "b", "f", "k", "K") for i, t in enumerate(texts)], "doc_id long, text string, base string, found string, _kept string, KEPT string")
+    got = {r.doc_id: r for r in s.scan(docs).collect()}
+    beside = [sum("random" in got[i].spans for i in range(a, a + 40)) for a in (0, 40, 80)]
+    assert min(beside[:2]) >= 36 and beside[2] == 0
+    assert all(got[i].n_hex == 1 for i in range(40)) and all(got[i].n_assign == 1 for i in range(40, 120))
+    masked_ = {r.doc_id: r for r in s.redact(docs).collect()}
+    assert s.redact(docs).columns == docs.columns
+    assert all((r.base, r.found, r._kept, r[5]) == ("b", "f", "k", "K") for r in masked_.values())
+    for i, text in enumerate(texts):
+        if "random" in got[i].spans or i >= 80:
+            assert masked_[i].text in ("say [secret] now", "get [secret] now"), masked_[i].text
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert s.scan(docs).count() == 0
