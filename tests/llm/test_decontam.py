@@ -3,7 +3,7 @@ import tracemalloc
 
 import numpy as np
 import pytest
-from brute import contamination, sha256
+from plain import contamination, sha256
 
 from featspan.llm.decontam import TestIndex, decontaminate, judge, matches, words_of
 

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from brute import near_copies, without_repeats
+from plain import near_copies, without_repeats
 
 from featspan.llm.minhash import accidental, drop_near_duplicates, estimate, hyper_registers, near_duplicates
 from featspan.llm.substring import COVER, PERIOD, repeated_passages

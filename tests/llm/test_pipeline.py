@@ -1,7 +1,7 @@
 import os
 
 import pytest
-from brute import contamination, known_secrets, masked, near_copies
+from plain import contamination, known_secrets, masked, near_copies
 
 import corpus_pipeline as p
 from featspan.llm import quality

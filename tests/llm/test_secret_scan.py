@@ -1,7 +1,7 @@
 import random
 import string
 
-from brute import known_secrets, masked, sha256
+from plain import known_secrets, masked, sha256
 
 from featspan.llm import secret_scan as s
 
