@@ -58,3 +58,17 @@ def materialise_bucketed(df: DataFrame, name: str, by: tuple[str, ...], order: t
         .saveAsTable(table)
     )
     return table
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder this library wrote, by the file system its path names; nothing happens if it is gone."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_table(spark: SparkSession, table: str) -> None:
+    """Drop a table this library wrote into the shared folder, and its files."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").collect()
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    for row in rows:
+        remove_folder(spark, row.data_type)
