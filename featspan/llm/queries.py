@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featspan.llm.chat import digests, format_chats, gather
+from featspan.llm.collocations import collocations
 from featspan.llm.decontam import judge
 from featspan.llm.embed_dedup import linked_vectors
 from featspan.llm.html import extract
@@ -291,9 +292,48 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=100, longest=5, covered=100, top=2000)
+
+
+OP13_SQL = r"""
+WITH piece AS (
+  SELECT lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+), total AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS words FROM piece GROUP BY lang
+), gram AS (
+  SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS p
+  FROM piece, range(1, 6) t(m), LATERAL (SELECT unnest(range(1, CAST(len(w) - m + 2 AS BIGINT))) AS i)
+), freq AS (
+  SELECT lang, m, p, count(*) AS f FROM gram GROUP BY ALL HAVING count(*) >= 100
+), split AS (
+  SELECT *, string_split(p, ' ') AS w FROM freq WHERE m > 1
+), cut AS (
+  SELECT s.lang, s.m, s.p, s.f AS a, k, x.f AS l, y.f AS r, CAST((1000::HUGEINT * s.f * words) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM split) s JOIN total USING (lang)
+  JOIN freq x ON x.lang = s.lang AND x.m = k AND x.p = array_to_string(w[1 : k], ' ')
+  JOIN freq y ON y.lang = s.lang AND y.m = s.m - k AND y.p = array_to_string(w[k + 1 :], ' ')
+), worst AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, p, m ORDER BY score, k) AS place FROM cut
+), inner_phrase AS (
+  SELECT lang, f, m2, array_to_string(w[i : i + m2 - 1], ' ') AS p
+  FROM split, range(2, 5) t(m2), LATERAL (SELECT unnest(range(1, CAST(m - m2 + 2 AS BIGINT))) AS i) WHERE m2 < m
+), covered AS (
+  SELECT DISTINCT freq.lang, freq.m, freq.p FROM inner_phrase q JOIN freq ON freq.lang = q.lang AND freq.m = q.m2 AND freq.p = q.p
+  WHERE 100 * q.f >= 100 * freq.f
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, words AS n, score
+  FROM worst JOIN total USING (lang) ANTI JOIN covered USING (lang, m, p) WHERE place = 1
+)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scans, op2_embedding_near_dedup, op3_warc, op4_best_fit_packing, op5_benchmark_decontamination, op6_quality_classifier, op7_minhash_near_dedup, op8_substring_dedup, op9_chat_formatting, op10_html_extraction)
+    for f in (op1_secret_scans, op2_embedding_near_dedup, op3_warc, op4_best_fit_packing, op5_benchmark_decontamination, op6_quality_classifier, op7_minhash_near_dedup, op8_substring_dedup, op9_chat_formatting, op10_html_extraction, op13_phrase_collocations)
 }
 ORACLES: dict[str, str] = {
     "op1_secret_scans": OP1_SQL,
@@ -303,4 +343,5 @@ ORACLES: dict[str, str] = {
     "op7_minhash_near_dedup": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op9_chat_formatting": OP9_SQL,
+    "op13_phrase_collocations": OP13_SQL,
 }
