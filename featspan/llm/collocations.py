@@ -26,12 +26,14 @@ empty table has no phrases. A document is read in one task.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,13 +170,12 @@ def _rows(n, start, hp, hs, f, lang=None, word=None) -> pa.RecordBatch:
     )
 
 
-def _scan(docs: DataFrame, slots: Slots, now: int, shards: int, longest: int, slice_bytes: int) -> DataFrame:
+def _scan(docs: DataFrame, known: Broadcast, now: int, shards: int, longest: int, slice_bytes: int) -> DataFrame:
     """What round ``now`` counts in its shard, dealt by phrase as the state is."""
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(slots.rounds.tobytes())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rounds = np.frombuffer(known.value, np.uint8)
+        rounds = np.frombuffer(zlib.decompress(known.value), np.uint8)
         for batch in batches:
             for at, rows in slices(batch, "text", slice_bytes):
                 text = _Text(batch.slice(at, rows))
@@ -201,7 +202,8 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shards
     table, done, state = Slots(slots), [], None
     last = -1
     for now in range(_MOST_ROUNDS):
-        counts = _scan(docs, table, now, shards, longest, slice_bytes)
+        known = spark.sparkContext.broadcast(zlib.compress(table.rounds.tobytes(), 1))
+        counts = _scan(docs, known, now, shards, longest, slice_bytes)
         if state is not None:
             before = spark.table(state).where(F.col("start") > now - shards).withColumnsRenamed({c: f"{c}_" for c in ("n", "start", "lang", "word", "f")})
             both = counts.join(before.drop("before"), ["hp", "hs"], "full_outer")
@@ -215,6 +217,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shards
         counts = counts.where((F.col("start") > now + 1 - shards) | (F.col("f") >= least) | (F.col("n") == 0))
         following = f"featspan_phrases_{uuid.uuid4().hex}"
         counts.write.bucketBy(width, "hp", "hs").option("path", new_folder(spark, "phrases")).saveAsTable(following)
+        known.destroy()
         ended = spark.table(following).where((F.col("start") == now + 1 - shards) & ((F.col("f") >= least) | (F.col("n") == 0)))
         done.append(materialise(_with_id(ended), "phrases-done"))
         if state is not None:
