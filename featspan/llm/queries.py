@@ -18,6 +18,8 @@ from featspan.llm.quality import classify
 from featspan.llm.secret_scan import scan
 from featspan.llm.storage import table
 from featspan.llm.substring import repeated_passages
+from featspan.llm.toxicity import classify_toxicity
+from featspan.llm.turn_trie import conversation_trie
 from featspan.llm.warc import archive_pages
 
 
@@ -292,6 +294,50 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"), limit=4096)
+
+
+OP11_SQL = r"""
+WITH said AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+    length(role) || ':' || role || text AS s, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), conv AS (
+  SELECT c, c - c % 20 AS b, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, [ord(x)::BIGINT FOR x IN string_split(c::VARCHAR, '')]),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT c FROM said)
+), turn AS (
+  SELECT conv.c, pos, s, words FROM conv JOIN said ON said.c = b AND pos <= h
+  UNION ALL
+  SELECT conv.c, pos + 4, s, words FROM conv JOIN said ON said.c = conv.c AND pos > h
+), path AS (
+  SELECT conv.c, coalesce(list(s ORDER BY pos) FILTER (pos IS NOT NULL), []) AS p, coalesce(list(words ORDER BY pos) FILTER (pos IS NOT NULL), []) AS w
+  FROM conv LEFT JOIN turn ON turn.c = conv.c GROUP BY conv.c
+), node AS (
+  SELECT p[1 : d] AS q, d, min(c) AS conv_id, count(*) AS n, (count(*) - 1) * any_value(coalesce(w[d], 0)) AS saved,
+    coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(p) = d), '') AS ends
+  FROM (SELECT *, unnest(range(0, CAST(len(p) + 1 AS BIGINT))) AS d FROM path) GROUP BY p[1 : d], d
+), child AS (
+  SELECT q[1 : d - 1] AS q, count(*) AS children FROM node WHERE d > 0 GROUP BY q[1 : d - 1]
+), whole AS (
+  SELECT node.*, coalesce(children, 0) AS children FROM node LEFT JOIN child USING (q)
+), below AS (
+  SELECT q[1 : k] AS q, k AS d, sum(saved) AS saved, sum(CASE WHEN children = 0 THEN 1 ELSE 0 END) AS leaves
+  FROM (SELECT *, unnest(range(0, CAST(d + 1 AS BIGINT))) AS k FROM whole) GROUP BY q[1 : k], k
+)
+SELECT a.conv_id, a.d AS depth, b.conv_id AS parent_conv_id, a.n AS n_convs, a.children AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+  CAST(below.saved AS BIGINT) AS saved_tokens, sha256(a.ends) AS ends_sha256
+FROM whole a JOIN below ON below.q = a.q AND below.d = a.d LEFT JOIN whole b ON b.d = a.d - 1 AND b.q = a.q[1 : a.d - 1]
+"""
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"), least=100, longest=5, covered=100, top=2000)
 
@@ -333,7 +379,7 @@ SELECT * FROM ranked WHERE rank <= 2000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scans, op2_embedding_near_dedup, op3_warc, op4_best_fit_packing, op5_benchmark_decontamination, op6_quality_classifier, op7_minhash_near_dedup, op8_substring_dedup, op9_chat_formatting, op10_html_extraction, op13_phrase_collocations)
+    for f in (op1_secret_scans, op2_embedding_near_dedup, op3_warc, op4_best_fit_packing, op5_benchmark_decontamination, op6_quality_classifier, op7_minhash_near_dedup, op8_substring_dedup, op9_chat_formatting, op10_html_extraction, op11_conversation_trie, op12_toxicity, op13_phrase_collocations)
 }
 ORACLES: dict[str, str] = {
     "op1_secret_scans": OP1_SQL,
@@ -343,5 +389,6 @@ ORACLES: dict[str, str] = {
     "op7_minhash_near_dedup": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op9_chat_formatting": OP9_SQL,
+    "op11_conversation_trie": OP11_SQL,
     "op13_phrase_collocations": OP13_SQL,
 }
