@@ -94,7 +94,7 @@ class Slots:
         bits = new.select("n", "hp", "hs").mapInArrow(places, "place long")
         bits = bits.groupBy(F.bitmap_bucket_number("place").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
         some = False
-        for row in bits.toLocalIterator():
+        for row in bits.collect():
             some, at = True, (row.b - 1) * 32768
             on = np.flatnonzero(np.unpackbits(np.frombuffer(row.bits, np.uint8), bitorder="little")) + at
             self.rounds[on] = np.minimum(self.rounds[on], now)
