@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from featspan.config import Feature, SearchConfig
 from featspan.functions.scalars import unit_hash
 from featspan.operators import rank, sampling, trees, trials as t
-from featspan.operators.catalogue import candidates_for, code_books, feature_columns, parts_grid
+from featspan.operators.catalogue import candidates_for
 from featspan.plans.evaluate import Outcome, TaskData, evaluate, outcome_nodes
 from featspan.sources.ledger import Ledger
 
@@ -108,8 +108,6 @@ def guided_scheme(
     flat = facts.select("trial", "valid", "test", F.col("feature").alias("column"), "splits")
     keys = t.key_schemes(flat).withColumnRenamed("column", "feature").join(fields, "feature").persist()
     key_columns = keys.select("column").distinct()
-    columns = feature_columns(data.train.log, data.config.layout)
-    books = code_books(columns, parts_grid(data.config.horizon))
 
     def pool(tag: str, size: int) -> DataFrame:
         return sampling.sample_biased(candidates, key_columns, size, f"{seed}/{tag}")
@@ -130,17 +128,14 @@ def guided_scheme(
                 lists.append(head(pool(name, first), ["position"]))
         elif name in ("score_filter", "imp_filter"):
             history = t.feature_history(flat).withColumnRenamed("column", "feature").join(fields, "feature")
-            ranked = rank.rank_candidates(history, pool(name, config.pool), books, name.split("_")[0])
+            ranked = rank.rank_candidates(history, pool(name, config.pool), name.split("_")[0])
             lists.append(head(ranked, by_value))
         elif name == "tree_path":
-            names = _grow_paths(ledger, fields, pool, config, seed)
-            lists.append(spark.createDataFrame(names, "feature string, position int"))
+            lists.append(head(_grow_paths(ledger, fields, candidates, key_columns, config, seed), ["position"]))
         elif name == "pair_path":
             known = t.key_pool(flat).withColumnRenamed("column", "feature").join(fields, "feature")
             drawn = sampling.sample_replace(known, 10 * config.pool, f"{seed}/keys")
-            ranked = rank.rank_pairs(
-                _pair_history(ledger, config, seed), fields, drawn, pool(name, 10 * config.pool), books
-            )
+            ranked = rank.rank_pairs(_pair_history(ledger, config, seed), fields, drawn, pool(name, 10 * config.pool))
             lists.append(head(ranked, by_value))
         elif name != "random_generation":
             raise ValueError(f"unknown selector {name!r}")
@@ -166,31 +161,13 @@ def _pair_history(ledger: Ledger, config: SearchConfig, seed: str) -> DataFrame:
     return trees.pair_history(positive, negative, trials)
 
 
-def _grow_paths(ledger: Ledger, fields: DataFrame, pool, config: SearchConfig, seed: str) -> list[tuple]:
-    """Grow paths for ``path_steps`` steps; each takes one of the ten best continuations of the step.
-
-    The features are read off path by path and a scheme takes n at most, of which at most n are there
-    already: once the first path holds 2 n different ones, further steps are without effect and are
-    not taken. A path's position at any step follows from its number and that step's ten best rows, which
-    are all that reaches the driver.
-    """
+def _grow_paths(ledger: Ledger, fields: DataFrame, candidates: DataFrame, key_columns: DataFrame, config: SearchConfig, seed: str) -> DataFrame:
+    """(feature, position): what the first paths take, read off path by path, each feature once."""
     trials = ledger.trials()
     paths = trials.select("trial", F.posexplode("path").alias("position", "feature")).join(fields, "feature")
-    lifts = rank.step_lifts(t.path_targets(paths, trials)).persist()
-    previous, picks = None, []
-    for step in range(config.path_steps):
-        if len({f for path, _, f in picks if path == 1}) >= 2 * config.n_features:
-            break
-        ranked = rank.path_step(lifts, pool(f"path{step}", config.pool), previous)
-        top = ranked.limit(rank.TOP).collect()
-        if not top:
-            break
-        previous = rank.pick_of(top, F.col("position"), step, seed)
-        heads = ranked.sparkSession.range(1, PATHS_USED + 1).select(
-            F.col("id").alias("path"), rank.pick_of(top, F.col("id").cast("int"), step, seed).alias("pick")
-        )
-        by_spec = {(r["column"], r["rule"], r["method"], r["parts"]): r["feature"] for r in top}
-        picks += [(r["path"], step, by_spec[tuple(r["pick"])]) for r in heads.collect()]
-    lifts.unpersist()
-    ordered = [f for _, _, f in sorted(picks)]
-    return [(f, i) for i, f in enumerate(dict.fromkeys(ordered), 1)]
+    lifts = rank.step_lifts(t.path_targets(paths, trials))
+    draws = rank.path_draws(candidates, key_columns, config.path_steps, config.pool, seed)
+    grown = rank.grow_paths(lifts, draws, PATHS_USED, seed)
+    first = grown.groupBy("feature").agg(F.min(F.struct("path", "step")).alias("at"))
+    # no more rows than paths times steps
+    return first.select("feature", F.row_number().over(Window.orderBy("at", "feature")).alias("position"))

@@ -493,21 +493,17 @@ def _facts(s, sf):
     return used.join(scores, "trial")
 
 
-def _pool_and_books(s, sf):
-    """All candidates, in draw order."""
-    candidates = materialise(_candidates(s, sf), "candidates")
-    return sampling.sample_uniform(candidates, candidates.count(), "pool"), _books(s, sf)
+WORTH = 6  # digits of expected values that are compared
 
 
-def _in_order(ranked):
-    """Ranked candidates, and whether the expected value of each is at most that of the one before."""
-    rows = materialise(ranked.withColumn("place", F.monotonically_increasing_id()), "ranked")
-    before = F.lag("expected").over(sampling.Window.orderBy("place"))  # no longer than the catalogue
-    falling = F.coalesce(F.col("expected") <= before, F.lit(True)).cast("int")
-    return rows.select("feature", falling.alias("falling"))
+def _whole_pool(s, sf):
+    """All candidates, in draw order."""
+    candidates = materialise(_candidates(s, sf), "candidates")
+    return sampling.sample_uniform(candidates, candidates.count(), "pool")
 
 
-_RANKED = f"SELECT feature, 1 AS falling FROM ({_CANDIDATES})"
+def _worth(ranked):
+    return ranked.select("feature", (F.round("expected", WORTH) + F.lit(0.0)).alias("expected"))
 
 
 def _rank(by):
@@ -516,15 +512,58 @@ def _rank(by):
         flat = facts.select("trial", "valid", "test", F.col("feature").alias("column"), "splits")
         fields = facts.select(*sampling.FIELDS).distinct()
         history = t.feature_history(flat).withColumnRenamed("column", "feature").join(fields, "feature")
-        pool, books = _pool_and_books(s, sf)
-        return _in_order(rank.rank_candidates(history, pool, books, by))
+        return _worth(rank.rank_candidates(history, _whole_pool(s, sf), by))
 
     return run
 
 
-_add("rank_score", _rank("score"), _RANKED)
-_add("rank_importance", _rank("imp"), _RANKED)
-_add("rank_combined", _rank("both"), _RANKED)
+_FACTS = f"""SELECT trial, "column", rule, method, parts, valid, splits,
+    CASE WHEN rule = '{ALL_RULE}' THEN "column" || '_' || method
+         WHEN rule = '{PART_RULE}' THEN "column" || '_' || parts || 'p_' || method
+         ELSE "column" || '_' || parts || 'ts_' || method END AS feature
+  FROM (SELECT trial, "column", rule, method, parts, sum(l_linenumber - 1) AS splits FROM (
+      SELECT l_orderkey % 50 AS trial, 'f' || (l_partkey % 17) AS "column", l_linenumber,
+        CASE WHEN l_suppkey % 9 < 3 THEN '{ALL_RULE}' WHEN l_suppkey % 9 < 6 THEN '{PART_RULE}' ELSE '{TS_RULE}' END AS rule,
+        ['min', 'max', 'avg'][l_suppkey % 9 % 3 + 1] AS method,
+        CASE WHEN l_suppkey % 9 >= 3 THEN (l_linenumber % 4 + 1) * unit END AS parts
+      FROM lineitem, (SELECT CASE WHEN max(horizon) < 1000 THEN 10 ELSE 100 END AS unit FROM ({_SPAN}))) GROUP BY ALL) JOIN (SELECT DISTINCT trial, valid, test FROM ({v.LEDGER})) USING (trial)"""
+_FACT_HISTORY = f"""SELECT feature, "column", rule, method, parts, greatest(max(score), 0) AS score_max, avg(score) AS score_avg,
+      greatest(max(imp), 0) AS imp_max, avg(imp) AS imp_avg, count(*) AS info_num
+    FROM (SELECT *, CASE WHEN splits > 0 THEN valid ELSE 0 END AS score,
+                 CASE WHEN splits > 0 THEN splits / 10.0 ELSE -1.0 END::double AS imp FROM ({_FACTS})) GROUP BY ALL"""
+
+
+def _attributes_sql(prefix=""):
+    return f""""column" AS {prefix}at_column, rule || '/' || method AS {prefix}at_method,
+      rule || '/' || coalesce(length(bin(parts)), 0) AS {prefix}at_band, rule || '/' || coalesce(parts::varchar, 'None') AS {prefix}at_window"""
+
+
+def _effects_sql(train, pool, stages, targets, value, shrink=1):
+    """feature and expected of the rows of ``pool``: effects fitted stage by stage on ``train``, summed over a row's cells."""
+    mean = "sum(info_num * {0}) OVER () / sum(info_num) OVER ()".format
+    ctes = [f"s0 AS (SELECT *, {', '.join(f'{mean(x)} AS {x}_0, {x} - {mean(x)} AS {x}_r0' for x in targets)} FROM ({train}))"]
+    hats, joins = {x: f"coalesce((SELECT any_value({x}_0) FROM s0), 0)" for x in targets}, ""
+    for i, cell in enumerate(stages, 1):
+        by = ", ".join(cell)
+        means = ", ".join(f"sum(info_num * {x}_r{i - 1}) OVER w / (sum(info_num) OVER w + {shrink}) AS {x}_{i}" for x in targets)
+        rests = ", ".join(f"{x}_r{i - 1} - {x}_{i} AS {x}_r{i}" for x in targets)
+        ctes.append(f"s{i} AS (SELECT *, {rests} FROM (SELECT *, {means} FROM s{i - 1} WINDOW w AS (PARTITION BY {by})))")
+        kept = ", ".join(f"any_value({x}_{i}) AS {x}_{i}" for x in targets)
+        joins += f" LEFT JOIN (SELECT {by}, {kept} FROM s{len(stages)} GROUP BY {by}) e{i} USING ({by})"
+        for x in targets:
+            hats[x] += f" + coalesce(e{i}.{x}_{i}, 0)"
+    return f"""WITH {', '.join(ctes)}
+      SELECT feature, round(round({value.format(**hats)}, {rank.ROUNDING}), {WORTH}) + 0.0 AS expected FROM ({pool}) pool{joins}"""
+
+
+_FACT_TRAIN = f"SELECT *, {_attributes_sql()} FROM ({_FACT_HISTORY})"
+_SINGLE_POOL = f"SELECT feature, {_attributes_sql()} FROM ({_CANDIDATES})"
+for _name, _by, _targets, _value in (
+    ("rank_score", "score", ("score_max", "score_avg"), "{score_max} + {score_avg}"),
+    ("rank_importance", "imp", ("imp_max", "imp_avg"), "{imp_max} + {imp_avg}"),
+    ("rank_combined", "both", ("score_avg", "imp_avg"), "({score_avg}) * ({imp_avg}) + {score_avg}"),
+):
+    _add(_name, _rank(_by), _effects_sql(_FACT_TRAIN, _SINGLE_POOL, rank.SINGLE_STAGES, _targets, _value))
 
 
 def _rank_pair(s, sf):
@@ -534,15 +573,27 @@ def _rank_pair(s, sf):
         sampling.Window.partitionBy("trial").orderBy(F.col("splits").desc(), "feature")).alias("position"))
     follow = steps.select("trial", (F.col("position") - 1).alias("position"), F.col("feature").alias("child"))
     pairs = steps.withColumnRenamed("feature", "parent").join(follow, ["trial", "position"])
-    history = pairs.groupBy("parent", "child").agg(F.max("valid").alias("score_max"), F.avg("valid").alias("score_avg"))
+    history = pairs.groupBy("parent", "child").agg(F.max("valid").alias("score_max"), F.avg("valid").alias("score_avg"), F.count(F.lit(1)).alias("info_num"))
     flat = facts.select("trial", "valid", "test", F.col("feature").alias("column"), "splits")
-    known = t.key_pool(flat).withColumnRenamed("column", "feature").join(fields, "feature")
-    pool, books = _pool_and_books(s, sf)
+    known = t.key_schemes(flat).select(F.col("column").alias("feature"), F.col("rank").alias("position")).join(fields, "feature")
+    pool = _whole_pool(s, sf)
     keys = sampling.sample_replace(known, pool.count(), "k")  # a key for every candidate
-    return _in_order(rank.rank_pairs(history, fields, keys, pool, books))
+    return _worth(rank.rank_pairs(history, fields, keys, pool))
 
 
-_add("rank_pair", _rank_pair, _RANKED)
+_NUMBERED = f"SELECT *, row_number() OVER (PARTITION BY trial ORDER BY splits DESC, feature) AS position FROM ({_FACTS})"
+_FIELDS = f'SELECT DISTINCT feature, "column", rule, method, parts FROM ({_FACTS})'
+_PAIR_TRAIN = f"""SELECT h.*, x.* EXCLUDE (feature), y.* EXCLUDE (feature)
+    FROM (SELECT p.feature AS parent, c.feature AS child, max(p.valid) AS score_max, avg(p.valid) AS score_avg, count(*) AS info_num
+          FROM ({_NUMBERED}) p JOIN ({_NUMBERED}) c ON c.trial = p.trial AND c.position = p.position + 1 GROUP BY 1, 2) h
+    JOIN (SELECT feature, {_attributes_sql("x_")} FROM ({_FIELDS})) x ON x.feature = parent
+    JOIN (SELECT feature, {_attributes_sql("y_")} FROM ({_FIELDS})) y ON y.feature = child"""
+_PAIR_POOL = f"""SELECT c.*, k.* EXCLUDE (position, draw) FROM
+      (SELECT feature, position, {_attributes_sql("y_")} FROM (SELECT * REPLACE (nullif(parts, 0) AS parts) FROM ({_draw_sql(_CANDIDATES, 10**9, "pool")}))) c
+    JOIN (SELECT draw, (floor({HASH.format("draw || '/k'")} * (SELECT count(*) FROM ({_NUMBERED}) WHERE splits > 0 AND trial = (SELECT max(trial) FROM ({_RECORDS})))) + 1)::int AS at
+          FROM (SELECT unnest(range(1, (SELECT count(*) FROM ({_CANDIDATES})) + 1)) AS draw)) d ON d.draw = c.position
+    JOIN (SELECT position, {_attributes_sql("x_")}, 0 AS draw FROM ({_NUMBERED}) WHERE splits > 0 AND trial = (SELECT max(trial) FROM ({_RECORDS}))) k ON k.position = d.at"""
+_add("rank_pair", _rank_pair, _effects_sql(_PAIR_TRAIN, _PAIR_POOL, rank.PAIR_STAGES, ("score_max", "score_avg"), "{score_max} + {score_avg}"))
 
 
 def _paths(s, sf):
@@ -553,32 +604,63 @@ def _paths(s, sf):
 
 
 def _rank_path(s, sf):
-    pool, _ = _pool_and_books(s, sf)
-    ranked = rank.path_step(rank.step_lifts(_paths(s, sf)), pool, None)
-    return ranked.select("feature", (F.round("expected", 9) + F.lit(0.0)).alias("expected"))
+    return _worth(rank.first_step(rank.step_lifts(_paths(s, sf)), _whole_pool(s, sf)))
 
 
-_FACTS = f"""SELECT trial, "column", rule, method, parts, valid, splits,
-    CASE WHEN rule = '{ALL_RULE}' THEN "column" || '_' || method
-         WHEN rule = '{PART_RULE}' THEN "column" || '_' || parts || 'p_' || method
-         ELSE "column" || '_' || parts || 'ts_' || method END AS feature
-  FROM (SELECT trial, "column", rule, method, parts, sum(l_linenumber - 1) AS splits FROM (
-      SELECT l_orderkey % 50 AS trial, 'f' || (l_partkey % 17) AS "column", l_linenumber,
-        CASE WHEN l_suppkey % 9 < 3 THEN '{ALL_RULE}' WHEN l_suppkey % 9 < 6 THEN '{PART_RULE}' ELSE '{TS_RULE}' END AS rule,
-        ['min', 'max', 'avg'][l_suppkey % 9 % 3 + 1] AS method,
-        CASE WHEN l_suppkey % 9 >= 3 THEN (l_linenumber % 4 + 1) * unit END AS parts
-      FROM lineitem, (SELECT CASE WHEN max(horizon) < 1000 THEN 10 ELSE 100 END AS unit FROM ({_SPAN}))) GROUP BY ALL) JOIN (SELECT DISTINCT trial, valid, test FROM ({v.LEDGER})) USING (trial)"""
 _PATH_SQL = f"""WITH facts AS ({_FACTS}),
   first AS (SELECT *, valid - (SELECT arg_min(valid, trial) FROM facts) AS gain FROM facts
     QUALIFY row_number() OVER (PARTITION BY trial ORDER BY splits DESC, feature) = 1),
   by_column AS (SELECT "column", avg(gain) AS a FROM first GROUP BY 1),
   by_method AS (SELECT rule, method, avg(gain) AS b FROM first GROUP BY 1, 2),
   by_parts AS (SELECT rule, coalesce(parts, 0) AS p, avg(gain) AS c FROM first GROUP BY 1, 2)
-  SELECT feature, round(coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0), 9) + 0.0 AS expected
+  SELECT feature, round(round(coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0), {rank.ROUNDING}), {WORTH}) + 0.0 AS expected
   FROM (SELECT *, coalesce(parts, 0) AS p FROM ({_CANDIDATES}))
   LEFT JOIN by_column USING ("column") LEFT JOIN by_method USING (rule, method) LEFT JOIN by_parts USING (rule, p)"""
 _add("rank_path", _rank_path, _PATH_SQL)
 
+STEPS, STEP_POOL, PATHS = 3, 1000, 5
+
+
+def _path_steps(s, sf):
+    """What five paths take in three steps, each step from a pool of its own."""
+    draws = rank.path_draws(_candidates(s, sf), _key5(s, sf), STEPS, STEP_POOL, "g1")
+    return rank.grow_paths(rank.step_lifts(_paths(s, sf)), draws, PATHS, "g1")
+
+
+def _path_steps_sql():
+    def texts(p):
+        return f"""{p}"column" AS c, {p}rule || '/' || {p}method AS m, {p}rule || coalesce('/' || nullif({p}parts, 0), '') AS w"""
+
+    def pick(of, step, size):
+        return f"floor({HASH.format(f"{of} || '|' || {step} || '/g1'")} * {size})::int + 1"
+
+    ctes = [
+        f"facts AS ({_FACTS})",
+        f"""walked AS (SELECT trial, position, valid - (SELECT arg_min(valid, trial) FROM facts) AS gain, {texts("")} FROM
+            (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY splits DESC, feature) AS position FROM facts))""",
+        """gone AS (SELECT *, lag(c, 1, 'None') OVER o AS pc, lag(m, 1, 'None') OVER o AS pm, lag(w, 1, 'None') OVER o AS pw FROM walked
+            WINDOW o AS (PARTITION BY trial ORDER BY position))""",
+        *[f"lift_{k} AS (SELECT p{k}, {k}, avg(gain) AS l{k} FROM gone GROUP BY 1, 2)" for k in "cmw"],
+        "top_0 AS (SELECT 1 AS place, 'None' AS c, 'None' AS m, 'None' AS w, NULL AS feature)",
+    ]
+    for step in range(STEPS):
+        before = f"top_{step}"
+        ctes.append(f"draw_{step} AS MATERIALIZED (SELECT feature, position, {texts('')} FROM ({_draw_sql(_BIASED, STEP_POOL, f'g1/path{step}', 'w')}))")
+        joins = " ".join(f"LEFT JOIN lift_{k} ON lift_{k}.p{k} = t.{k} AND lift_{k}.{k} = d.{k}" for k in "cmw")
+        ctes.append(f"""top_{step + 1} AS MATERIALIZED (SELECT * FROM (
+            SELECT row_number() OVER (ORDER BY round(coalesce(lc, 0) + coalesce(lm, 0) + coalesce(lw, 0), 12) DESC, position) AS place, d.c, d.m, d.w, d.feature
+            FROM (SELECT *, {pick("position", step - 1, f"(SELECT count(*) FROM {before})")} AS took FROM draw_{step}) d
+            JOIN {before} t ON t.place = d.took {joins}) WHERE place <= {rank.TOP})""")
+    picks = [
+        f"""SELECT path, {step} AS step, feature FROM (SELECT path::int AS path, {pick("path", step, f"(SELECT count(*) FROM top_{step + 1})")} AS place
+        FROM (SELECT unnest(range(1, {PATHS + 1})) AS path)) JOIN top_{step + 1} USING (place)"""
+        for step in range(STEPS)
+    ]
+    return f"WITH {', '.join(ctes)} {' UNION ALL '.join(picks)}"
+
+
+_add("path_steps", _path_steps, _path_steps_sql())
+
 
 ROUNDS = 2
 

@@ -132,16 +132,14 @@ def test_default_ranges_lose_nothing(spark):
 def test_path_steps_are_taken(task, spark, monkeypatch):
     from featspan.plans import search
 
-    taken = []
-    monkeypatch.setattr(search.rank, "path_step", lambda lifts, pool, previous: taken.append(1) or pool.withColumn("expected", F.lit(0.0)))
     ledger = Ledger(spark, f"{work_dir(spark)}/ledger-steps")
     search_random(task, SearchConfig(rounds=1, n_features=3, seed=1), ledger)
-    facts = ledger.long().select(*sampling.FIELDS).distinct()
-    pool = lambda tag, size: facts.withColumn("position", F.lit(1)).limit(1)
+    fields = ledger.long().select(*sampling.FIELDS).distinct()
+    grown = {}
+    monkeypatch.setattr(search.rank, "grow_paths", lambda lifts, draws, paths, seed: grown.setdefault(draws.agg(F.max("step")).first()[0], draws.select(F.lit(1).alias("path"), "step", "feature")))
     for steps in (2, 5):
-        taken.clear()
-        search._grow_paths(ledger, facts, pool, SearchConfig(path_steps=steps), "s")
-        assert len(taken) == steps
+        search._grow_paths(ledger, fields, search._candidates(task), fields.select("column").distinct(), SearchConfig(path_steps=steps, pool=20), "s")
+    assert sorted(grown) == [1, 4] and all(df.groupBy("step").count().where("count = 20").count() == k + 1 for k, df in grown.items())
 
 
 def test_guided_search_survives_thin_history(task, spark):

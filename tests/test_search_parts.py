@@ -184,11 +184,11 @@ def test_a_good_column_ranks_high(spark, candidates):
         F.when(F.col("rule") == TS_RULE, 1.0).otherwise(0.0).alias("imp_avg"),
     ).where(s.unit_hash("feature") < 0.5)
     pool = s.sample_uniform(candidates, 100, 8)
-    by_score = rank.rank_candidates(history, pool, BOOKS, "score").collect()
+    by_score = rank.rank_candidates(history, pool, "score").collect()
     assert {r["feature"] for r in by_score} == {r["feature"] for r in pool.collect()}
     assert all(r["column"] == "f2" for r in by_score[:10])
-    assert all(r["rule"] == TS_RULE for r in rank.rank_candidates(history, pool, BOOKS, "imp").limit(10).collect())
-    both = rank.rank_candidates(history, pool, BOOKS, "both").limit(5).collect()
+    assert all(r["rule"] == TS_RULE for r in rank.rank_candidates(history, pool, "imp").limit(10).collect())
+    both = rank.rank_candidates(history, pool, "both").limit(5).collect()
     assert all(r["column"] == "f2" and r["rule"] == TS_RULE for r in both)
 
 
@@ -197,11 +197,11 @@ def test_no_history_keeps_the_whole_pool(spark, candidates):
     history = none.withColumns({c: F.lit(0.0) for c in ("score_max", "score_avg", "imp_max", "imp_avg")})
     pool = s.sample_uniform(candidates, 40, 8)
     drawn = [r["feature"] for r in pool.orderBy("position").collect()]
-    ranked = rank.rank_candidates(history, pool, BOOKS, "score").collect()
+    ranked = rank.rank_candidates(history, pool, "score").collect()
     assert [r["feature"] for r in ranked] == drawn and {r["expected"] for r in ranked} == {0.0}
     pairs = spark.createDataFrame([], "parent string, child string, score_max double, score_avg double")
     keys = s.sample_replace(s.sample_uniform(candidates, 5, 3), 40, 12)
-    ranked = rank.rank_pairs(pairs, none, keys, pool, BOOKS).collect()
+    ranked = rank.rank_pairs(pairs, none, keys, pool).collect()
     assert [r["feature"] for r in ranked] == drawn and {r["expected"] for r in ranked} == {0.0}
 
 
@@ -215,16 +215,73 @@ def test_good_pairs_and_paths_rank_high(spark, candidates):
     pairs = pairs.select("parent", "child", F.when(good, 0.9).otherwise(0.0).alias("score_max"), F.when(good, 0.8).otherwise(0.0).alias("score_avg"))
     pool = s.sample_uniform(candidates, 80, 11)
     keys = s.sample_replace(some.select(*s.FIELDS, "position"), 80, 12)
-    ranked = rank.rank_pairs(pairs, named, keys, pool, BOOKS).collect()
+    ranked = rank.rank_pairs(pairs, named, keys, pool).collect()
     assert len(ranked) == 80 and all(r["column"] == "f3" for r in ranked[:8])
 
+
+
+def test_what_a_pair_is_worth_depends_on_its_parent(spark):
+    """f3 is good only after f1, f4 only after f2; on their own both are worth the same."""
+    parts = {"f1": 10, "f2": 20, "f3": 30, "f4": 40, "f5": 50}
+    named = spark.createDataFrame([(f, f, PART_RULE, "max", p) for f, p in parts.items()], "feature string, column string, rule string, method string, parts int")
+    good = {("f1", "f3"): 0.9, ("f2", "f4"): 0.9, ("f1", "f4"): 0.1, ("f2", "f3"): 0.1, ("f1", "f5"): 0.3, ("f2", "f5"): 0.3}
+    pairs = spark.createDataFrame([(*k, x, x, 6) for k, x in good.items()], "parent string, child string, score_max double, score_avg double, info_num long")
+    pool = named.where("feature IN ('f3', 'f4', 'f5')").withColumn("position", F.expr("cast(substr(feature, 2) as int) - 2"))
+    for parent, best, worst in (("f1", "f3", "f4"), ("f2", "f4", "f3")):
+        keys = named.where(F.col("feature") == parent).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(3))))
+        ranked = {r["feature"]: r["expected"] for r in rank.rank_pairs(pairs, named, keys, pool).collect()}
+        assert list(ranked) == [best, "f5", worst]
+        assert ranked[best] > 1.3 and ranked[worst] < 0.7
+
+
+def test_a_column_counts_by_its_method(spark):
+    """Neither column nor method is good alone; f1 with max and f2 with min are, and a window close to theirs."""
+    rows = [(c, PART_RULE, m, p, float((c == "f1") == (m == "max"))) for c in ("f1", "f2") for m in ("min", "max") for p in (10, 20)]
+    history = spark.createDataFrame(rows, "column string, rule string, method string, parts int, score_max double").withColumn("score_avg", F.col("score_max"))
+    history = history.withColumn("feature", c.column_name())
+    pool = history.select("column", "rule", "method", F.lit(30).alias("parts"), "feature").distinct()
+    pool = pool.withColumn("position", F.row_number().over(s.Window.orderBy("feature")))
+    ranked = [(r["column"], r["method"]) for r in rank.rank_candidates(history, pool, "score").collect()]
+    assert set(ranked[:4]) == {("f1", "max"), ("f2", "min")}
+
+
+def test_effects_are_shrunken_means(spark):
+    from featspan.operators.effects import add_expected, fit_effects
+
+    train = spark.createDataFrame([("a", "x", 3.0), ("a", "y", 1.0), ("b", "x", 2.0)], "p string, q string, y double")
+    stages = (("p",), ("p", "q"))
+    effects = fit_effects(train, stages, ["y"], shrink=1.0)
+    # mean 2; a: (1 - 1) / 3 = 0, b: 0; then ax: 1 / 2, ay: -1 / 2, bx: 0
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "x"), (4, "c", "x")], "k int, p string, q string")
+    got = {r["k"]: r["y_hat"] for r in add_expected(rows, "k", effects, stages, ["y"]).collect()}
+    assert got == {1: 2.5, 2: 1.5, 3: 2.0, 4: 2.0}
+    none = fit_effects(train.limit(0), stages, ["y"])
+    assert none.count() == 0 and {r["y_hat"] for r in add_expected(rows, "k", none, stages, ["y"]).collect()} == {0.0}
+
+
+def test_paths_grow_from_what_they_took(spark, candidates):
     steps = [(0, 1, "f1", ALL_RULE, "min", None, 0.0), (1, 1, "f2", PART_RULE, "max", 20, 0.3), (1, 2, "f3", PART_RULE, "max", 20, 0.3)]
     paths = spark.createDataFrame(steps, "trial int, position int, column string, rule string, method string, parts int, gain double")
     lifts = rank.step_lifts(paths)
-    first = rank.path_step(lifts, pool, None).limit(3).collect()
+    first = rank.first_step(lifts, s.sample_uniform(candidates, 80, 11)).limit(3).collect()
     assert all(r["column"] == "f2" for r in first)
-    top = [{"column": "f2", "rule": PART_RULE, "method": "max", "parts": 20}]
-    second = rank.path_step(lifts, pool, rank.pick_of(top, F.col("position"), 0, 1)).collect()
-    assert second[0]["expected"] >= 0.3 and len(second) == 80
-    other = {r["column"] for r in second if r["expected"] == 0}
-    assert "f3" not in other and "f1" in other
+    keys = spark.createDataFrame([("f2",)], "column string")
+    draws = rank.path_draws(candidates, keys, 4, 60, "s").persist()
+    for k in (0, 3):  # the pool of a step is the biased draw of its own
+        want = s.sample_biased(candidates, keys, 60, f"s/path{k}").orderBy("position").collect()
+        assert [r["feature"] for r in draws.where(F.col("step") == k).orderBy("position").collect()] == [r["feature"] for r in want]
+    grown = rank.grow_paths(lifts, draws, 3, "s").collect()
+
+    table = {(r["kind"], r["prev"], r["next"]): r["lift"] for r in lifts.collect()}
+    texts = lambda r: (r["column"], f"{r['rule']}/{r['method']}", r["rule"] if r["parts"] is None else f"{r['rule']}/{r['parts']}")
+    pick = lambda position, step, n: int(spark.range(1).select(F.floor(s.unit_hash(F.lit(position), F.lit(step), salt="/s") * n)).first()[0])
+    before, want = [("None",) * 3], []
+    for k in range(4):
+        rows = draws.where(F.col("step") == k).collect()
+        hashed = {r["p"]: r["i"] for r in spark.range(1, 61).select(F.col("id").cast("int").alias("p"), F.floor(s.unit_hash(F.col("id").cast("int"), F.lit(k - 1), salt="/s") * len(before)).alias("i")).collect()}
+        worth = lambda r: -round(sum(table.get((kind, a, b), 0.0) for kind, a, b in zip(("column", "method", "parts"), before[hashed[r["position"]]], texts(r))), 12)
+        top = sorted(rows, key=lambda r: (worth(r), r["position"]))[: rank.TOP]
+        want += [(p, k, top[pick(p, k, len(top))]["feature"]) for p in (1, 2, 3)]
+        before = [texts(r) for r in top]
+    assert sorted(tuple(r) for r in grown) == sorted(want)
+    assert rank.grow_paths(lifts.limit(0), draws, 3, "s").count() in (0, 12)
