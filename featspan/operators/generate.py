@@ -16,7 +16,8 @@ ts     first <= day <= last,    the latest ``parts`` rows
 =====  =======================  ==========================================
 
 The ts rule counts rows, not days: whole days come from the partials, and the one day
-that a window cuts through comes from running totals within that day.
+that a window cuts through comes from running totals within that day, folded to one row per
+user and day and looked up by place.
 """
 
 from __future__ import annotations
@@ -192,7 +193,11 @@ def _partials_of(plan: Plan, single: bool) -> list[str]:
 
 
 def day_prefixes(log: DataFrame, plan: Plan, layout: Layout, depth: int) -> DataFrame:
-    """Running totals over the latest rows of each user and day, down to ``depth`` rows."""
+    """(user, __day, __prefix): the running totals over a day's latest rows, by the number of rows less one.
+
+    There are totals of at most ``depth`` rows, and never of the whole day: a window that takes it whole
+    does not cut it. Days with a single row are left out.
+    """
     wanted: dict[str, set[str]] = {}
     for (c, _), states in plan.ts_states().items():
         wanted.setdefault(c, set()).update(states)
@@ -205,16 +210,18 @@ def day_prefixes(log: DataFrame, plan: Plan, layout: Layout, depth: int) -> Data
         *[as_feature(log, c).alias(f"__v{plan.slot[c]}") for c in wanted],
     ).where("__day is not null")
     latest = [F.col(t).desc() for t in tie_names] or [F.lit(1)]
-    if depth > int(log.sparkSession.conf.get(PUSHED_LIMIT, "1000")):
+    kept = depth + 1  # one row more tells whether the day goes on
+    if kept > int(log.sparkSession.conf.get(PUSHED_LIMIT, "1000")):
         rows = rows.withColumn("__deal", F.pmod(F.xxhash64(*tie_names), F.lit(DAY_SALTS)))
         dealt = Window.partitionBy(*layout.user, "__day", "__deal").orderBy(*latest)
-        rows = rows.withColumn("__rank", F.row_number().over(dealt)).where(f"__rank <= {depth}")
+        rows = rows.withColumn("__rank", F.row_number().over(dealt)).where(f"__rank <= {kept}")
     in_day = Window.partitionBy(*layout.user, "__day").orderBy(*latest)
-    ranked = rows.withColumn("__rank", F.row_number().over(in_day)).where(f"__rank <= {depth}")
+    ranked = rows.withColumn("__rank", F.row_number().over(in_day)).where(f"__rank <= {kept}")
 
     in_order = f"over (partition by {', '.join(quoted(layout.user))}, __day order by __rank"
     over = f"{in_order} rows between unbounded preceding and current row)"
     out = [*quoted(layout.user), "__day", "__rank", f"lead(1) {in_order}) is not null as __more"]
+    totals = ["'rank', __rank"]
     for c, states in wanted.items():
         i = plan.slot[c]
         running = {
@@ -223,9 +230,28 @@ def day_prefixes(log: DataFrame, plan: Plan, layout: Layout, depth: int) -> Data
             "lo": f"min(__v{i}) {over}",
             "hi": f"max(__v{i}) {over}",
         }
-        out += [f"{running[state]} as __p{state}{i}" for state in running if state in states]
-    # A cut leaves rows of the day behind, so the last row of a day is never asked for.
-    return ranked.selectExpr(*out).where(f"__more or __rank = {depth}").drop("__more")
+        names = [state for state in running if state in states]
+        out += [f"{running[state]} as __p{state}{i}" for state in names]
+        totals += [f"'p{state}{i}', __p{state}{i}" for state in names]
+    folded = F.expr(f"array_sort(collect_list(named_struct({', '.join(totals)}))) as __prefix")
+    return ranked.selectExpr(*out).where("__more").groupBy(*layout.user, "__day").agg(folded)
+
+
+def prefix_names(plan: Plan) -> list[str]:
+    """Fields of the totals in ``day_prefixes``."""
+    states: dict[str, set[str]] = {}
+    for (c, _), needed in plan.ts_states().items():
+        states.setdefault(c, set()).update(needed)
+    return [f"p{state}{plan.slot[c]}" for c, needed in states.items() for state in ("sum", "m2", "lo", "hi") if state in needed]
+
+
+def look_up_cuts(rows: DataFrame, prefixes: DataFrame, plan: Plan, layout: Layout, suffix: str = "") -> DataFrame:
+    """Add to ``rows`` the totals of the latest ``__askrows`` rows of ``__askday``, null where nothing is asked."""
+    same = " and ".join(f"r.`{u}` = p.`{u}`" for u in layout.user)
+    found = rows.alias("r").join(prefixes.alias("p"), F.expr(f"{same} and r.__askday = p.__day"), "left")
+    names = prefix_names(plan)
+    at = "get(p.__prefix, r.__askrows - 1)"
+    return found.selectExpr("r.*", *[f"{at}.{n} as __{n}{suffix}" for n in names])
 
 
 def generate(
@@ -406,11 +432,7 @@ def _add_cut_days(
         "__ask.day as __askday",
         "__ask.rows as __askrows",
     )
-    prefixes = day_prefixes(log, plan, layout, plan.ts_parts[-1])
-    same = " and ".join(f"r.`{u}` = p.`{u}`" for u in layout.user)
-    match = F.expr(f"{same} and r.__askday = p.__day and r.__askrows = p.__rank")
-    keep = [f"p.{c}" for c in prefixes.columns if c not in (*layout.user, "__day", "__rank")]
-    looked = rows.alias("r").join(prefixes.alias("p"), match, "left").selectExpr("r.*", *keep)
+    looked = look_up_cuts(rows, day_prefixes(log, plan, layout, plan.ts_parts[-1]), plan, layout)
 
     aggs = [f"max({s}) as {s}" for s in sums]
     aggs += [f"max(if(__parts = {p}, __askrows, null)) as __pcnt_c{p}" for p in plan.ts_parts]

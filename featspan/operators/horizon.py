@@ -20,11 +20,12 @@ from featspan.operators.generate import (
     _value,
     day_prefixes,
     days_for,
+    look_up_cuts,
     quoted,
 )
 
 #: Methods that have a form over all window sizes at once.
-PROFILED = ("min", "max", "sum", "avg", "std", "count", "max_min")
+PROFILED = ("min", "max", "sum", "avg", "std", "count", "max_min", "max_day", "avg_day", "day_div_avg")
 
 
 def profile(
@@ -78,13 +79,16 @@ def profile(
     else:
         slot = _slot("datediff(__last, __day)", [-part_days(-p, days_per_part) for p in grid], "<=")
     joined = joined.withColumn("__slot", F.expr(f"if({domains[rule]}, {slot}, {beyond})"))
+    sizes = f"array({', '.join(map(str, grid))})"
+    one_a_day = layout.one_row_per_day or bool(days and days.one_row_per_day)
+    cut = rule == TS_RULE and not one_a_day
 
     merge = {"sum": "sum", "lo": "min", "hi": "max", "pos": "sum", "q": "sum"}
     states = []
     aggs = [f"sum(if({domains[rule]}, __n, 0)) as __cnt"]
     for c in plan.columns:
         i = plan.slot[c]
-        for state in sorted(plan.states[c]):
+        for state in sorted(plan.states[c] - {"top"}):
             expr = f"__{state}{i}"
             if state == "m2":
                 gap = f"(__sum{i} / __n - __mid{i})"
@@ -93,10 +97,17 @@ def profile(
             aggs.append(f"{merge[state]}({expr}) as __{state}{i}")
         if "m2" in plan.states[c]:
             aggs.append(f"max(__mid{i}) as __mid{i}")
+        if "top" in plan.states[c]:
+            aggs.append(f"max(if({domains[rule]} and __later = 0, __top{i}, null)) as __top{i}")
+    if cut:
+        # The day that reaches into a slot from below is cut by every size between; a slot has at most one.
+        reaches = f"{domains[rule]} and __slot > 1 and __later < element_at({sizes}, greatest(__slot - 1, 1))"
+        aggs += [f"max(if({reaches}, {x}, null)) as {name}" for x, name in (("__day", "__cutday"), ("__later", "__cutlater"))]
     partial = joined.groupBy(*group, "__slot").agg(*map(F.expr, aggs))
 
     # Running merges over the slots of each instance; an instance has at most one row per slot.
     mids = [f"__mid{plan.slot[c]}" for c in plan.columns if "m2" in plan.states[c]]
+    mids += [f"__top{plan.slot[c]}" for c in plan.columns if "top" in plan.states[c]]
     whole = f"over (partition by {', '.join(quoted(group))})"
     ordered = f"over (partition by {', '.join(quoted(group))} order by __slot"
     so_far = f"{ordered} rows between unbounded preceding and current row)"
@@ -109,14 +120,16 @@ def profile(
         f"sum(__cnt) {so_far} as __cnt_h",
         *[f"{merge[state]}({name}) {so_far} as {name}_h" for state, name in states],
         *[f"max({m}) {whole} as {m}" for m in mids],
+        *([x for c in ("__cutday", "__cutlater") for x in (c, f"lead({c}) {ordered}) as __next{c[2:]}")] if cut else []),
     )
-    # A slot's totals hold until the next slot; sizes below the first slot are empty windows.
+    # A slot's totals hold until the next slot; sizes below the first slot are empty windows. Sizes beyond
+    # the rows before the next slot's first day cut through it.
+    asks = [f", 'askday', {p}day, 'later', {p}later" if cut else "" for p in ("__nextcut", "__cut")]
     running = running.selectExpr(
         "*",
-        "inline(filter(array(named_struct('lo', __slot, 'hi', __next - 1, 'empty', false), "
-        "named_struct('lo', 1, 'hi', if(__lead, __slot - 1, 0), 'empty', true)), s -> s.lo <= s.hi))",
+        f"inline(filter(array(named_struct('lo', __slot, 'hi', __next - 1, 'empty', false{asks[0]}), "
+        f"named_struct('lo', 1, 'hi', if(__lead, __slot - 1, 0), 'empty', true{asks[1]})), s -> s.lo <= s.hi))",
     ).withColumn("__size", F.explode(F.sequence("lo", "hi")))
-    sizes = f"array({', '.join(map(str, grid))})"
     table = running.selectExpr(
         *quoted(group),
         "__size",
@@ -125,11 +138,11 @@ def profile(
         *mids,
         "if(empty, 0, __cnt_h) as __cnt_h",
         *[f"if(empty, null, {name}_h) as {name}_h" for _, name in states],
+        *(["askday as __askday", f"cast(nullif(greatest(element_at({sizes}, __size) - later, 0), 0) as int) as __askrows"] if cut else []),
     )
-    one_a_day = layout.one_row_per_day or bool(days and days.one_row_per_day)
-    cut = rule == TS_RULE and not one_a_day
     if cut:
-        table = _add_cuts(table, joined, log, plan, layout, group, list(grid), domains[rule])
+        table = table.withColumn("__pcnt_h", F.col("__askrows"))
+        table = look_up_cuts(table, day_prefixes(log, plan, layout, grid[-1]), plan, layout, "_h")
     out = []
     for f in features:
         kind = "bigint" if f.method == "count" else "double"
@@ -147,38 +160,3 @@ def _slot(value: str, bounds: list[int], below: str) -> str:
     listed = ", ".join(map(str, bounds))
     return f"size(filter(array({listed}), b -> b {below} ({value}))) + 1"
 
-
-def _add_cuts(
-    table: DataFrame,
-    joined: DataFrame,
-    log: DataFrame,
-    plan: Plan,
-    layout: Layout,
-    group: list[str],
-    grid: list[int],
-    inside: str,
-) -> DataFrame:
-    """Running totals of the day each window cuts through, looked up by user, day and rank."""
-    sizes = ", ".join(f"named_struct('size', {i}, 'parts', {p})" for i, p in enumerate(grid, 1))
-    asks = joined.where(f"{inside} and __n > 1").selectExpr(
-        *quoted(group),
-        "__day as __askday",
-        "__later",
-        f"inline(filter(array({sizes}), s -> s.parts > __later and s.parts < __later + __n))",
-    )
-    asks = asks.withColumn("__askrows", F.expr("cast(parts - __later as int)"))
-    prefixes = day_prefixes(log, plan, layout, grid[-1])
-    same = " and ".join(f"a.`{u}` = p.`{u}`" for u in layout.user)
-    names = [c for c in prefixes.columns if c not in (*layout.user, "__day", "__rank")]
-    found = asks.alias("a").join(
-        prefixes.alias("p"), F.expr(f"{same} and a.__askday = p.__day and a.__askrows = p.__rank")
-    )
-    found = found.selectExpr(
-        *[f"a.`{g}`" for g in group],
-        "a.size as __size",
-        "__askrows as __pcnt_h",
-        *[f"p.{n} as {n}_h" for n in names],
-    )
-    match = [F.col(f"t.`{g}`").eqNullSafe(F.col(f"f.`{g}`")) for g in (*group, "__size")]
-    extra = ["f.__pcnt_h", *[f"f.{n}_h" for n in names]]
-    return table.alias("t").join(found.alias("f"), match, "left").selectExpr("t.*", *extra)

@@ -172,3 +172,4 @@ _profile("horizons_left", PART_RULE, [50, 100, 250, 400], _ALL_SIX, direction="l
 _profile("horizons_odd_sizes", PART_RULE, [1, 2, 3, 5, 8], _ALL_SIX, events=True)
 _profile("horizons_latest_rows", TS_RULE, [2, 4, 6, 8, 10, 12], _ALL_SIX[:-1], events=True)
 _profile("horizons_latest_days", TS_RULE, [1, 2, 4], _ALL_SIX[:-1])
+_profile("horizons_latest_value", TS_RULE, [1, 2, 3, 5, 8, 13], ("max_day", "avg_day", "day_div_avg"), events=True)
