@@ -47,11 +47,6 @@ def export_matrix(table: DataFrame, columns: list[str], order: str = "row_num")
     return rows.orderBy(F.col(order).desc()).drop(order)
 
 
-def feature_positions(lineage: dict, columns: list[str]) -> list[int]:
-    """Scheme position of each matrix column."""
-    return [lineage[c][1] for c in columns]
-
-
 def fit(matrix: DataFrame, config: TaskConfig, valid: DataFrame | None = None):
     """Fit boosted trees to (label, features); several classes are boosted one against the rest.
 

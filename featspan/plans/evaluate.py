@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from featspan.config import Feature, TaskConfig
 from featspan.functions.days import as_day
 from featspan.operators.catalogue import feature_columns
-from featspan.operators.generate import DayTable, generate, prepare_days
+from featspan.operators.generate import DayTable, generate, lineage_frame, prepare_days
 from featspan.operators.ingest import slice_tables
-from featspan.operators.learn import design_matrix, feature_positions, fit, node_table, score, shuffled
+from featspan.operators.learn import design_matrix, fit, node_table, score, shuffled
 from featspan.operators.metrics import REGRESSION, metrics
 from featspan.operators.rownum import holdout
 from featspan.operators.skew import find_hot_users
-from featspan.session import materialise, materialise_bucketed
+from featspan.session import drop_table, materialise, materialise_bucketed, remove_folder, work_dir, written_to
 
 
 @dataclass(frozen=True)
@@ -36,12 +37,14 @@ class TaskData:
     config: TaskConfig
     train: Part
     test: Part
+    folder: str
 
     def close(self) -> None:
-        """Forget the tables in the session's catalog; their files stay in the work folder."""
+        """Remove the tables and their files."""
         spark = self.train.instances.sparkSession
         for name in {self.train.days.table, self.test.days.table} - {None}:
-            spark.sql(f"drop table if exists {name}")
+            drop_table(spark, name)
+        remove_folder(spark, self.folder)
 
 
 @dataclass(frozen=True)
@@ -63,6 +66,12 @@ def prepare(instances: DataFrame, log: DataFrame, config: TaskConfig) -> TaskDat
     The day partials, by far the largest of them, are bucketed by user, so that a round shuffles
     instances only. The log itself is not copied.
     """
+    folder = f"{work_dir(instances.sparkSession)}/task-{uuid.uuid4().hex}"
+    with written_to(instances.sparkSession, folder):
+        return _prepare(instances, log, config, folder)
+
+
+def _prepare(instances: DataFrame, log: DataFrame, config: TaskConfig, folder: str) -> TaskData:
     layout = config.layout
     # row numbers and splits come from one written table; both sides only filter it
     instances = materialise(instances, "instances")
@@ -77,7 +86,7 @@ def prepare(instances: DataFrame, log: DataFrame, config: TaskConfig) -> TaskDat
         hot = None if layout.one_instance_per_user else find_hot_users(frame, layout.user)
         return Part(frame, rows, days, hot)
 
-    return TaskData(config, part(train, train_rows, train_days), part(test, test_rows, test_days))
+    return TaskData(config, part(train, train_rows, train_days), part(test, test_rows, test_days), folder)
 
 
 def _reduce(log: DataFrame, config: TaskConfig, name: str) -> tuple[DataFrame, DayTable]:
@@ -101,11 +110,18 @@ def features_of(data: TaskData, scheme, side: str = "train") -> tuple[DataFrame,
     )
 
 
-def train_matrix(data: TaskData, scheme, seed: int = 0) -> tuple[DataFrame, list[str], list[int]]:
-    """(label, features) of all training rows, its columns, and their positions in the scheme."""
+def train_matrix(data: TaskData, scheme, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(label, features) of all training rows, and the lineage of the entries of ``features``.
+
+    The lineage has a row per entry: feature, its scheme fields, position in the scheme, and place in the
+    vector, from 0.
+    """
     table, lineage = features_of(data, scheme)
     columns = shuffled(list(lineage), seed)
-    return design_matrix(table, columns), columns, feature_positions(lineage, columns)
+    places = {name: i for i, name in enumerate(columns)}
+    frame = lineage_frame(table.sparkSession, lineage)
+    at = F.create_map(*[F.lit(x) for pair in places.items() for x in pair]) if places else F.create_map()
+    return design_matrix(table, columns), frame.withColumn("place", F.try_element_at(at, F.col("feature")))
 
 
 def evaluate(data: TaskData, scheme, names=("Acc",), seed: int = 0) -> Outcome:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import time
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -11,32 +13,33 @@ from featspan.functions.scalars import unit_hash
 from featspan.operators import rank, sampling, trees, trials as t
 from featspan.operators.catalogue import candidates_for
 from featspan.plans.evaluate import Outcome, TaskData, evaluate, outcome_nodes
+from featspan.session import scratch
 from featspan.sources.ledger import Ledger
 
 PATHS_USED = 5  # fixed value: this many grown paths are read off
 
 
 def search_random(data: TaskData, config: SearchConfig, ledger: Ledger) -> DataFrame:
-    """Every round evaluates evenly drawn features. Returns the ledger's trials."""
+    """Every round evaluates evenly drawn features; trials the ledger holds are not run again. Returns its trials."""
     candidates = _candidates(data)
 
-    def draw(i: int) -> list[Feature]:
+    def draw(i: int, _: Ledger) -> list[Feature]:
         return _features(sampling.sample_uniform(candidates, config.n_features, f"{config.seed}/{i}"))
 
-    return _rounds(data, config, ledger, draw, keep_nodes=False)
+    return _rounds(data, config, ledger, "random", draw, keep_nodes=False)
 
 
 def search_guided(data: TaskData, config: SearchConfig, ledger: Ledger) -> DataFrame:
-    """After the first random rounds, each selector fills its share of the scheme from the ledger."""
+    """After the first random rounds, each selector fills its share of the scheme from the ledger's earlier trials."""
     candidates = _candidates(data)
 
-    def draw(i: int) -> list[Feature]:
+    def draw(i: int, past: Ledger) -> list[Feature]:
         seed = f"{config.seed}/{i}"
         if i < config.init_rounds:
             return _features(sampling.sample_uniform(candidates, config.n_features, seed))
-        return guided_scheme(data, config, ledger, candidates, seed)
+        return guided_scheme(data, config, past, candidates, seed)
 
-    return _rounds(data, config, ledger, draw, keep_nodes=True)
+    return _rounds(data, config, ledger, "guided", draw, keep_nodes=True)
 
 
 def best_scheme(trials: DataFrame, config: SearchConfig, task: str = "") -> dict:
@@ -56,15 +59,26 @@ def _features(drawn: DataFrame) -> list[Feature]:
     return [Feature.of(r) for r in drawn.orderBy("position").collect()]
 
 
-def _rounds(data: TaskData, config: SearchConfig, ledger: Ledger, draw, keep_nodes: bool) -> DataFrame:
-    started = time.monotonic()
-    for i in range(config.rounds):
+def _rounds(data: TaskData, config: SearchConfig, ledger: Ledger, kind: str, draw, keep_nodes: bool) -> DataFrame:
+    """Run the trials the ledger does not hold yet, from the first missing one on.
+
+    A trial depends on the settings and on the trials before it only, so a search that was cut off
+    goes on as if it had not been. The time limit counts over all attempts. What a round writes
+    apart from its trial is removed with the round.
+    """
+    spark = data.train.instances.sparkSession
+    settings = {**asdict(config), "rounds": None, "time_limit": None, "top_k": None, "kind": kind}
+    ledger.claim(json.dumps(settings, sort_keys=True))
+    first, spent = ledger.progress()
+    started = time.monotonic() - spent
+    for i in range(first, config.rounds):
         if time.monotonic() - started >= config.time_limit:
             break
-        scheme = draw(i)
-        outcome = evaluate(data, scheme, config.metrics, seed=config.seed + i)
-        _record(data, ledger, i, scheme, outcome, time.monotonic() - started, keep_nodes)
-    return ledger.trials()
+        with scratch(spark, "round"):
+            scheme = draw(i, ledger.until(i))
+            outcome = evaluate(data, scheme, config.metrics, seed=config.seed + i)
+            _record(data, ledger, i, scheme, outcome, time.monotonic() - started, keep_nodes)
+    return ledger.until(max(first, config.rounds)).trials()
 
 
 def _record(

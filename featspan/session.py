@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,8 +17,12 @@ def shuffle_width(spark: SparkSession) -> int:
 def work_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may go without it, and then gets a folder of its own.
+    Only a local session may go without it, and then gets a folder of its own. Inside ``written_to``
+    and ``scratch`` it is the folder of the innermost block.
     """
+    blocks = _blocks(spark)
+    if blocks:
+        return blocks[-1]
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
@@ -31,6 +37,35 @@ def work_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _blocks(spark: SparkSession) -> list[str]:
+    context = spark.sparkContext
+    if not hasattr(context, "_featspan_blocks"):
+        context._featspan_blocks = []
+    return context._featspan_blocks
+
+
+@contextmanager
+def written_to(spark: SparkSession, path: str) -> Iterator[str]:
+    """Inside the block ``path`` is the work folder."""
+    blocks = _blocks(spark)
+    blocks.append(path)
+    try:
+        yield path
+    finally:
+        blocks.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str = "scratch") -> Iterator[str]:
+    """A work folder for the block, removed with it; no frame that reads from it may be used afterwards."""
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    try:
+        with written_to(spark, path):
+            yield path
+    finally:
+        remove_folder(spark, path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
@@ -66,6 +101,11 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def drop_table(spark: SparkSession, table: str) -> None:
     """Drop a table this library wrote into the shared folder, and its files."""
     rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").collect()

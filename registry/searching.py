@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from featspan.config import ALL_RULE, METHODS, PART_RULE, RULES, TS_RULE, Feature, SearchConfig, TaskConfig
 from featspan.operators import catalogue, learn, metrics as m, rank, sampling, trees, trials as t
 from featspan.operators.generate import generate, group_by_rule
 from featspan.operators.rownum import global_row_number, holdout
-from featspan.plans.evaluate import evaluate, prepare
+from featspan.plans.evaluate import evaluate, prepare, train_matrix
 from featspan.plans.search import search_guided, search_random
 from featspan.session import materialise, work_dir
 from featspan.sources.ledger import Ledger
@@ -662,17 +664,18 @@ def _path_steps_sql():
 _add("path_steps", _path_steps, _path_steps_sql())
 
 
-ROUNDS = 2
+def _search(call, *rounds):
+    """Trials of a search at its shipped sizes, shortened to few rounds: what they hold, not how they score.
 
-
-def _search(call):
-    """Trials of a search at its shipped sizes, shortened to two rounds: what they hold, not how they score."""
+    The search is stopped after each of ``rounds`` and goes on from the ledger.
+    """
 
     def run(s, sf):
         instances, log, config = _task(s, sf)
         data = prepare(instances, log, config)
-        ledger = Ledger(s, f"{work_dir(s)}/ledger-{uuid.uuid4().hex}")
-        found = call(data, SearchConfig(rounds=ROUNDS, seed=7), ledger)
+        path = f"{work_dir(s)}/ledger-{uuid.uuid4().hex}"
+        for n in rounds:
+            found = call(data, SearchConfig(rounds=n, seed=7), Ledger(s, path))
         known = catalogue.candidates_for(s, data.train.log, config.horizon, config.layout).select("feature")
         rows = materialise(found, "found")
         data.close()
@@ -686,6 +689,29 @@ def _search(call):
     return run
 
 
-_TRIAL_ROWS = f"SELECT i AS trial, 1 AS in_range, 10 AS n_features, 10 AS n_distinct, 10 AS n_known FROM range({ROUNDS}) r(i)"
-_add("search_random", _search(search_random), _TRIAL_ROWS)
-_add("search_guided", _search(search_guided), _TRIAL_ROWS)
+def _trial_rows(n):
+    return f"SELECT i AS trial, 1 AS in_range, 10 AS n_features, 10 AS n_distinct, 10 AS n_known FROM range({n}) r(i)"
+
+
+_add("search_random", _search(search_random, 2), _trial_rows(2))
+_add("search_guided", _search(search_guided, 2, 4), _trial_rows(4))
+
+
+def _train_matrix(s, sf):
+    """Per feature its place in the scheme, and the sum of its entry of the vectors."""
+    instances, log, config = _task(s, sf)
+    data = prepare(instances, log, replace(config, train_rows=None, test_rows=None))
+    matrix, lineage = train_matrix(data, SCHEME, seed=5)
+    entries = matrix.select(F.posexplode(vector_to_array("features")).alias("place", "value"))
+    sums = entries.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 1).alias("total"))
+    out = materialise(lineage.join(sums, "place").select("feature", "position", "n", (F.col("total") + F.lit(0.0)).alias("total")), "sums")
+    data.close()
+    return out
+
+
+_add(
+    "train_matrix",
+    _train_matrix,
+    f"""WITH m AS ({scheme_sql(SCHEME, v.LOG_ORDERS, v.INST_ORDERS, ORDER_KEY)})
+    {' UNION ALL '.join(f"""SELECT '{f.name}' AS feature, {i} AS position, count(*) AS n, round(sum("{f.name}"), 1) + 0.0 AS total FROM m""" for i, f in enumerate(SCHEME))}""",
+)

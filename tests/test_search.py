@@ -1,4 +1,5 @@
 import dataclasses
+import os
 import random
 from datetime import date, timedelta
 
@@ -12,7 +13,7 @@ from featspan.operators.rownum import global_row_number
 from featspan.plans.evaluate import evaluate, features_of, outcome_nodes, prepare, train_matrix
 from featspan.plans.search import best_scheme, search_guided, search_random
 from featspan.session import materialise, work_dir
-from featspan.sources.ledger import Ledger
+from featspan.sources.ledger import FIELDS, Ledger
 
 LAYOUT = Layout(tie=("k",))
 
@@ -58,9 +59,13 @@ def test_planted_signal_is_found(task, spark):
 
 
 def test_matrix_and_alignment(task):
-    matrix, columns, positions = train_matrix(task, SCHEME, seed=3)
+    matrix, lineage = train_matrix(task, SCHEME, seed=3)
     assert matrix.columns == ["label", "features"] and matrix.count() == 160
-    assert [SCHEME[i].name for i in positions] == columns
+    rows = lineage.orderBy("place").collect()
+    columns = [r["feature"] for r in rows]
+    assert [r["place"] for r in rows] == [0, 1, 2] and [SCHEME[r["position"]].name for r in rows] == columns
+    assert all(Feature.of(r).name == r["feature"] for r in rows)
+    assert train_matrix(task, [])[1].count() == 0
     table, _ = features_of(task, SCHEME, "test")
     wide = learn.export_matrix(table, ["f1_max", "absent"])
     assert wide.columns == ["label", "f1_max", "absent"] and {r["absent"] for r in wide.collect()} == {0.0}
@@ -161,17 +166,37 @@ def test_random_search(task, spark):
     assert all(len({Feature.of(f).name for f in r["scheme"]}) == 4 for r in trials)
     best = best_scheme(ledger.trials(), config)
     assert best["trial"] in (0, 1) and len(best["scheme"]) == 4
-    nothing = search_random(task, SearchConfig(rounds=5, n_features=2, time_limit=0.0), Ledger(spark, ledger.path))
+    nothing = search_random(task, dataclasses.replace(config, rounds=5, time_limit=0.0), Ledger(spark, ledger.path))
     assert nothing.count() == 2
+    with pytest.raises(ValueError, match="another search"):
+        search_random(task, dataclasses.replace(config, n_features=2), ledger)
 
 
-def test_guided_search(task, spark):
+def files_under(path):
+    return {os.path.join(d, f) for d, _, names in os.walk(path) for f in names}
+
+
+def test_guided_search_goes_on_where_it_stopped(task, spark):
     ledger = Ledger(spark, f"{work_dir(spark)}/ledger-guided")
     config = SearchConfig(
         rounds=3, n_features=6, pool=30, path_steps=2, seed=2,
         selectors=("best_scheme_sample", "score_filter", "imp_filter", "tree_path", "pair_path", "random_generation"),
     )
+    before = files_under(work_dir(spark))
     trials = search_guided(task, config, ledger).orderBy("trial").collect()
+    assert all(f.startswith(ledger.path) for f in files_under(work_dir(spark)) - before)
+
+    cut = Ledger(spark, f"{work_dir(spark)}/ledger-cut")
+    search_guided(task, dataclasses.replace(config, rounds=2), cut)
+    # the third trial got as far as its nodes, and a later one was left over from somewhere
+    cut.append_nodes(2, ledger.nodes().where("trial = 0").drop("trial"))
+    cut.append({**trials[0].asDict(), "trial": 7})
+    assert cut.progress()[0] == 2 and cut.nodes().where("trial = 2").isEmpty()
+    resumed = search_guided(task, config, cut).orderBy("trial").collect()
+    assert [[r[c] for c in FIELDS if c != "seconds"] for r in resumed] == [[r[c] for c in FIELDS if c != "seconds"] for r in trials]
+    assert sorted(cut.until(3).nodes().collect()) == sorted(ledger.nodes().collect())
+    again = cut.trials().select("trial", "seconds").collect()
+    assert search_guided(task, config, cut).count() == 3 and cut.trials().select("trial", "seconds").collect() == again
     assert [r["trial"] for r in trials] == [0, 1, 2]
     for r in trials:
         names = [Feature.of(f).name for f in r["scheme"]]
