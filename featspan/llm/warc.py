@@ -103,29 +103,30 @@ def _parse(chunk: bytes, at: int) -> dict | None:
     end = chunk.find(b"\r\n\r\n")
     if end < 0:
         return None
-    head = dict(_HEADER.findall(chunk[: end + 2]))
-    if b"WARC-Type" not in head or not head.get(b"Content-Length", b"").isdigit():
+    head = {name.lower(): value.rstrip() for name, value in reversed(_HEADER.findall(chunk[: end + 2]))}  # the first of a name counts
+    if b"warc-type" not in head or not head.get(b"content-length", b"").isdigit():
         return None
-    length = int(head[b"Content-Length"])
+    length, kind = int(head[b"content-length"]), head[b"warc-type"].decode("latin-1")
     out = {
         "at": at - len(MAGIC),
         "next": at + end + 4 + length + len(END),
         "body": at + end + 4,
         "whole": len(chunk) >= end + 4 + length,
-        "page_id": _number(head.get(b"WARC-Record-ID")),
-        "record_type": head[b"WARC-Type"].decode("latin-1"),
-        "refers_to": _number(head.get(b"WARC-Refers-To")),
-        "stated_sha1": head.get(b"WARC-Payload-Digest", b"").removeprefix(b"sha1:").decode("latin-1"),
+        "page_id": _number(head.get(b"warc-record-id")),
+        "record_type": kind,
+        "refers_to": _number(head.get(b"warc-refers-to")),
+        "stated_sha1": head.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode("latin-1"),
     }
-    return out | (_payload(chunk[end + 4 : end + 4 + length]) if out["whole"] else {})
+    return out | (_payload(chunk[end + 4 : end + 4 + length], kind) if out["whole"] else {})
 
 
-def _payload(body: bytes) -> dict:
-    """Size and digest of the payload of an HTTP response: what it holds, and what its header states."""
+def _payload(body: bytes, kind: str) -> dict:
+    """Size and digest of the payload of an HTTP response, as it is; a revisit holds none, its header states the size."""
     end = body.find(b"\r\n\r\n")
-    stated = re.search(rb"^Content-Length: (\d+)\r?$", body[: end + 2], re.MULTILINE) if end >= 0 else None
+    stated = re.search(rb"^Content-Length:[ \t]*(\d+)[ \t]*\r?$", body[: end + 2], re.MULTILINE | re.IGNORECASE) if end >= 0 else None
     own = body[end + 4 :] if end >= 0 else body
-    return {"payload_bytes": int(stated[1]) if stated else len(own), "payload_sha1": hashlib.sha1(own).hexdigest()}
+    size = int(stated[1]) if stated and kind == "revisit" else len(own)
+    return {"payload_bytes": size, "payload_sha1": hashlib.sha1(own).hexdigest()}
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
@@ -226,7 +227,7 @@ def _split_payloads(spark: SparkSession, path: str, broken: DataFrame, blocks: D
         rows = rows.sort_by("place")
         whole = MAGIC.encode().join(rows.column("value").to_pylist())
         first, body, end = rows.column("place")[0].as_py(), rows.column("body")[0].as_py(), rows.column("next")[0].as_py() - len(END)
-        made = _payload(whole[body - first : end - first])
+        made = _payload(whole[body - first : end - first], "response")
         return pa.table({"file": [key[0].as_py()], "at": [key[1].as_py()], **{k: [v] for k, v in made.items()}})
 
     spans = broken.join(blocks, "file").where("base < next AND base + chunk_bytes > at")

@@ -82,3 +82,15 @@ def test_damaged_archives_are_reported(spark):
     with pytest.raises(ValueError, match="end early"):
         warc.read_archive(spark, cut)
     assert sorted(r.page_id for r in warc.read_archive(spark, cut, strict=False).collect()) == [1, 2]
+
+
+def test_header_names_in_any_case_and_measured_sizes(spark):
+    def record(i, http, length="Content-Length", kind="WARC-Type"):
+        return f"{MAGIC}{kind}: response\r\nwarc-record-id: <urn:x-page:{i}>\r\n{length}: {len(http)}\r\n\r\n{http}"
+
+    body = "HTTP/1.1 200 OK\r\nContent-Length: 999\r\n\r\nhello"
+    text = "\r\n\r\n".join([record(1, body), record(2, body, "content-length"), record(3, body, "CONTENT-LENGTH", "warc-type")])
+    path = new_folder(spark, "cases")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", "\r\n\r\n").text(path)
+    got = warc.read_archive(spark, path, strict=False).orderBy("page_id").collect()
+    assert [(r.page_id, r.payload_bytes) for r in got] == [(1, 5), (2, 5), (3, 5)]
