@@ -44,7 +44,10 @@ SIBLINGS = {
     "option": {"option"},
     "p": {"p"},
 }
+#: A box that stays though its name sets it aside holds this share of the article's paragraph text.
+STAY = 0.15
 SCOPES = frozenset("ul ol dl table tbody thead tfoot select body html article section div main aside td th".split())
+_LIST_SCOPES = SCOPES - {"div", "td", "th"}
 
 #: Elements that never hold the article, and words in class, id or role that say so.
 ASIDE = frozenset(
@@ -56,6 +59,8 @@ _NAMES = (
     "related reply replies responses share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets"
 )
 ASIDE_NAMES = frozenset(_NAMES.split())
+#: Those of them that speak of readers' comments.
+TALK = frozenset("comment comments commentform commentlist disqus reply replies responses".split())
 #: Words that may stand beside them in the name of a box; any other word makes it a name of something else.
 _PARTS = (
     "area articles bar block bottom box button buttons center col column container content form global google group header icons inner "
@@ -72,11 +77,13 @@ ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dial
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"  # comment
-    r"|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    # an unquoted value may hold quotes, and a quote after a value starts a name
+    r"|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*+)"
+    r"(?P<rest>(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)?+)*+)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>\"'][^\s>]*+)))?+")
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are never the centre, and how much the sums of others weigh.
 _RUNNING = INLINE | _HEADING | {"p"}
@@ -85,10 +92,10 @@ WEIGHTS = {"article": 4.0, "main": 4.0} | dict.fromkeys(_PAGE, 0.5)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "parts", "aside", "teaser", "chars", "links", "tags", "link_tags", "density", "total", "peak")
+    __slots__ = ("tag", "parent", "depth", "parts", "aside", "doubt", "teaser", "chars", "links", "tags", "link_tags", "density", "total", "peak")
 
     def __init__(self, tag: str, parent: Node | None, aside: bool):
-        self.tag, self.parent, self.aside, self.teaser = tag, parent, aside, False
+        self.tag, self.parent, self.aside, self.doubt, self.teaser = tag, parent, aside, False, False
         self.depth = parent.depth + 1 if parent else 0
         self.parts: list[Node | str] = []
 
@@ -107,73 +114,93 @@ def _names_aside(name: str) -> bool:
     return any(w in ASIDE_NAMES for w in words) and all(w in ASIDE_NAMES or w in NAME_PARTS for w in words)
 
 
-def _is_aside(tag: str, own: dict[str, str], in_article: bool) -> bool:
+def _is_aside(tag: str, own: dict[str, str], in_article: bool) -> tuple[bool, bool]:
+    """Whether an element announces that it is not the article, and whether its text may prove otherwise."""
     if tag in ASIDE:
-        return not (tag == "header" and in_article)
+        return not (tag == "header" and in_article), tag == "form"
     if not own:
-        return False
+        return False, False
     if "hidden" in own or own.get("aria-hidden") == "true" or own.get("role") in ASIDE_ROLES:
-        return True
+        return True, False
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", "")):
-        return True
+        return True, False
     if tag in UNNAMED:
-        return False
+        return False, False
     names = [*own.get("class", "").split(), *own.get("id", "").split()]
-    return any(_names_aside(n) or not in_article and n in OUTSIDE_NAMES for n in names)
+    found = [n for n in names if _names_aside(n) or not in_article and n in OUTSIDE_NAMES]
+    talk = any(w in TALK for n in found for w in re.split(r"[-_]+", n))
+    return bool(found), in_article and not talk
+
+
+class _Open:
+    """The open elements, with how many there are of each tag."""
 
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.count: dict[str, int] = {}
 
-def _close(open_: list[Node], until: int) -> None:
-    del open_[until:]
+    def push(self, node: Node) -> None:
+        self.nodes.append(node)
+        self.count[node.tag] = self.count.get(node.tag, 0) + 1
+
+    def close(self, until: int) -> None:
+        for node in self.nodes[until:]:
+            self.count[node.tag] -= 1
+        del self.nodes[until:]
+
+    def any(self, tags) -> bool:
+        return any(self.count.get(t) for t in tags)
+
+    def last(self, tags, scopes=frozenset()) -> int:
+        """Place of the innermost open element of ``tags`` that none of ``scopes`` hides; 0 if there is none."""
+        if self.any(tags):
+            for k in range(len(self.nodes) - 1, 0, -1):
+                if self.nodes[k].tag in tags:
+                    return k
+                if self.nodes[k].tag in scopes:
+                    break
+        return 0
 
 
 def tree(html: str) -> Node:
     """Read markup into a tree; what is never closed ends with its parent."""
     root = Node("#page", None, False)
-    open_, at, end = [root], 0, len(html)
+    open_, at, end = _Open(root), 0, len(html)
+    doubtful: list[Node] = []
     while at < end:
         found = _TOKEN.search(html, at)
         if found is None:
-            open_[-1].parts.append(html[at:])
+            open_.nodes[-1].parts.append(html[at:])
             break
         if found.start() > at:
-            open_[-1].parts.append(html[at : found.start()])
+            open_.nodes[-1].parts.append(html[at : found.start()])
         at = found.end()
         tag = found["tag"]
         if tag is None:
             continue
         tag = tag.lower()
         if found["end"]:
-            if tag in ("p", "br"):
-                inside = any(n.tag == "p" for n in open_)
-                if tag == "br" or not inside:
-                    open_[-1].parts.append(Node("br", open_[-1], False))
-                    continue
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag == tag:
-                    _close(open_, k)
-                    break
-                if tag in INLINE and open_[k].tag in SCOPES:  # a stray end inside another box
-                    break
+            if tag == "br" or tag == "p" and not open_.any(("p",)):
+                open_.nodes[-1].parts.append(Node("br", open_.nodes[-1], False))
+                continue
+            # a stray inline end inside another box closes nothing
+            if k := open_.last((tag,), SCOPES if tag in INLINE else frozenset()):
+                open_.close(k)
             continue
         rest = found["rest"]
-        if tag in CLOSES_P:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag == "p":
-                    _close(open_, k)
-                    break
-                if open_[k].tag in SCOPES:
-                    break
-        if tag in SIBLINGS and tag != "p":
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag in SIBLINGS[tag]:
-                    _close(open_, k)
-                    break
-                if open_[k].tag in SCOPES and open_[k].tag not in ("div", "td", "th"):
-                    break
-        own, in_article = _attributes(rest), any(n.tag in ("article", "main") for n in open_)
-        node = Node(tag, open_[-1], _is_aside(tag, own, in_article))
+        if tag in CLOSES_P and (k := open_.last(("p",), SCOPES)):
+            open_.close(k)
+        if tag in SIBLINGS and tag != "p" and (k := open_.last(SIBLINGS[tag], _LIST_SCOPES)):
+            open_.close(k)
+        own, in_article = _attributes(rest), open_.any(("article", "main"))
+        aside, doubt = _is_aside(tag, own, in_article)
+        parent = open_.nodes[-1]
+        node = Node(tag, parent, aside)
         node.teaser = not in_article and tag not in UNNAMED and not TEASERS.isdisjoint(own.get("class", "").split())
-        open_[-1].parts.append(node)
+        if aside and doubt:
+            node.doubt = True
+            doubtful.append(node)
+        parent.parts.append(node)
         if tag in VOID or rest.endswith("/") and tag in ("svg", "path"):
             continue
         if tag in RAW:
@@ -181,10 +208,52 @@ def tree(html: str) -> Node:
             node.parts.append(html[at : stop.start() if stop else end])
             at = stop.end() if stop else end
             continue
-        open_.append(node)
+        open_.push(node)
+    if doubtful:
+        _acquit(root, doubtful)
     return root
 
 
+def _acquit(root: Node, doubtful: list[Node]) -> None:
+    """A box that its name alone, or being a form, sets aside stays if it holds much of the text in paragraphs.
+
+    Much is ``STAY`` of the paragraph text of the article around it, and half of the page's for a form.
+    """
+    prose: dict[int, int] = {}
+    order, rest = [], [root]
+    while rest:
+        node = rest.pop()
+        order.append(node)
+        rest.extend(c for c in node.parts if isinstance(c, Node) and (c.doubt or not c.aside))
+    for node in reversed(order):
+        if node.tag == "p":
+            # words of links are no prose
+            prose[id(node)] = _prose(node)
+        else:
+            prose[id(node)] = sum(prose.get(id(c), 0) for c in node.parts if isinstance(c, Node))
+    article = {}
+    for node in order:
+        article[id(node)] = node if node.tag in ("article", "main") else article.get(id(node.parent))
+    for node in doubtful:
+        if id(node) not in prose:
+            continue
+        whole = root if node.tag == "form" else article.get(id(node)) or root
+        if prose[id(node)] and prose[id(node)] >= (0.5 if node.tag == "form" else STAY) * prose[id(whole)]:
+            node.aside = False
+
+
+def _prose(paragraph: Node) -> int:
+    """Characters of a paragraph outside links."""
+    chars, rest = 0, [paragraph]
+    while rest:
+        for part in rest.pop().parts:
+            if isinstance(part, str):
+                chars += len(part) - part.count(" ")
+            elif part.tag != "a" and not part.aside:
+                rest.append(part)
+    return chars
+
+
 def _walk(root: Node) -> list[Node]:
     """Elements that may hold the article, parents first."""
     out, rest = [], [root]

@@ -113,3 +113,36 @@ def test_every_row_comes_back(spark):
     got = sorted(((r.page_id or 0, r.url, r.text[:2], r.n_chars) for r in extract(df).collect()), key=str)
     assert got == [(0, "u", "a", 1), (1, None, "", 0), (1, None, "", 0), (3, "v", "éx", 100_001)]
     assert extract(df.limit(0)).count() == 0
+
+
+LINES = "This is a longer paragraph of the article with many words, so that it counts as text. " * 3
+
+
+def test_quotes_where_they_do_not_belong():
+    assert main_text(f"<body><article><p data-x=5'10>He's tall {LINES}</p><p>It's more</p></article>").startswith("He's tall This")
+    assert main_text(f'<body><article><p class="a"">one {LINES}</p><p>two</p></article>').startswith("one This")
+    assert main_text(f"<body><article><p title='a\"b' = x='>'>one {LINES}</p></article>").startswith("one This")
+
+
+def test_a_name_alone_does_not_drop_prose():
+    page = f'<body><article><p>{LINES}</p><section id="social"><p>kept {LINES}</p><p>{LINES}</p></section><div class="share"><a href=x>Share</a><p>Tell all</p></div>'
+    page += '<div class="comments">' + f"<p>said {LINES}</p>" * 9 + "</div></article></body>"
+    text = main_text(page)
+    assert "kept" in text and "Tell all" not in text and "said" not in text
+
+
+def test_a_page_inside_one_form():
+    assert main_text(f"<body><form action=x><h1>Title</h1><p>{LINES}</p><p>{LINES}</p><input></form></body>").startswith("Title This")
+    assert "Login" not in main_text(f"<body><div><p>{LINES}</p><p>{LINES}</p></div><form><p>Login here</p></form></body>")
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    def seconds(n):
+        started = time.perf_counter()
+        main_text("<div>" * n + "<li>x</b></p>" * n)
+        return time.perf_counter() - started
+
+    seconds(1000)
+    assert seconds(64_000) < 12 * max(seconds(16_000), 0.05)
