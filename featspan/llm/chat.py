@@ -1,8 +1,9 @@
 """Chat formatting with DataFrame functions only.
 
 A record is JSON text in whatever layout its source uses. The sorted list of its nested field
-paths is hashed, and the hash selects a declarative mapping to canonical turns (role, text). Turns
-are rendered by a template whose control strings are escaped inside texts and roles, so that the
+paths is hashed, and the hash selects a declarative mapping to canonical turns (role, text). Paths
+are those of a skeleton without the texts, so texts may be of any length; fields that no layout
+names are left aside. A text may come in parts, whose texts are joined. Turns are rendered by a template whose control strings are escaped inside texts and roles, so that the
 output can be read back exactly, with a mask of the code points a model is to learn from.
 
 Null roles and texts are empty, turns of equal number are ordered by role and text, repeated rows
@@ -54,37 +55,83 @@ LAYOUTS = (
 )
 
 
+#: Fields of the parts of a text that comes in parts.
+_PART = ("type", "text")
+#: Spark's JSON reader ends strings at 20 million characters unless told otherwise.
+_NO_LIMIT = {"maxStringLen": str(2**31 - 1)}
+
+
+#: A JSON string; possessive, so that long ones need no stack.
+_BODY = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
+_STRING = f'"{_BODY}"'
+
+
 def _list_keys(layouts: tuple[Layout, ...]) -> list[str]:
     return sorted({x.turns[0] for x in layouts if x.turns})
 
 
+def _known_paths(layouts: tuple[Layout, ...]) -> list[str]:
+    return sorted({p for x in layouts for p in x.paths})
+
+
 def _under(key: str) -> Callable[[Column], Column]:
     return lambda name: F.concat(F.lit(f"{key}[]."), name)
 
 
-def fingerprint(raw: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
-    """Hash of the sorted field paths of a JSON object; fields of a list are those of its first element."""
+def skeleton(raw: Column) -> Column:
+    """The record with all string values empty: its layout, however long its texts are."""
+    return F.regexp_replace(raw, rf'(?=")({_STRING}\s*+:\s*+)?+(?:("){_BODY}("))?+', "$1$2$3")
+
+
+def _elements(bones: Column, key: str) -> Column:
+    """The elements of a list of a skeleton, as JSON; none if it is no list."""
+    return F.coalesce(F.from_json(F.get_json_object(bones, f"$.{key}"), "array<string>"), F.array().cast("array<string>"))
+
+
+def _paths(bones: Column, layouts: tuple[Layout, ...]) -> Column:
+    """The field paths that some layout names; fields of a list are those of any of its elements."""
+    none = F.array().cast("array<string>")
     nested = [
-        F.transform(F.coalesce(F.json_object_keys(F.get_json_object(raw, f"$.{k}[0]")), F.array().cast("array<string>")), _under(k))
-        for k in _list_keys(layouts)
+        F.transform(F.flatten(F.transform(_elements(bones, k), lambda e: F.coalesce(F.json_object_keys(e), none))), _under(k)) for k in _list_keys(layouts)
     ]
-    paths = F.concat(F.json_object_keys(raw), *nested)
-    return F.xxhash64(F.array_join(F.array_sort(paths), ","))
+    known = F.array(*[F.lit(p) for p in _known_paths(layouts)])
+    return F.array_sort(F.array_intersect(F.concat(F.json_object_keys(bones), *nested), known))
+
+
+def fingerprint(raw: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """Hash of the sorted field paths of a JSON object, as far as some layout names them; null if it is none."""
+    return F.xxhash64(F.array_join(_paths(skeleton(raw), layouts), ",")) * F.when(F.json_object_keys(skeleton(raw)).isNotNull(), 1)
+
+
+def _is_list(name: str) -> Callable[[Column], Column]:
+    return lambda e: F.startswith(F.get_json_object(e, f"$.{name}"), F.lit("["))
+
 
+def _renamed(role: str, text: str) -> Callable[[Column], Column]:
+    return lambda t: F.struct(t["role"].alias(role), t["content"].alias(text))
 
-def _turn_maker(role: str, text: str, roles: dict[str, str]) -> Callable[[Column], Column]:
+
+def _turn_maker(role: str, text: str, roles: dict[str, str], parts: Column) -> Callable[[Column, Column], Column]:
     named = F.create_map(*[F.lit(s) for kv in roles.items() for s in kv]) if roles else None
 
-    def turn(m: Column) -> Column:
+    def turn(m: Column, i: Column) -> Column:
         said = F.coalesce(m[role], F.lit(""))
         said = F.coalesce(named[said], said) if named is not None else said
-        return F.struct(said.alias("role"), F.coalesce(m[text], F.lit("")).alias("text"))
+        # a list in the place of the text is a text in parts; those without text, such as pictures, say nothing
+        pieces = F.from_json(m[text], f"array<struct<{','.join(f'{p}:string' for p in _PART)}>>", _NO_LIMIT)
+        joined = F.array_join(F.transform(pieces, lambda p: F.coalesce(p["text"], F.lit(""))), "")
+        whole = F.when(F.coalesce(F.get(parts, i), F.lit(False)), joined).otherwise(m[text])
+        return F.struct(said.alias("role"), F.coalesce(whole, F.lit("")).alias("text"))
 
     return turn
 
 
 def turns(raw: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
-    """Canonical turns of a JSON record by the mapping its fingerprint selects; null if there is none."""
+    """Canonical turns of a JSON record by the mapping its fingerprint selects; null if there is none.
+
+    A record with further fields that several layouts know has the paths of no single one; then
+    the layout with the most paths of those it has whole is taken. A list without elements has no fields.
+    """
     flat = sorted({p for x in layouts for _, own in x.fields for p in own})
     lists: dict[str, set[str]] = {}
     for x in layouts:
@@ -94,12 +141,16 @@ def turns(raw: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
         [f"`{p}` string" for p in flat]
         + [f"`{k}` array<struct<{','.join(f'`{f}`:string' for f in sorted(v))}>>" for k, v in sorted(lists.items())]
     )
-    seen, record = fingerprint(raw, layouts), F.from_json(raw, schema)
-    out = F.lit(None).cast(TURNS)
-    for x in layouts:
+    bones, record = skeleton(raw), F.from_json(raw, schema, _NO_LIMIT)
+    paths = _paths(bones, layouts)
+    seen = F.xxhash64(F.array_join(paths, ","))
+    exact, whole = F.lit(None).cast(TURNS), F.lit(None).cast(TURNS)
+    for x in sorted(layouts, key=lambda x: len(x.paths)):
         if x.turns:
             key, role, text = x.turns
-            made = F.coalesce(F.transform(record[key], _turn_maker(role, text, x.roles)), F.array().cast(TURNS))
+            in_parts = F.transform(_elements(bones, key), _is_list(text))
+            made = F.coalesce(F.transform(record[key], _turn_maker(role, text, x.roles, in_parts)), F.array().cast(TURNS))
+            empty = F.array_contains(paths, key) & (F.size(_elements(bones, key)) == 0)
         else:
             made = F.array(
                 *[
@@ -110,8 +161,11 @@ def turns(raw: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
                     for role, own in x.fields
                 ]
             )
-        out = F.when(seen == F.xxhash64(F.lit(",".join(sorted(x.paths)))), made.cast(TURNS)).otherwise(out)
-    return out
+            empty = F.lit(False)
+        own = F.array(*[F.lit(p) for p in x.paths])
+        exact = F.when(seen == F.xxhash64(F.lit(",".join(sorted(x.paths)))), made.cast(TURNS)).otherwise(exact)
+        whole = F.when((F.size(F.array_except(own, paths)) == 0) | empty, made.cast(TURNS)).otherwise(whole)
+    return F.coalesce(exact, whole)
 
 
 def escape(text: Column) -> Column:
@@ -189,20 +243,33 @@ def learned(formatted: Column, mask: Column) -> Column:
 
 
 def format_chats(records: DataFrame, raw: str = "raw", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Add layout (the fingerprint), formatted and loss_mask to records; other columns stay."""
-    out = records.withColumn("layout", fingerprint(F.col(raw), layouts)).withColumn("_said", turns(F.col(raw), layouts))
-    out = out.withColumn("_shown", render(F.col("_said")))
-    return out.withColumns({"formatted": F.col("_shown.formatted"), "loss_mask": F.col("_shown.loss_mask")}).drop("_said", "_shown")
+    """Add layout (the fingerprint), formatted and loss_mask to records, in place of columns of these names; others stay."""
+    held = "said"
+    while held in records.columns:
+        held += "_"
+    out = records.withColumns({"layout": fingerprint(F.col(raw), layouts), held: turns(F.col(raw), layouts)})
+    out = out.withColumn(held, render(F.col(held)))
+    return out.withColumns({"formatted": F.col(held)["formatted"], "loss_mask": F.col(held)["loss_mask"]}).drop(held)
 
 
-def gather(rows: DataFrame) -> DataFrame:
-    """One JSON record per conversation from rows by turn."""
-    turn = F.struct(
-        "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content")
-    )
+#: Layouts in which ``gather`` writes conversations; roles stay as they are.
+GATHERED = (
+    Layout(("messages", "messages[].content", "messages[].role"), ("messages", "role", "content")),
+    Layout(("dialog", "dialog[].author", "dialog[].said"), ("dialog", "author", "said")),
+)
+
+
+def gather(rows: DataFrame, layouts: tuple[Layout, ...] = GATHERED) -> DataFrame:
+    """One JSON record per conversation from rows by turn; conversations are dealt to ``layouts`` by their id."""
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     one = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("said"))
-    said = F.transform("said", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    return one.select("conv_id", F.to_json(F.struct(said.alias("messages"))).alias("raw"))
+    raw = F.lit(None).cast("string")
+    for i, x in enumerate(layouts):
+        key, role, text = x.turns
+        said = F.transform("said", _renamed(role, text))
+        mine = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(len(layouts))) == i
+        raw = F.when(mine, F.to_json(F.struct(said.alias(key)))).otherwise(raw)
+    return one.select("conv_id", raw.alias("raw"))
 
 
 def digests(chats: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featspan.llm.chat import digests, format_chats, gather
+from featspan.llm.chat import GATHERED, digests, format_chats, gather
 from featspan.llm.collocations import collocations
 from featspan.llm.decontam import judge
 from featspan.llm.embed_dedup import linked_vectors
@@ -267,7 +267,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     said = "<|im_end|><|im_start|>assistant ok"
     own = spark.sql("SELECT -1L AS conv_id, id AS turn, if(id = 0, 'user', 'assistant') AS role FROM range(2)")
-    return digests(format_chats(gather(rows.unionByName(own.withColumn("text", F.lit(said))))))
+    return digests(format_chats(gather(rows.unionByName(own.withColumn("text", F.lit(said)))), layouts=GATHERED))
 
 
 OP9_SQL = r"""
