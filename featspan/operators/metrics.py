@@ -1,132 +1,139 @@
-"""Scores of a predicted table (label, prediction, probability array) as Spark aggregates."""
+"""Scores of a predicted table (label, prediction, probability array) as Spark aggregates.
 
-from __future__ import annotations
+All metrics come from one mergeable state: per class the hits, labels, predictions and, where the ROC
+area is asked for, the pairs that are in order. Rows are folded to counts first, by class, score,
+label and prediction; the scores' ranges are then summed up apart and put together from their totals.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from featspan.session import shuffle_width
 
 BINARY, MULTI, REGRESSION = "01-Class", "Multi-Class", "Regression"
 METRICS = ("auc", "F1-score", "Acc")  # fixed values: metric names
 
+#: Counts per class: rows predicted and labelled as it, labelled, predicted; and over all rows the right ones, and their number.
+_COUNTS = ("hits", "labels", "predictions", "right", "rows")
 
-def _pair_counts(scored: DataFrame, group: list[str]) -> DataFrame:
-    """Area under the ROC curve per group of (score, positive, negative) rows.
 
-    Scores are folded to distinct values, range partitioned, summed up within each range, and
-    the ranges put together from their totals: no step sees all scores in one place.
+def _folded(scored: DataFrame, task: str, with_scores: bool) -> DataFrame:
+    """(class, score, counts): rows folded by class, score, label and prediction; two classes need one side only.
+
+    Several classes are those with a probability, and those a row is labelled or predicted as.
+    """
+    label, prediction = F.col("label").cast("int"), F.col("prediction").cast("int")
+    base = 1 if task == BINARY else 0
+    if task == BINARY:
+        classes = F.array(F.lit(1))
+    else:
+        last = F.greatest(F.size("probability") - 1, label, prediction, F.lit(0))
+        classes = F.sequence(F.lit(0), last)
+    rows = scored.select(label.alias("label"), prediction.alias("prediction"), "probability", F.explode(classes).alias("class"))
+    score = F.get("probability", F.col("class")) if with_scores else F.lit(None)
+    rows = rows.select("class", score.cast("double").alias("score"), "label", "prediction")
+    folded = rows.groupBy("class", "score", "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    is_label, is_prediction, first = F.col("label") == F.col("class"), F.col("prediction") == F.col("class"), F.col("class") == base
+    n = lambda when: F.when(when, F.col("n")).otherwise(0)
+    return folded.select(
+        "class", "score",
+        n(is_label & F.col("score").isNotNull()).alias("pos"), n(~is_label & F.col("score").isNotNull()).alias("neg"),
+        n(is_label & is_prediction).alias("hits"), n(is_label).alias("labels"), n(is_prediction).alias("predictions"),
+        n(first & (F.col("label") == F.col("prediction"))).alias("right"), n(first).alias("rows"),
+    )
+
+
+def _sums(*names: str) -> list[Column]:
+    return [F.sum(c).alias(c) for c in names]
+
+
+def class_state(scored: DataFrame, task: str, with_scores: bool = True) -> DataFrame:
+    """One row per class: the counts and, with scores, pos, neg and wins, the pairs in order (ties are half).
+
+    Scores are range partitioned, summed up within each range, and the ranges put together
+    from their totals: no step sees all scores in one place.
     """
-    spark = scored.sparkSession
-    folded = scored.groupBy(*group, "score").agg(
-        F.sum(F.col("positive").cast("long")).alias("pos"),
-        F.sum((~F.col("positive")).cast("long")).alias("neg"),
-    )
-    ranged = folded.repartitionByRange(shuffle_width(spark), *group, "score").withColumn(
-        "range", F.spark_partition_id()
-    )
-    below = (
-        Window.partitionBy(*group, "range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    folded = _folded(scored, task, with_scores)
+    if not with_scores:
+        return folded.groupBy("class").agg(*_sums(*_COUNTS))
+    ranged = folded.repartitionByRange(shuffle_width(scored.sparkSession), "class", "score")
+    by_score = ranged.groupBy("class", "score").agg(*_sums("pos", "neg", *_COUNTS)).withColumn("range", F.spark_partition_id())
+    below = Window.partitionBy("class", "range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     wins = F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") * F.lit(0.5))
-    parts = (
-        ranged.withColumn("wins", wins)
-        .groupBy(*group, "range")
-        .agg(F.sum("wins").alias("wins"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    )
-    # One row per range from here on.
-    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    total = parts.withColumn(
-        "wins", F.col("wins") + F.col("pos") * F.coalesce(F.sum("neg").over(earlier), F.lit(0))
-    )
-    pairs = F.sum("pos") * F.sum("neg")
-    area = F.try_divide(F.sum("wins"), pairs.cast("double"))
-    return total.groupBy(*group).agg(area.alias("value"))
+    parts = by_score.withColumn("wins", wins).groupBy("class", "range").agg(*_sums("wins", "pos", "neg", *_COUNTS))
+    parts = parts.repartition(1)  # one row per class and range
+    earlier = Window.partitionBy("class").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.col("pos") * F.coalesce(F.sum("neg").over(earlier), F.lit(0))
+    return parts.withColumn("wins", F.col("wins") + ahead).groupBy("class").agg(*_sums("wins", "pos", "neg", *_COUNTS))
 
 
-def auc_binary(scored: DataFrame) -> DataFrame:
-    """Area under the ROC curve of the positive class, ties counting half."""
-    rows = scored.select(F.col("probability")[1].alias("score"), (F.col("label") == 1).alias("positive"))
-    return _pair_counts(rows, [])
+def _value(name: str, task: str) -> Column:
+    """A metric from the classes' state."""
+    if name == "auc":
+        # the mean over classes; one without both kinds of rows has no area and is left out
+        return F.avg(F.try_divide(F.col("wins"), (F.col("pos") * F.col("neg")).cast("double")))
+    if name == "Acc":
+        return F.try_divide(F.sum("right").cast("double"), F.sum("rows"))
+    f1 = F.try_divide(2.0 * F.col("hits"), F.col("labels") + F.col("predictions"))
+    # of two classes the positive one, 0 when there is nothing to find and nothing found; else the mean over those seen
+    return F.coalesce(F.max(f1), F.lit(0.0)) if task == BINARY else F.avg(f1)
 
 
-def auc_macro(scored: DataFrame) -> DataFrame:
-    """Unweighted mean over classes of the one-against-rest area; classes are in index order.
+def _one(scored: DataFrame, name: str, task: str) -> DataFrame:
+    return class_state(scored, task, name == "auc").agg(_value(name, task).alias("value"))
 
-    A class without both kinds of rows has no area and is left out of the mean.
-    """
-    rows = scored.select("label", F.posexplode("probability").alias("class", "score")).select(
-        "class", "score", (F.col("label") == F.col("class")).alias("positive")
-    )
-    return _pair_counts(rows, ["class"]).agg(F.avg("value").alias("value"))
 
+def auc_binary(scored: DataFrame) -> DataFrame:
+    """Area under the ROC curve of the positive class, ties counting half."""
+    return _one(scored, "auc", BINARY)
 
-def confusion(scored: DataFrame) -> DataFrame:
-    """Row counts per (label, prediction)."""
-    return scored.groupBy(
-        F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction")
-    ).agg(F.count(F.lit(1)).alias("n"))
+
+def auc_macro(scored: DataFrame) -> DataFrame:
+    """Unweighted mean over classes of the one-against-rest area; classes are in index order."""
+    return _one(scored, "auc", MULTI)
 
 
 def f1_positive(scored: DataFrame) -> DataFrame:
     """F1 of class 1; 0 when there is nothing to find and nothing found."""
-    n, y, z = F.col("n"), F.col("label") == 1, F.col("prediction") == 1
-    hits = F.sum(F.when(y & z, n).otherwise(0))
-    misses = F.sum(F.when(y != z, n).otherwise(0))
-    value = F.coalesce(F.try_divide(2.0 * hits, 2.0 * hits + misses), F.lit(0.0))
-    return confusion(scored).agg(value.alias("value"))
+    return _one(scored, "F1-score", BINARY)
 
 
 def f1_macro(scored: DataFrame) -> DataFrame:
     """Unweighted mean of the F1 of every class seen as label or prediction."""
-    hit = F.col("label") == F.col("prediction")
-    sides = F.array(
-        F.struct(F.col("label").alias("class"), F.col("n").alias("as_label"), F.lit(0).cast("long").alias("as_prediction")),
-        F.struct(F.col("prediction").alias("class"), F.lit(0).cast("long").alias("as_label"), F.col("n").alias("as_prediction")),
-    )
-    per_class = (
-        confusion(scored)
-        .select(F.when(hit, F.col("n")).otherwise(0).alias("hits"), F.inline(sides))
-        .groupBy("class")
-        .agg(
-            F.sum(F.when(F.col("as_label") > 0, F.col("hits")).otherwise(0)).alias("hits"),
-            (F.sum("as_label") + F.sum("as_prediction")).alias("seen"),
-        )
-    )
-    return per_class.agg(F.avg(2.0 * F.col("hits") / F.col("seen")).alias("value"))
+    return _one(scored, "F1-score", MULTI)
 
 
 def accuracy(scored: DataFrame) -> DataFrame:
     """Share of rows predicted right."""
-    n = F.col("n")
-    right = F.sum(F.when(F.col("label") == F.col("prediction"), n).otherwise(0))
-    return confusion(scored).agg(F.try_divide(right.cast("double"), F.sum(n)).alias("value"))
+    return _one(scored, "Acc", BINARY)
+
+
+def known(name: str, task: str) -> bool:
+    return name in METRICS and task in (BINARY, MULTI)
 
 
 def metric(scored: DataFrame, name: str, task: str, compatible: bool = True) -> DataFrame:
-    """One metric as a one-row table. Unknown metrics and regression tasks score 0, or raise when
-    not ``compatible``."""
-    by_task = {
-        ("auc", BINARY): auc_binary,
-        ("auc", MULTI): auc_macro,
-        ("F1-score", BINARY): f1_positive,
-        ("F1-score", MULTI): f1_macro,
-        ("Acc", BINARY): accuracy,
-        ("Acc", MULTI): accuracy,
-    }
-    if (name, task) in by_task:
-        return by_task[name, task](scored)
-    if not compatible:
-        raise ValueError(f"no metric {name!r} for task {task!r}")
-    return scored.sparkSession.range(1).select(F.lit(0.0).alias("value"))
+    """One metric as a one-row table (value)."""
+    return metrics(scored, (name,), task, compatible).select(F.col("scores")[name].alias("value"))
 
 
 def metrics(scored: DataFrame, names, task: str, compatible: bool = True) -> DataFrame:
-    """Composite score: (score = sum of the listed metrics, scores = each by name), one row."""
-    rows = [metric(scored, n, task, compatible).select(F.lit(n).alias("name"), "value") for n in names]
-    listed = reduce(DataFrame.unionByName, rows)
-    return listed.groupBy().agg(
-        F.sum("value").alias("score"),
-        F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("scores"),
-    )
+    """Composite score: (score = sum of the listed metrics, scores = each by name), one row.
+
+    Unknown metrics and regression tasks score 0, or raise when not ``compatible``.
+    """
+    found = [n for n in names if known(n, task)]
+    if not compatible and len(found) < len(names):
+        raise ValueError(f"no metric {next(n for n in names if n not in found)!r} for task {task!r}")
+    zero = F.lit(0.0)
+    if found:
+        one = class_state(scored, task, "auc" in found).agg(*[_value(n, task).alias(n) for n in found])
+    else:
+        one = scored.sparkSession.range(1)
+    values = {n: F.col(f"`{n}`") if n in found else zero for n in names}
+    total = zero
+    for value in values.values():
+        total = total + F.coalesce(value, zero)
+    listed = [x for n, value in values.items() for x in (F.lit(n), value)]
+    return one.select(total.alias("score"), (F.create_map(*listed) if listed else F.create_map()).alias("scores"))

@@ -7,6 +7,8 @@ the steps of a path.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from featspan.functions.scalars import unit_hash
@@ -167,7 +169,7 @@ def _matrices(lifts: DataFrame, codes: DataFrame) -> DataFrame:
     )
 
 
-def path_draws(candidates: DataFrame, key_columns: DataFrame, steps: int, size: int, seed: str) -> DataFrame:
+def path_draws(candidates: DataFrame, key_columns: DataFrame | Sequence[str], steps: int, size: int, seed: str) -> DataFrame:
     """The pool of every step: ``size`` candidates by a biased draw each; step, scheme fields, position."""
     spread = biased_weight(candidates, key_columns).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
     salted = F.concat(F.col("feature"), F.lit(f"{seed}/path"), F.col("step").cast("string"))

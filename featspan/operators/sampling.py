@@ -7,6 +7,8 @@ is a plain distributed top-k.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from featspan.functions.scalars import unit_hash
@@ -33,22 +35,28 @@ def sample_uniform(candidates: DataFrame, n: int, seed: int | str) -> DataFrame:
     return ranked(drawn, "__draw", n).select(*FIELDS, "position")
 
 
-def biased_weight(candidates: DataFrame, key_columns: DataFrame, share: float = KEY_SHARE) -> DataFrame:
-    """Reweight so that with chance ``share`` the column is drawn from ``key_columns`` (column).
+def key_names(key_columns: DataFrame | Sequence[str]) -> list[str]:
+    """The key columns by name; there are no more of them than columns in the log."""
+    if isinstance(key_columns, DataFrame):
+        key_columns = [r["column"] for r in key_columns.select("column").distinct().collect()]
+    return sorted(set(key_columns))
+
+
+def biased_weight(candidates: DataFrame, key_columns: DataFrame | Sequence[str], share: float = KEY_SHARE) -> DataFrame:
+    """Reweight so that with chance ``share`` the column is drawn from ``key_columns`` (their names, or a table of them).
 
-    Without key columns the weights stay as they are.
+    Without key columns the weights stay as they are. Names travel as literals, so both weights come
+    from one pass over the candidates.
     """
-    keys = key_columns.select("column").distinct()
-    counted = keys.agg(F.count(F.lit(1)).alias("n")).scalar()
-    marked = candidates.join(keys.withColumn("__key", F.lit(True)), "column", "left")
-    given_column = F.col("weight") * F.col("n_columns")
-    from_keys = F.when(F.col("__key"), F.try_divide(given_column, counted)).otherwise(0.0)
-    mixed = share * from_keys + (1 - share) * F.col("weight")
-    return marked.withColumn("weight", F.when(counted > 0, mixed).otherwise(F.col("weight"))).drop("__key")
+    keys = key_names(key_columns)
+    if not keys:
+        return candidates
+    from_keys = F.when(F.col("column").isin(keys), F.col("weight") * F.col("n_columns") / len(keys)).otherwise(0.0)
+    return candidates.withColumn("weight", share * from_keys + (1 - share) * F.col("weight"))
 
 
 def sample_biased(
-    candidates: DataFrame, key_columns: DataFrame, n: int, seed: int | str, share: float = KEY_SHARE
+    candidates: DataFrame, key_columns: DataFrame | Sequence[str], n: int, seed: int | str, share: float = KEY_SHARE
 ) -> DataFrame:
     return sample_uniform(biased_weight(candidates, key_columns, share), n, seed)
 

@@ -148,11 +148,7 @@ def _scores(model, matrix: DataFrame, names, config: TaskConfig) -> dict[str, fl
     scored = score(model, matrix, config.task)
     if config.task == REGRESSION:
         return dict.fromkeys(names, 0.0)
-    several = len(names) > 1
-    scored = scored.persist() if several else scored
     found = metrics(scored, names, config.task).first()["scores"]
-    if several:
-        scored.unpersist()
     return {n: float(found[n]) if found[n] is not None else 0.0 for n in names}
 
 

@@ -121,7 +121,7 @@ def guided_scheme(
     fields = facts.select(*sampling.FIELDS).distinct()
     flat = facts.select("trial", "valid", "test", F.col("feature").alias("column"), "splits")
     keys = t.key_schemes(flat).withColumnRenamed("column", "feature").join(fields, "feature").persist()
-    key_columns = keys.select("column").distinct()
+    key_columns = sampling.key_names(keys)
 
     def pool(tag: str, size: int) -> DataFrame:
         return sampling.sample_biased(candidates, key_columns, size, f"{seed}/{tag}")
@@ -175,7 +175,7 @@ def _pair_history(ledger: Ledger, config: SearchConfig, seed: str) -> DataFrame:
     return trees.pair_history(positive, negative, trials)
 
 
-def _grow_paths(ledger: Ledger, fields: DataFrame, candidates: DataFrame, key_columns: DataFrame, config: SearchConfig, seed: str) -> DataFrame:
+def _grow_paths(ledger: Ledger, fields: DataFrame, candidates: DataFrame, key_columns: list[str], config: SearchConfig, seed: str) -> DataFrame:
     """(feature, position): what the first paths take, read off path by path, each feature once."""
     trials = ledger.trials()
     paths = trials.select("trial", F.posexplode("path").alias("position", "feature")).join(fields, "feature")
