@@ -28,10 +28,10 @@ def _folded(scored: DataFrame, task: str, with_scores: bool) -> DataFrame:
     if task == BINARY:
         classes = F.array(F.lit(1))
     else:
-        last = F.greatest(F.size("probability") - 1, label, prediction, F.lit(0))
-        classes = F.sequence(F.lit(0), last)
-    rows = scored.select(label.alias("label"), prediction.alias("prediction"), "probability", F.explode(classes).alias("class"))
+        listed = [F.size("probability") - 1] if with_scores else []
+        classes = F.sequence(F.lit(0), F.greatest(*listed, label, prediction, F.lit(0)))
     score = F.get("probability", F.col("class")) if with_scores else F.lit(None)
+    rows = scored.select(label.alias("label"), prediction.alias("prediction"), *(["probability"] if with_scores else []), F.explode(classes).alias("class"))
     rows = rows.select("class", score.cast("double").alias("score"), "label", "prediction")
     folded = rows.groupBy("class", "score", "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
     is_label, is_prediction, first = F.col("label") == F.col("class"), F.col("prediction") == F.col("class"), F.col("class") == base
