@@ -19,6 +19,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from featspan.llm.arrays import cut, let, pieces_of, running
+
 TURNS = "array<struct<role:string,text:string>>"
 OPEN, SHUT = "<|im_start|>", "<|im_end|>"
 #: Other names of the canonical roles.
@@ -198,28 +200,17 @@ def render(said: Column) -> Column:
         ),
     )
     end = len(SHUT) + 1
-    mask = F.aggregate(
+    spans = running(
         parts,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("mask")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["head"]) + F.length(p["body"]) + end).alias("at"),
-            F.when(
-                p["learn"],
-                F.concat(
-                    a["mask"],
-                    F.array(
-                        F.struct(
-                            (a["at"] + F.length(p["head"])).cast("long").alias("start"),
-                            (a["at"] + F.length(p["head"]) + F.length(p["body"])).cast("long").alias("end"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(a["mask"])
-            .alias("mask"),
+        F.lit(0),
+        lambda at, p: at + F.length(p["head"]) + F.length(p["body"]) + end,
+        lambda at, p: F.when(
+            p["learn"], F.struct((at + F.length(p["head"])).alias("start"), (at + F.length(p["head"]) + F.length(p["body"])).alias("end"))
         ),
-        lambda a: a["mask"],
+        "bigint",
+        "struct<start:bigint,end:bigint>",
     )
+    mask = F.filter(spans, lambda m: m.isNotNull())
     text = F.array_join(F.transform(parts, lambda p: F.concat(p["head"], p["body"], F.lit(SHUT + "\n"))), "")
     return F.struct(text.alias("formatted"), mask.alias("loss_mask"))
 
@@ -238,8 +229,7 @@ def read_back(formatted: Column) -> Column:
 
 def learned(formatted: Column, mask: Column) -> Column:
     """All text under the mask, unescaped."""
-    spans = F.transform(mask, lambda m: unescape(F.substring(formatted, (m["start"] + 1).cast("int"), (m["end"] - m["start"]).cast("int"))))
-    return F.array_join(spans, "")
+    return let(pieces_of(formatted), lambda pieces: F.array_join(F.transform(mask, lambda m: unescape(cut(pieces, m["start"], m["end"]))), ""))
 
 
 def format_chats(records: DataFrame, raw: str = "raw", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:

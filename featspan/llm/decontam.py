@@ -257,13 +257,18 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int =
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
-    """The documents without contaminated ones, all columns; a null doc_id is never dropped.
+    """The documents without contaminated ones, all columns; every row is judged by its own text, with an id or without.
 
-    The ids that go are a written table, so that Spark knows its size: a small one is sent to the
-    tasks, a large one joined by shuffle.
+    The hashes of the texts that go are a written table, so that Spark knows its size: a small one is
+    sent to the tasks, a large one joined by shuffle.
     """
-    bad = materialise(judge(docs, benchmark, window, share).where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    key = "_text_key"
+    while key in docs.columns:
+        key = "_" + key
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    judged = judge(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark, window, share)
+    bad = materialise(judged.where("contaminated").select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return keyed.join(bad, key, "left_anti").select(*docs.columns)
 
 
 def digest(items: list[str]) -> str:

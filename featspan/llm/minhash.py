@@ -311,8 +311,19 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     """The documents that are the smallest of their component, all columns.
 
+    Rows without an id are documents too: they come after all others, in the order of a hash of their
+    text, and of equal ones one stays. Rows that repeat an id stay or go together.
     What goes is a written table of ids, so that Spark knows its size: a small one is sent to the
     tasks, a large one joined by shuffle.
     """
-    gone = near_duplicates(docs, threshold).where("NOT kept").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
-    return docs.join(materialise(gone, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
+    key = "_near_key"
+    while key in docs.columns:
+        key = "_" + key
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    beyond = F.lit(1 << 62) + F.xxhash64(text).bitwiseAND(F.lit((1 << 61) - 1))
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), beyond))
+    gone = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), threshold).where("NOT kept").select(F.col("doc_id").alias(key)).distinct()
+    left = keyed.join(materialise(gone, "near-copies"), key, "left_anti")
+    # copies among rows without an id share a key; texts without words are copies of nothing
+    twice = F.col("doc_id").isNull() & text.rlike(r"[^\x20\x09-\x0D]")
+    return left.where(~twice).unionByName(left.where(twice).dropDuplicates([key])).select(*docs.columns)

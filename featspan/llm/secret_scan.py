@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from featspan.llm.arrays import cut, pieces_of, running
+
 #: The known forms, in the order in which spans of equal start are listed.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -55,25 +57,17 @@ def _placed(text: Column, pattern: str, group: int = 0) -> Column:
         F.transform(F.slice(gaps, F.lit(1), F.size(gaps) - 1), F.length),
         lambda m, gap: F.struct(gap.alias("gap"), m["size"].alias("size"), m["found"].alias("found")),
     )
-    kind = "array<struct<start:int,end:int,found:string>>"
-    out = F.aggregate(
+    kind = "struct<start:int,end:int,found:string>"
+    out = running(
         steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans")),
-        lambda a, s: F.struct(
-            (a["at"] + s["gap"] + s["size"]).alias("at"),
-            F.concat(
-                a["spans"],
-                F.array(
-                    F.struct(
-                        (a["at"] + s["gap"]).alias("start"), (a["at"] + s["gap"] + s["size"]).alias("end"), s["found"].alias("found")
-                    )
-                ),
-            ).alias("spans"),
-        ),
-        lambda a: a["spans"],
+        F.lit(0),
+        lambda at, s: at + s["gap"] + s["size"],
+        lambda at, s: F.struct((at + s["gap"]).alias("start"), (at + s["gap"] + s["size"]).alias("end"), s["found"].alias("found")),
+        "int",
+        kind,
     )
     # most texts have no match: one pass over the text decides
-    return F.when(text.rlike(pattern), out).otherwise(F.array().cast(kind))
+    return F.when(text.rlike(pattern), out).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def known(text: Column) -> Column:
@@ -221,13 +215,50 @@ def find(docs: DataFrame, bins: dict[str, int]) -> tuple[DataFrame, str, str]:
         return out.withColumn(found, F.col(base)), base, found
     limits = F.create_map(*[F.lit(x) for kv in sorted(bins.items()) for x in kv])
 
-    def within(t: Column) -> Column:
-        """Whether the spans of ``base``, which are in order of their starts, cover ``t`` without a gap."""
-        reached = F.aggregate(base, t["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at))
-        return reached >= t["end"]
-
-    random = F.filter(tested(text), lambda t: F.coalesce(t["bin"] >= limits[t["stratum"]], F.lit(False)) & ~within(t))
-    return out.withColumn(found, F.array_sort(F.concat(base, F.transform(random, _as_kind(3)).cast(_SPANS)))), base, found
+    hits = F.filter(tested(text), lambda t: F.coalesce(t["bin"] >= limits[t["stratum"]], F.lit(False)))
+    held = _unused(out, "hits")
+    out = out.withColumn(held, F.transform(hits, _as_kind(3)).cast(_SPANS))
+    # where there is nothing known there is nothing to compare with
+    random = F.when((F.size(base) > 0) & (F.size(held) > 0), _not_within(F.col(held), F.col(base))).otherwise(F.col(held))
+    return out.withColumn(found, F.array_sort(F.concat(F.col(base), random))).drop(held), base, found
+
+
+def _covers(base: Column) -> Column:
+    """Structs (start, end) of the stretches that spans, in order of their starts, cover without a gap."""
+    grown = running(
+        base,
+        F.lit(-1),
+        lambda end, s: F.greatest(end, s["end"]),
+        lambda end, s: F.struct(s["start"].alias("start"), F.greatest(end, s["end"]).alias("end"), (s["start"] > end).alias("new")),
+        "int",
+        "struct<start:int,end:int,new:boolean>",
+    )
+    # from the back: the end of a stretch is that of its last span
+    ended = running(
+        F.reverse(grown),
+        F.struct(F.lit(-1).alias("end"), F.lit(True).alias("new")),
+        lambda later, s: F.struct(F.when(later["new"], s["end"]).otherwise(later["end"]).alias("end"), s["new"].alias("new")),
+        lambda later, s: F.struct(s["start"].alias("start"), F.when(later["new"], s["end"]).otherwise(later["end"]).alias("end"), s["new"].alias("new")),
+        "struct<end:int,new:boolean>",
+        "struct<start:int,end:int,new:boolean>",
+    )
+    return F.filter(ended, lambda s: s["new"])
+
+
+def _not_within(spans: Column, base: Column) -> Column:
+    """The spans that do not lie wholly in a stretch covered by ``base``."""
+    rows = "struct<start:int,kind:int,end:int>"
+    stretches = F.transform(_covers(base), lambda s: F.struct(s["start"].alias("start"), F.lit(-1).alias("kind"), s["end"].alias("end")))
+    both = F.array_sort(F.concat(stretches.cast(f"array<{rows}>"), spans))
+    free = running(
+        both,
+        F.lit(-1),
+        lambda end, s: F.when(s["kind"] < 0, s["end"]).otherwise(end),
+        lambda end, s: F.when((s["kind"] >= 0) & (s["end"] > end), s),
+        "int",
+        rows,
+    )
+    return F.filter(free, lambda s: s.isNotNull())
 
 
 def _unused(docs: DataFrame, name: str) -> str:
@@ -267,25 +298,20 @@ def redact(docs: DataFrame, rate: float = 0.05, mask: str = "[secret]") -> DataF
     """Documents with every span (overlapping ones as one) replaced by ``mask``; n_chars follows if there is one."""
     spans, _, found = find(docs, discovery_bins(docs.select("text"), rate))
     parts = _unused(spans, "kept")
+    pieces = pieces_of(F.col("text"))
     # what lies between the spans, then what follows the last one
-    kept = F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(
-                (s["start"] > a["at"]) | (F.size(a["parts"]) == 0),
-                F.concat(a["parts"], F.array(F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]))),
-            )
-            .otherwise(a["parts"])
-            .alias("parts"),
-        ),
+    kept = running(
+        F.col(found),
+        F.lit(-1),
+        lambda at, s: F.greatest(at, s["end"]),
+        lambda at, s: F.when(s["start"] > at, cut(F.col(parts), F.greatest(at, F.lit(0)), s["start"])),
+        "int",
+        "string",
     )
-    text = F.when(
-        F.size(found) > 0,
-        F.array_join(F.concat(F.col(parts)["parts"], F.array(F.substring(F.col("text"), F.col(parts)["at"] + 1, F.length("text")))), mask),
-    ).otherwise(F.col("text"))
-    out = spans.withColumn(parts, kept).withColumn("text", text)
+    ends = F.array_max(F.transform(found, lambda s: s["end"]))
+    masked = F.array_join(F.concat(F.filter(kept, lambda x: x.isNotNull()), F.array(cut(F.col(parts), ends, F.length("text")))), mask)
+    out = spans.withColumn(parts, F.when(F.size(found) > 0, pieces))
+    out = out.withColumn("text", F.when(F.size(found) > 0, masked).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         same = F.size(found) == 0
         out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))

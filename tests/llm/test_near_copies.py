@@ -87,3 +87,11 @@ def test_repeats_of_odd_rows(spark):
     by = sorted(((r.doc_id or 0, r.n_words, r.n_removed) for r in got))
     assert by == [(0, 20, 20), (5, 20, 0), (5, 20, 0), (7, 40, 40), (9, 0, 0), (9, 0, 0)]
     assert repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_without_an_id_are_copies_too(spark):
+    run, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(None, run, 1), (None, run + " end", 2), (3, run, 3), (None, other, 4), (None, other, 5), (None, "", 6), (None, None, 7), (None, " ", 8)]
+    kept = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, _near_key int")).collect()
+    assert sorted(r._near_key for r in kept if r._near_key not in (4, 5)) == [3, 6, 7, 8]
+    assert sum(r._near_key in (4, 5) for r in kept) == 1

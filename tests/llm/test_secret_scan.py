@@ -2,6 +2,7 @@ import random
 import string
 
 from plain import known_secrets, masked, sha256
+from pyspark.sql import functions as F
 
 from featspan.llm import secret_scan as s
 
@@ -98,3 +99,27 @@ def test_the_sql_twin_agrees_on_random_runs(spark):
     got = sorted(tuple(r) for r in s.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == sorted(con.execute(OP1_SQL).fetchall())
     assert sum("random" in r[5] for r in got) > 50
+
+
+def test_many_matches_in_one_text(spark):
+    rng = random.Random(9)
+    letters = string.ascii_letters + string.digits
+    words = ["token=abcdef%d" % i if i % 2 else "".join(rng.choice(letters) for _ in range(30)) for i in range(6000)]
+    words[100] = "é🙂" + "f0" * 700 + "=token=abcdefg"
+    text = " ".join(words)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = s.scan(df).first()
+    assert row.n_assign == 3001 and row.n_hex == 1
+    spans = [x.split(":") for x in row.spans.split(",")]
+    assert spans == sorted(spans, key=lambda x: (int(x[1]), s.KINDS.index(x[0]), int(x[2])))
+    assert sum(x[0] == "random" for x in spans) > 2500
+    assert s.redact(df).first().text == masked(text, [(int(a), k, int(b)) for k, a, b in spans])
+
+
+def test_discoveries_inside_known_stretches(spark):
+    base = [(0, 0, 10), (10, 2, 20), (30, 0, 40), (35, 2, 50)]
+    spans = [(0, 3, 20), (5, 3, 21), (19, 3, 31), (31, 3, 50), (45, 3, 51), (20, 3, 25), (50, 3, 60)]
+    kind = "array<struct<start:int,kind:int,end:int>>"
+    df = spark.createDataFrame([(base, spans)], f"base {kind}, spans {kind}")
+    got = df.select(s._not_within(F.col("spans"), F.col("base")).alias("x")).first().x
+    assert [tuple(r) for r in got] == [(5, 3, 21), (19, 3, 31), (20, 3, 25), (45, 3, 51), (50, 3, 60)]
