@@ -8,7 +8,7 @@ from featspan.config import Layout, TaskConfig
 from featspan.functions.days import left_days
 from featspan.functions.scalars import fill_zero
 from featspan.operators.rownum import global_row_number
-from featspan.operators.skew import SALT, spread
+from featspan.operators.skew import MIN_ROWS, SALT, copies_of, heavy_keys, key_hash, spread
 
 
 def transaction_features(transactions: DataFrame) -> DataFrame:
@@ -50,16 +50,38 @@ def member_features(members: DataFrame) -> DataFrame:
     return fill_zero(df)
 
 
-def outer_merge(left: DataFrame, right: DataFrame, on: tuple[str, ...] = ("ID", "timestep")) -> DataFrame:
+def outer_merge(
+    left: DataFrame, right: DataFrame, on: tuple[str, ...] = ("ID", "timestep"), min_rows: int = MIN_ROWS
+) -> DataFrame:
     """Full outer join on user and day, keys coalesced. Rows of a day that has several stay several.
 
-    Spark cannot split a skewed key of a full outer join, so it is put together from a left join and
-    the right side's unmatched rows; both joins can be split. Unmatched rows are told by distinct keys,
-    which combine before the shuffle.
+    Each side is read and shuffled once. Spark cannot split a skewed key of a full outer join, so a
+    sketch of the keys tells the heavy ones first. Their rows on the heavy side (the left one, if both
+    are) are dealt to copies of the key by a hash of the row, and the other side's are repeated per copy.
+    In a copy that got none of the heavy side's rows the repeated ones look unmatched; as the key does
+    have rows on the heavy side, they are dropped.
     """
     keys = list(on)
-    only_right = right.join(left.select(*keys).distinct(), keys, "left_anti")
-    return left.join(right, keys, "left").unionByName(only_right, allowMissingColumns=True)
+    heavy_left, heavy_right = heavy_keys([left, right], on, min_rows)
+    heavy_right = {k: n for k, n in heavy_right.items() if k not in heavy_left}
+    if not heavy_left and not heavy_right:
+        return left.join(right, keys, "full_outer")
+
+    def salted(df: DataFrame, dealt: dict[int, int], repeated: dict[int, int], mark: str) -> DataFrame:
+        key = key_hash(on)
+        deal, again = copies_of(key, dealt), copies_of(key, repeated)
+        salts = F.when(deal.isNotNull(), F.array(F.pmod(F.xxhash64(*df.columns), deal).cast("int")))
+        salts = salts.when(again.isNotNull(), F.sequence(F.lit(0), again - 1)).otherwise(F.array(F.lit(0)))
+        return df.select("*", F.lit(True).alias(mark), F.explode(salts).alias(SALT))
+
+    both = salted(left, heavy_left, heavy_right, "__left").join(
+        salted(right, heavy_right, heavy_left, "__right"), [*keys, SALT], "full_outer"
+    )
+    key = key_hash(on)
+    spurious = (copies_of(key, heavy_left).isNotNull() & F.col("__left").isNull()) | (
+        copies_of(key, heavy_right).isNotNull() & F.col("__right").isNull()
+    )
+    return both.where(~spurious).drop("__left", "__right", SALT)
 
 
 def attach_static(

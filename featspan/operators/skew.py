@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from featspan.session import shuffle_width
 
@@ -47,3 +47,43 @@ def spread(
     dealt = marked[0].withColumn(SALT, F.pmod(F.xxhash64(*by), copies).cast("int"))
     repeated = marked[1].withColumn(SALT, F.explode(F.sequence(F.lit(0), copies - 1)))
     return dealt.drop("__copies"), repeated.drop("__copies")
+
+
+def heavy_keys(sides: list[DataFrame], keys: tuple[str, ...], min_rows: int = MIN_ROWS) -> list[dict[int, int]]:
+    """Per side the hashes of keys with more than 1/(4 * shuffle width) of its rows, and a number of copies each.
+
+    One pass over the key columns feeds a frequent-items sketch per side, which is merged without a
+    shuffle of rows. There can be fewer than 4 * width such keys. A key the sketch misses by its error is
+    only not spread.
+    """
+    spark = sides[0].sparkSession
+    most = 4 * shuffle_width(spark)
+    hashed = [df.select(F.lit(i).alias("__side"), key_hash(keys).alias("__hash")) for i, df in enumerate(sides)]
+    union = hashed[0]
+    for df in hashed[1:]:
+        union = union.unionByName(df)
+    tracked = min(max(16 * most, 4096), 1_000_000)
+    sketch = union.where("__hash IS NOT NULL").groupBy("__side").agg(
+        F.count(F.lit(1)).alias("rows"), F.expr(f"approx_top_k(__hash, {min(most, tracked)}, {tracked})").alias("top")
+    )
+    out: list[dict[int, int]] = [{} for _ in sides]
+    for row in sketch.collect():
+        share = max(row["rows"] / most, min_rows)
+        out[row["__side"]] = {t["item"]: -int(-t["count"] // share) for t in row["top"] if t["count"] > share}
+    return out
+
+
+def key_hash(keys: tuple[str, ...]) -> Column:
+    """A 64-bit hash of a key; null where a part of it is null, as such keys match nothing."""
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    return F.when(whole, F.xxhash64(*keys))
+
+
+def copies_of(hashed: Column, heavy: dict[int, int]) -> Column:
+    """The number of copies of a heavy key; null for others."""
+    if not heavy:
+        return F.lit(None).cast("int")
+    listed = F.create_map(*[F.lit(x) for pair in sorted(heavy.items()) for x in pair])
+    return F.try_element_at(listed, hashed)

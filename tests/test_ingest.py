@@ -17,7 +17,8 @@ from featspan.operators.ingest import (
     train_tables as cut_train,
 )
 from featspan.operators.rownum import global_row_number, holdout
-from featspan.operators.skew import find_hot_users
+from featspan.operators.skew import find_hot_users, heavy_keys
+from featspan.session import work_dir
 from featspan.sources import readers
 
 
@@ -96,6 +97,38 @@ def test_merge_is_the_full_outer_join(spark):
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
 
 
+@pytest.mark.parametrize(("hot_left", "hot_right"), [(400, 3), (3, 400), (120, 90), (400, 0), (0, 400), (0, 0)])
+def test_merge_spreads_heavy_keys(spark, hot_left, hot_right):
+    rnd = random.Random(hot_left)
+    side = lambda hot, n: [(1, 1, i) for i in range(hot)] + [(rnd.randrange(40), rnd.randrange(9), 1000 + i) for i in range(n)] + [(None, 1, 5), (2, None, 6)]
+    left = spark.createDataFrame(side(hot_left, 200), "ID int, timestep int, a int")
+    right = spark.createDataFrame(side(hot_right, 200), "ID int, timestep int, b int").where("ID <> 1 or timestep <> 1 or b < 1000")
+    got = outer_merge(left, right, min_rows=50)
+    want = left.join(right, ["ID", "timestep"], "full_outer")
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert got.columns == want.columns
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    if hot_left == 400 or hot_right == 400:
+        assert any(heavy_keys([left, right], ("ID", "timestep"), 50))
+
+
+def test_merge_reads_and_shuffles_each_side_once(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        path = [f"{work_dir(spark)}/{side}-{random.random()}" for side in "lr"]
+        for p, n in zip(path, (300, 40)):
+            spark.range(n).selectExpr("id % 7 as ID", "if(id % 3 = 0, id % 5, 1) as timestep", "id as v").write.parquet(p)
+        sides = [spark.read.parquet(p).withColumnRenamed("v", c) for p, c in zip(path, "ab")]
+        for rows in (20, 10_000):
+            plan = outer_merge(*sides, min_rows=rows)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 2 and plan.count("FileScan") == 2
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_static_attributes_reach_rows_of_hot_users(spark):
     log = spark.createDataFrame([(7 if i % 3 else i, i % 30, i) for i in range(300)], "ID int, timestep int, a int")
     static = spark.createDataFrame([(i, i * 10) for i in range(0, 300, 2)] + [(7, 70)], "ID int, m int")
