@@ -150,8 +150,24 @@ def test_row_numbers_cover_repeats(spark, monkeypatch):
     assert hot == list(range(hot[0], hot[0] + 100))
     again = global_row_number(df.repartition(5), salt="q")
     assert sorted(got.collect()) == sorted(again.collect())
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan.split("BroadcastExchange")[0]
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("users", [1, 3, 5000])
+def test_row_numbers_of_coarse_variates_spread_over_slices(spark, monkeypatch, users):
+    df = spark.range(100_000).select((F.col("id") % users).alias("ID"), F.xxhash64("id").alias("a"), (F.col("id") % 7).alias("b"))
+    want = global_row_number(df, ("ID",), salt="q", slice_rows=10**9)
+    slices, cut = [], rownum._fine_slices
+    monkeypatch.setattr(rownum, "_fine_slices", lambda *args: slices.append(cut(*args)) or slices[-1])
+    got = global_row_number(df.repartition(3), ("ID",), salt="q", slice_rows=1000, buckets=16)
+    order = lambda t: t.agg(F.sum(F.xxhash64("ID", "a", "b", "rand_num", "row_num").cast("decimal(38,0)")), F.min("row_num"), F.max("row_num"), F.countDistinct("row_num")).first()
+    assert order(got) == order(want) and order(got)[1:] == (1, 100_000, 100_000)
+    rows, keys = slices[0]
+    assert rows.groupBy(*keys).count().agg(F.max("count")).first()[0] <= 4000
+    # rows of one variate follow the hash of the row
+    w = rownum.Window.orderBy("row_num")
+    some = got.where("row_num <= 20000").withColumn("h", F.xxhash64("ID", "a", "b"))
+    assert some.withColumn("before", F.lag(F.struct("rand_num", "h")).over(w)).where("before > struct(rand_num, h)").isEmpty()
 
 
 def test_split_is_disjoint_stable_and_near_its_share(spark):
