@@ -4,7 +4,9 @@ Every batch of documents in a task is one shard. Its words become numbers of the
 vocabulary (0 for any other word), and the positions from which a window's worth of benchmark words
 runs on are sorted by the words that follow: the shard's suffix array. No other suffix can hold a
 match. Every suffix of every benchmark item is searched in it by bisection, which gives every place
-where the item's window at that suffix occurs. Places that follow one another in both texts make up
+where the item's window at that suffix occurs; those whose window has no hash in common with the
+shard cannot occur and are told by one merge of sorted hashes, so a shard's cost hardly grows with the
+benchmark. Places that follow one another in both texts make up
 longer verbatim matches. Hit words, items and contamination follow from those places. Suffixes are
 positions, never copies: memory grows with the words of a shard and of a block, not with their square.
 
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featspan.llm.storage import materialise, new_folder
+from featspan.llm.text import U64, mixed, ngram_hashes
 
 #: ASCII bytes outside words become spaces, A-Z become a-z; all other bytes are parts of words.
 _WORDS = bytes(
@@ -51,13 +54,23 @@ class TestIndex:
         self.window, self.longest = window, 1
         self.pieces: list[tuple[str, bytes, int]] = []
         self.least = min((size for _, _, size in pieces), default=window)
+        windows: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item, words, size in pieces:
-            numbers = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words], ">u4").tobytes()
+            numbers = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words], ">u4")
             self.longest = max(self.longest, len(words))
-            self.pieces.append((item, numbers, size))
-
-    def suffixes(self, numbers: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-        """The suffix array of a shard's suffixes that can match: the first window of each, and its position.
+            windows.setdefault(size, []).append((_window_hashes(numbers, size), len(self.pieces)))
+            self.pieces.append((item, numbers.tobytes(), size))
+        #: per size of window the sorted hashes of all test suffixes' windows, and the piece and place of each
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size, own in windows.items():
+            hashes = np.concatenate([h for h, _ in own])
+            piece = np.repeat(np.array([i for _, i in own], np.int32), [len(h) for h, _ in own])
+            at = np.concatenate([np.arange(len(h), dtype=np.int32) for h, _ in own])
+            order = np.argsort(hashes, kind="stable")
+            self.by_size[size] = hashes[order], piece[order], at[order]
+
+    def suffixes(self, numbers: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The suffix array of a shard's suffixes that can match: the first window of each, its position, its known words.
 
         ``numbers`` are the words of all documents, ``ends`` for each word where its document ends.
         """
@@ -68,18 +81,36 @@ class TestIndex:
         order = at[_sorted(numbers, run, at, self.longest)]
         raw = numbers.astype(">u4").tobytes()
         heads = [raw[4 * i : 4 * (i + n)] for i, n in zip(order.tolist(), np.minimum(run[order], self.window).tolist(), strict=True)]
-        return heads, order
+        return heads, order, run[order]
+
+    def present(self, numbers: np.ndarray, order: np.ndarray, run: np.ndarray) -> dict[int, list[int]]:
+        """By piece the places of the test suffixes whose window has the hash of one in the shard; no other can match."""
+        out: dict[int, list[int]] = {}
+        for size, (hashes, piece, at) in self.by_size.items():
+            places = order[run >= size]
+            if not len(places):
+                continue
+            own = np.unique(_window_hashes(numbers, size)[places])
+            low, high = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+            for a, b in zip(low[high > low].tolist(), high[high > low].tolist(), strict=True):
+                for i, k in zip(piece[a:b].tolist(), at[a:b].tolist(), strict=True):
+                    out.setdefault(i, []).append(k)
+        return out
 
     def search(self, numbers: np.ndarray, ends: np.ndarray) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
         """(item, words in a window, positions of that window, words matched up to its end) per matching test suffix."""
-        own, order = self.suffixes(numbers, ends)
+        own, order, run = self.suffixes(numbers, ends)
         if not own:
             return
         before = np.zeros(len(numbers) + 1, np.int32)  # at a position: words matched by the suffix before it, at the position before
-        for item, words, size in self.pieces:
-            last = order[:0]
-            for at in range(0, len(words) - 4 * size + 1, 4):
-                need = words[at : at + 4 * size]
+        for i, found in sorted(self.present(numbers, order, run).items()):
+            item, words, size = self.pieces[i]
+            last, place = order[:0], -2
+            for at in sorted(found):
+                if at != place + 1:
+                    before[last + 1] = 0
+                    last = order[:0]
+                need = words[4 * at : 4 * (at + size)]
                 low = bisect_left(own, need)
                 high = bisect_left(own, need + b"\xff" * 4, low) if low < len(own) and own[low].startswith(need) else low
                 places = order[low:high]
@@ -90,10 +121,15 @@ class TestIndex:
                     yield item, size, places, reached
                 else:
                     before[last + 1] = 0
-                last = places
+                last, place = places, at
             before[last + 1] = 0
 
 
+def _window_hashes(numbers: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the ``size`` words from each position on."""
+    return ngram_hashes(mixed(numbers.astype(U64)), size)
+
+
 def _sorted(numbers: np.ndarray, run: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
     """The order of the suffixes at ``at`` by the words up to the end of their run, ``most`` words deep; ranks by doubling."""
     # all positions of the runs that hold such suffixes; those of one run lie side by side in ``inside``
