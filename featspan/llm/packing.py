@@ -111,10 +111,11 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
 def pack(cut: DataFrame, capacity: Capacity = Capacity(), group: int = 8192) -> DataFrame:
     """Add sequence_id and offset to rows of ``pieces``; groups of about ``group`` rows are packed apart.
 
-    ``cut`` is read twice, so it should be a written table. Groups are dealt by a hash of the row.
+    ``cut`` is read twice and must be a written table. Groups are dealt by a hash of the row and of its place
+    in the table, so equal rows fill several.
     """
     groups = max(1, -(-cut.count() // group))
-    where = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))
+    where = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)

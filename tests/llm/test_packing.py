@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 from functools import cache
 
 import numpy as np
@@ -112,3 +113,15 @@ def test_documents_are_packed_whole(spark):
     laid_out(rows, Capacity())
     assert sum(r.length for r in rows) == sum(len(whole(t)) + 1 for t in [*TEXTS, None, "x y", "x y"])
     assert pack_documents(df.limit(0), PATH).count() == 0
+
+
+def test_equal_rows_fill_several_groups(spark):
+    from featspan.llm.packing import PIECES
+    from featspan.llm.storage import materialise
+
+    rows = spark.range(6000).selectExpr("7L as doc_id", "0 as piece", "0L as start", "100L as length", "5L as ids_crc32")
+    cut = materialise(spark.createDataFrame(rows.rdd, PIECES).repartition(3), "equal")
+    got = pack(cut, Capacity(tokens=1024), group=1000).selectExpr("sequence_id >> 32 as g", "sequence_id", "offset", "length").collect()
+    by = Counter(r.g for r in got)
+    assert len(by) == 6 and max(by.values()) < 1300
+    assert len({r.sequence_id for r in got}) <= 6000 / 10 + 6
