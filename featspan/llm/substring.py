@@ -7,7 +7,8 @@ are hashed and compared. Where an anchor is shared with another document, the wi
 are the extensions that can match; they are compared as whole windows, by a 64-bit hash each, and
 each gets the smallest document it starts in.
 
-Documents are dealt to blocks by a hash of their id. A block sends every hash once, however many of
+Documents are dealt to blocks by a hash of their id and text, so rows that repeat an id, or have none, are
+spread too. A block sends every hash once, however many of
 its documents hold it, as packed arrays to the bucket of the hash; the bucket answers to blocks. So
 a passage that a third of all documents share costs each bucket one entry per block, and no group
 of documents meets in one place. The texts are shuffled once, and read again from that shuffle.
@@ -93,10 +94,12 @@ def repeated_passages(docs: DataFrame, window: int = 13, block_bytes: int = 8 <<
         raise ValueError(f"a window needs {PERIOD} words at least")
     anchor = window - PERIOD + 1
     blocks = blocks_for(docs, "text", block_bytes)
+    # a packet goes from each block to each bucket: fewer buckets than blocks keep packets from getting tiny
+    buckets = min(blocks, max(64, blocks // 8))
     given = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"),
     )
     in_blocks = given.groupBy("block")
 
@@ -108,7 +111,7 @@ def repeated_passages(docs: DataFrame, window: int = 13, block_bytes: int = 8 <<
         first, end = _groups(hashes)
         several = row[first] != row[end - 1]  # rows rise within equal hashes, as the sort is stable
         own = hashes[first]
-        return _packets(own % U64(blocks), key[0].as_py(), _short(own) << np.uint32(1) | several.astype(np.uint32))
+        return _packets(own % U64(buckets), key[0].as_py(), _short(own) << np.uint32(1) | several.astype(np.uint32))
 
     def compare(key: tuple, packets: pa.Table) -> pa.Table:
         data, block = _entries(packets, np.dtype("<u4"), "block")
@@ -125,7 +128,7 @@ def repeated_passages(docs: DataFrame, window: int = 13, block_bytes: int = 8 <<
         short, bucket = _entries(answers, np.dtype("<u4"), "bucket")
         shared = np.sort(bucket.astype(np.uint64) << U64(31) | short)
         at, hashes = block.anchors(anchor)
-        at = at[_among((hashes % U64(blocks)) << U64(31) | _short(hashes), shared)]
+        at = at[_among((hashes % U64(buckets)) << U64(31) | _short(hashes), shared)]
         # a window can match if one of the anchors that start in its first PERIOD words is shared
         count = np.zeros(len(block.words) + PERIOD + 1, np.int32)
         count[at + 1] = 1
@@ -135,7 +138,7 @@ def repeated_passages(docs: DataFrame, window: int = 13, block_bytes: int = 8 <<
         own = np.empty(len(starts), _WINDOW)
         own["hash"], own["doc"] = hashes[starts], block.docs[block.row[starts]]
         own = _smallest(own)
-        return _packets(own["hash"] % U64(blocks), key[0].as_py(), own)
+        return _packets(own["hash"] % U64(buckets), key[0].as_py(), own)
 
     def earliest(key: tuple, packets: pa.Table) -> pa.Table:
         data, block = _entries(packets, _WINDOW, "block")
