@@ -106,9 +106,15 @@ WITH doc AS (
     SELECT stratum, bin, sum(count(*)) OVER (PARTITION BY stratum ORDER BY bin DESC) AS reached, sum(count(*)) OVER (PARTITION BY stratum) AS total
     FROM test GROUP BY stratum, bin)
   WHERE pow(10, -bin / 20) * total <= 0.05 * reached GROUP BY stratum
+), grown AS (
+  SELECT r, a, b, max(b) OVER (PARTITION BY r ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM base
+), island AS (
+  SELECT r, a, b, sum(CASE WHEN reached IS NULL OR a > reached THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS i FROM grown
+), stretch AS (
+  SELECT r, min(a) AS a, max(b) AS b FROM island GROUP BY r, i
 ), random AS (
   SELECT r, 3 AS kind, a, b FROM test JOIN least_bin USING (stratum) WHERE bin >= least
-    AND NOT EXISTS (SELECT 1 FROM base WHERE base.r = test.r AND base.a < test.b AND test.a < base.b)
+    AND NOT EXISTS (SELECT 1 FROM stretch s WHERE s.r = test.r AND s.a <= test.a AND test.b <= s.b)
 ), known AS (
   {_spans_sql("SELECT * FROM base")}
 ), found AS (

@@ -1,5 +1,7 @@
+import os
 import re
 import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -146,3 +148,41 @@ def test_deep_nesting_takes_linear_time():
 
     seconds(1000)
     assert seconds(64_000) < 12 * max(seconds(16_000), 0.05)
+
+
+class Plain(HTMLParser):
+    """The text of the given pages by their fixed form: all of the one article, blocks apart."""
+
+    BLOCKS = frozenset("article h1 p br div ul li".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.parts = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag in self.BLOCKS:
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag in self.BLOCKS:
+            self.parts.append(" ")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.parts.append(data)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_given_pages_equal_a_plain_reading(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r for r in extract(pages).collect()}
+    rows = pages.collect()
+    assert len(got) == len(rows) == 250
+    for r in rows:
+        plain = Plain()
+        plain.feed(r.html or "")
+        plain.close()
+        text = " ".join("".join(plain.parts).split())
+        assert (got[r.page_id].text, got[r.page_id].n_chars, got[r.page_id].url) == (text, len(text), r.url)

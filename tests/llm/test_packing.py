@@ -125,3 +125,25 @@ def test_equal_rows_fill_several_groups(spark):
     by = Counter(r.g for r in got)
     assert len(by) == 6 and max(by.values()) < 1300
     assert len({r.sequence_id for r in got}) <= 6000 / 10 + 6
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_equals_plain_best_fit(seed):
+    """Longest first, each into the fullest sequence that holds it: as many sequences, as full."""
+    rng = random.Random(seed)
+    lengths = [rng.choice([rng.randrange(1, 1025), rng.randrange(1, 200), 1024]) for _ in range(700)]
+    left = []
+    for n in sorted(lengths, reverse=True):
+        room = [(space - n, k) for k, space in enumerate(left) if space >= n]
+        if room:
+            left[min(room)[1]] -= n
+        else:
+            left.append(1024 - n)
+    bins, offsets = best_fit(np.array(lengths), Capacity(tokens=1024))
+    used = Counter()
+    for b, n in zip(bins.tolist(), lengths, strict=True):
+        used[b] += n
+    assert sorted(used.values()) == sorted(1024 - space for space in left)
+    for b in used:
+        own = sorted((o, n) for o, n, x in zip(offsets.tolist(), lengths, bins.tolist(), strict=True) if x == b)
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]

@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from featspan.llm.quality import WIDTH, classify, drop_rejected, statistics_of
@@ -68,3 +69,26 @@ def test_without_both_classes(spark, given, score):
 
 def test_statistics_of_nothing():
     assert statistics_of(None) == statistics_of(" \n ") == (0, [0.0] * WIDTH)
+
+
+def test_scores_equal_a_plain_discriminant(spark):
+    docs, labels = corpus(400)
+    docs += [(9000, None), (9001, "a"), (9002, "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.score for r in classify(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), shrinkage=0.1, calm=20.0).collect()}
+    made = {i: statistics_of(t) for i, t in docs}
+    quality = {i: q for i, q, _ in labels if zlib.crc32(str(i).encode()) % 5}
+    centre = np.mean([made[i][1] for i in quality], axis=0)
+    drawn = {i: centre + (np.array(x) - centre) * n / (n + 20.0) for i, (n, x) in made.items()}
+    scale = np.std([drawn[i] for i in quality], axis=0)
+    scale = np.maximum(scale, 1e-4)
+    log = {}
+    for k in (0, 1):
+        own = np.array([drawn[i] / scale for i, q in quality.items() if q == k])
+        spread = np.cov(own.T, bias=True)
+        spread = 0.9 * spread + 0.1 * np.trace(spread) / WIDTH * np.eye(WIDTH)
+        inverse, det = np.linalg.inv(spread), np.linalg.slogdet(spread)[1]
+        gap = {i: x / scale - own.mean(axis=0) for i, x in drawn.items()}
+        log[k] = {i: np.log(len(own)) - det / 2 - g @ inverse @ g / 2 for i, g in gap.items()}
+    for i in drawn:
+        assert got[i] == pytest.approx(1 / (1 + np.exp(np.clip(log[0][i] - log[1][i], -700, 700))), abs=1e-4)  # moments and centred sums round differently
