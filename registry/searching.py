@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import replace
 
@@ -688,6 +689,19 @@ def _search(call, *rounds):
     return run
 
 
+def guided_round(s, sf) -> float:
+    """Seconds of one guided round at the shipped sizes, after one random and one guided round; for the bench."""
+    instances, log, config = _task(s, sf)
+    data = prepare(instances, log, config)
+    ledger = Ledger(s, f"{work_dir(s)}/ledger-{uuid.uuid4().hex}")
+    search_guided(data, SearchConfig(rounds=2, seed=7), ledger)
+    started = time.perf_counter()
+    search_guided(data, SearchConfig(rounds=3, seed=7), ledger)
+    took = time.perf_counter() - started
+    data.close()
+    return took
+
+
 def _trial_rows(n):
     return f"SELECT i AS trial, 1 AS in_range, 10 AS n_features, 10 AS n_distinct, 10 AS n_known FROM range({n}) r(i)"
 
