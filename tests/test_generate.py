@@ -275,7 +275,7 @@ def test_bad_features_are_refused():
 )
 def test_profile_equals_single_windows(spark, rule, grid, direction):
     _, keys, log, inst = tables(spark, seed=10, rows=300, span=30)
-    methods = ("min", "max", "sum", "avg", "std") + (("count",) if rule == PART_RULE else ())
+    methods = ("min", "max", "sum", "avg", "std") + (("count",) if rule == PART_RULE else ("max_min", "max_day", "avg_day", "day_div_avg"))
     long = profile(inst, log, ["f1", "f2"], grid, LAYOUT, rule=rule, methods=methods, direction=direction)
     got = {(r["ID"], r["first_timestep"], r["last_timestep"], r["parts"]): r for r in long.collect()}
     assert len(got) == len(keys) * len(grid)
@@ -289,8 +289,8 @@ def test_profile_equals_single_windows(spark, rule, grid, direction):
 
 def test_profile_refuses_methods_without_a_form_over_all_sizes(spark):
     _, _, log, inst = tables(spark)
-    with pytest.raises(ValueError, match="no profile of avg_day, max_day"):
-        profile(inst, log, ["f1"], [1, 3], LAYOUT, rule=TS_RULE, methods=("max", "max_day", "avg_day"))
+    with pytest.raises(ValueError, match="no profile of stddev, strmax"):
+        profile(inst, log, ["f1"], [1, 3], LAYOUT, rule=TS_RULE, methods=("max", "strmax", "stddev"))
 
 
 def test_profile_of_the_spread(spark):
