@@ -189,7 +189,7 @@ def _scan(docs: DataFrame, known: Broadcast, now: int, shards: int, longest: int
     return dealt.groupBy("hp", "hs", "n", "start", "lang", "word").agg(F.sum("f").alias("f"))
 
 
-def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shards: int = 2, slots: int = 1 << 24, slice_bytes: int = 8 << 20) -> DataFrame:
+def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shards: int = 2, slots: int = 1 << 24, slice_bytes: int = 4 << 20) -> DataFrame:
     """n, id, hp, hs, lang, word, f of every phrase of up to ``longest`` words with ``f >= least`` in its language.
 
     Also a row with n = 0 per language, whose f is the number of its words. lang and word are null
