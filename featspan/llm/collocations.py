@@ -154,6 +154,13 @@ class _Text:
             hashes, reached = longer, when
 
 
+def _in_parts(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """Batches of ``rows`` rows at most, so that neither side holds much of them at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _rows(n, start, hp, hs, f, lang=None, word=None) -> pa.RecordBatch:
     none = pa.nulls(len(f), pa.string())
     return pa.RecordBatch.from_arrays(
@@ -180,9 +187,9 @@ def _scan(docs: DataFrame, known: Broadcast, now: int, shards: int, longest: int
             for at, rows in slices(batch, "text", slice_bytes):
                 text = _Text(batch.slice(at, rows))
                 if now < shards:
-                    yield from text.words()
+                    yield from _in_parts(text.words())
                 if now:
-                    yield from text.phrases(rounds, now, shards, longest)
+                    yield from _in_parts(text.phrases(rounds, now, shards, longest))
 
     own = docs.where(F.col("shard") == now % shards).select("text", "lang")
     dealt = own.mapInArrow(count, _COUNTS).repartition(shuffle_width(spark), "hp", "hs")
