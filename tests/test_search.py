@@ -206,6 +206,26 @@ def test_guided_search_goes_on_where_it_stopped(task, spark):
     assert facts.count() == 18 and facts.where("splits > 0").count() == sum(len(r["splits"]) for r in trials)
 
 
+def test_the_fit_reads_a_written_matrix(task, spark, monkeypatch):
+    from featspan.plans import evaluate as plans
+
+    seen, whole = {}, plans.fit
+
+    def fit(matrix, config, valid=None):
+        seen["plan"] = matrix._jdf.queryExecution().executedPlan().toString()
+        seen["rows"], seen["held"], seen["files"] = matrix.count(), valid.count(), matrix.inputFiles()
+        return whole(matrix, config, valid)
+
+    monkeypatch.setattr(plans, "fit", fit)
+    before = files_under(work_dir(spark))
+    evaluate(task, SCHEME)
+    # every pass of the fit carries this plan: a scan, not the joins and aggregates of the features
+    assert "Scan parquet" in seen["plan"] and not any(x in seen["plan"] for x in ("Join", "Aggregate", "Exchange", "InMemoryTableScan"))
+    held = task.train.instances.where("rand_num <= 0.2").count()
+    assert (seen["rows"], seen["held"]) == (160 - held, held) and 0 < held < 160
+    assert seen["files"] and files_under(work_dir(spark)) == before
+
+
 def test_materialise_uses_the_shared_folder(spark):
     df = materialise(spark.range(5), "five")
     assert df.count() == 5 and work_dir(spark) in df.inputFiles()[0]
